@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgprep.operators.encode import encode_uri
+from kgprep.schema import OWL_SAME_AS
 from kgprep.session import checkpoint_dir
 
 FOLD_BLOCK = 1 << 16
@@ -42,10 +43,14 @@ def known_links(links: DataFrame, ent: DataFrame) -> DataFrame:
             .join(keys.withColumnRenamed("entity", "o"), "o", "left_semi"))
 
 
-def links_as_triples(links: DataFrame, ent: DataFrame, rel: DataFrame,
+def links_as_triples(links: DataFrame, ent: DataFrame, rel: DataFrame, predicate: str = OWL_SAME_AS,
                      broadcast_relations: bool | str = "auto") -> DataFrame:
-    """A2: links encoded as (id, sameAs relation id, id); unknown ends drop out."""
-    return encode_uri(links, ent, rel, broadcast_relations=broadcast_relations)
+    """A2: links encoded as (id, id of ``predicate``, id); unknown ends drop out.
+
+    Every link gets the one relation id of ``predicate`` (the relation
+    appended to the dictionary for the links), whatever its own predicate text.
+    """
+    return encode_uri(links.withColumn("p", F.lit(predicate)), ent, rel, broadcast_relations=broadcast_relations)
 
 
 def with_links(train: DataFrame, link_triples: DataFrame) -> DataFrame:
