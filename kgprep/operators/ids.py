@@ -60,11 +60,14 @@ def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = Non
     sc = _scope_list(scope)
     keyed = keys.select(*sc, F.col(key), F.md5(F.col(key).cast("string")).alias("_h"))
     keyed = keyed.withColumn("_b", F.substring("_h", 1, bucket_digits))
-    counts = keyed.groupBy(*sc, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*sc, "_b").orderBy("_h", key)
     ranked = keyed.withColumn("_r", F.row_number().over(inside))
+    # Bucket sizes come from the ranked rows themselves, so the keys are
+    # computed and shuffled once: both branches share the window's exchange,
+    # and the join back on (scope, bucket) needs no new shuffle of the keys.
+    counts = ranked.groupBy(*sc, "_b").agg(F.max("_r").alias("_n"))
+    before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (ranked.join(offsets, on=[*sc, "_b"], how="inner")
             .select(*sc, key, (F.col("_off") + F.col("_r") - 1).cast("long").alias(id_col)))
 

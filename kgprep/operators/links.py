@@ -88,12 +88,12 @@ def component_labels(pairs: DataFrame, max_rounds: int | None = None) -> DataFra
                  .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .unionByName(m2.select("hi", F.col("m").alias("lo"))).distinct())
         edges = _checkpoint(small)
-        # converged when every component is a star around its minimum:
-        # each node has one parent and no parent has a parent
-        multi = edges.groupBy("hi").count().where(F.col("count") > 1).limit(1).count()
-        chained = (edges.select(F.col("lo").alias("hi")).join(edges.select("hi"), "hi", "left_semi")
-                   .limit(1).count()) if multi == 0 else 1
-        if multi == 0 and chained == 0:
+        # converged when every component is a star around its minimum: each
+        # node has at most one parent and no parent has a parent (one job)
+        roles = (edges.select(F.col("hi").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
+                 .unionByName(edges.select(F.col("lo").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+                 .groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")))
+        if roles.where((F.col("c") > 1) | ((F.col("c") == 1) & (F.col("p") == 1))).limit(1).count() == 0:
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"components did not converge in {max_rounds} rounds")
@@ -122,24 +122,28 @@ def ordered_fold_labels(pairs: DataFrame, order_cols: Sequence[str], block: int
              .select(*order_cols, "a", "b").dropDuplicates([*order_cols, "a", "b"]))
     seq = _ordered_sequence(links, order_cols)
     edges = _checkpoint(seq.select("t", "a", "b", F.least("a", "b").alias("val")))
+    # (t, a, b) never change, only val: decide once whether any entity's
+    # links span more than one block and so need the carry between blocks.
+    ends = (edges.select(F.col("a").alias("x"), "t").unionByName(edges.select(F.col("b").alias("x"), "t"))
+            .groupBy("x").agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
+    spans = ends.where(F.floor(F.col("lo") / block) != F.floor(F.col("hi") / block)).limit(1).count() > 0
+    upto = Window.partitionBy("x", "blk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("x").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     rounds = 0
     while True:
         rounds += 1
-        inc = (edges.select("t", F.col("a").alias("x"), "val")
-               .unionByName(edges.select("t", F.col("b").alias("x"), "val"))
+        inc = (edges.select("t", "a", "b", F.col("a").alias("x"), "val")
+               .unionByName(edges.select("t", "a", "b", F.col("b").alias("x"), "val"))
                .withColumn("blk", F.floor(F.col("t") / block)))
-        upto = (Window.partitionBy("x", "blk").orderBy("t")
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        local = inc.withColumn("pm", F.min("val").over(upto))
-        blocks = inc.groupBy("x", "blk").agg(F.min("val").alias("bmin"))
-        earlier = Window.partitionBy("x").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-        carry = blocks.select("x", "blk", F.min("bmin").over(earlier).alias("carry"))
-        prefix = (local.join(carry, ["x", "blk"])
-                  .select("t", F.least("pm", F.coalesce("carry", "pm")).alias("v")))
-        best = prefix.groupBy("t").agg(F.min("v").alias("nv"))
-        nxt = (edges.join(best, "t")
-               .select("t", "a", "b", F.least("val", "nv").alias("val"), (F.col("nv") < F.col("val")).alias("chg")))
-        nxt = _checkpoint(nxt)
+        # running minimum of each entity's links up to this one
+        prefix = inc.withColumn("pm", F.min("val").over(upto))
+        if spans:
+            carry = (inc.groupBy("x", "blk").agg(F.min("val").alias("bmin"))
+                     .select("x", "blk", F.min("bmin").over(earlier).alias("carry")))
+            prefix = (prefix.join(carry, ["x", "blk"])
+                      .withColumn("pm", F.least("pm", F.coalesce("carry", "pm"))))
+        nxt = prefix.groupBy("t", "a", "b").agg(F.min("pm").alias("val"), F.min("val").alias("old"))
+        nxt = _checkpoint(nxt.select("t", "a", "b", "val", (F.col("val") < F.col("old")).alias("chg")))
         changed = nxt.where("chg").limit(1).count()
         edges = nxt.drop("chg")
         if changed == 0:
@@ -161,6 +165,9 @@ def merge_ids(ent: DataFrame, links: DataFrame, mode: str = "component",
     giving the processing order, subject then object by default.
     """
     keep = [c for c in order_by if c not in ("s", "o")]
+    # the dictionary feeds both the link ids and the final relabelling:
+    # materialise it once in the shared checkpoint folder
+    ent = _checkpoint(ent.select("entity", "id"))
     pairs = link_id_pairs(links, ent, keep)
     if mode == "component":
         labels = component_labels(pairs, max_rounds)

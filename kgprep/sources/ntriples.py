@@ -43,13 +43,21 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
         df = df.where(line.startswith("<"))
     df = df.where(~is_skippable(line))
     extra = [blank_scope.alias("_bscope")] if blank_scope is not None else []
-    df = df.select(*keep, *extra, line.alias("_line"), split_statement(line).alias("_parts"))
+    # The statement regex must run once per line.  A filter on its result
+    # would be pushed below the projection with the regex inlined (twice
+    # per line), so FAILFAST raises inside the projection and
+    # DROPMALFORMED explodes a 0- or 1-element array instead of filtering.
+    parts = split_statement(line)
+    if mode == FAILFAST:
+        parts = F.when(F.size(parts) == 3, parts).otherwise(
+            F.raise_error(F.concat(F.lit("malformed N-Triples line: "), line)).cast("array<string>"))
+        df = df.select(*keep, *extra, line.alias("_line"), parts.alias("_parts"))
+    elif mode == DROPMALFORMED:
+        df = df.select(*keep, *extra, line.alias("_line"),
+                       F.explode(F.filter(F.array(parts), lambda a: F.size(a) == 3)).alias("_parts"))
+    else:
+        df = df.select(*keep, *extra, line.alias("_line"), parts.alias("_parts"))
     ok = F.size("_parts") == 3
-    if mode == DROPMALFORMED:
-        df = df.where(ok)
-    elif mode == FAILFAST:
-        df = df.where(F.when(ok, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("malformed N-Triples line: "), F.col("_line")))))
     s_raw, p_raw, o_raw = (F.get(F.col("_parts"), i) for i in range(3))
     df = df.select(*keep, *(["_bscope"] if extra else []), "_line", ok.alias("_ok"),
                    s_raw.alias("_s"), p_raw.alias("_p"), o_raw.alias("_o"),
