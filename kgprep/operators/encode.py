@@ -4,8 +4,8 @@ Entity lookups are shuffle joins (both sides grow with the data); AQE
 splits a skewed join partition (e.g. one class URI that is the object of a
 third of all triples) into several tasks by map-output blocks, replicating
 the single matching dictionary row.  The relation dictionary is broadcast
-only after its row count is checked against ``max_broadcast_rows``; above
-that it is joined like the entities.
+only after its row count is checked against ``MAX_BROADCAST_ROWS`` (see
+``bounded_broadcast``); above that it is joined like the entities.
 """
 
 from __future__ import annotations
@@ -21,8 +21,15 @@ MAX_BROADCAST_ROWS = 2_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small (count checked;
-    ``limit(max_rows + 1)`` keeps the check cheap on a big side)."""
+    """Broadcast hint only when the side is proven small.
+
+    The row count is checked only for a persisted side (the jobs persist
+    their relation dictionaries, so the check also fills the cache); a lazy
+    side is left to AQE, which converts the join to a broadcast at run time
+    from the measured size.  Above ``max_rows`` the side is shuffle-joined.
+    """
+    if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
@@ -32,10 +39,11 @@ def _entity_side(ent: DataFrame, col: str, sc: list[str]) -> DataFrame:
 
 
 def _relation_side(rel: DataFrame, col: str, sc: list[str], broadcast: bool | str) -> DataFrame:
-    side = rel.select(*sc, F.col("relation").alias(col), F.col("id").alias(f"_{col}_id"))
     if broadcast == "auto":
-        return bounded_broadcast(side)
-    return F.broadcast(side) if broadcast else side
+        rel = bounded_broadcast(rel)
+    elif broadcast:
+        rel = F.broadcast(rel)
+    return rel.select(*sc, F.col("relation").alias(col), F.col("id").alias(f"_{col}_id"))
 
 
 def encode_uri(df: DataFrame, ent: DataFrame, rel: DataFrame, scope: str | Sequence[str] | None = None,

@@ -9,12 +9,17 @@
   aggregate and an AQE-split join, never one task.  O(log n) rounds, each
   checkpointed to the shared checkpoint folder.
 * ``ordered``: the reference's sequential pass, where each link in turn
-  gives both ends the smaller of their current ids.  A link's result is
-  ``min(id(a), id(b), results of all earlier links touching a or b)``, a
-  recursion over time that is solved exactly by rounds of per-entity
-  running minima (windows over ``(entity, block of the link order)`` plus a
-  per-entity carry over blocks, so no window partition exceeds one block
-  of one entity's links) until nothing changes.
+  gives both ends the smaller of their current ids.  Links only interact
+  inside a connected component, so components are found first; every
+  component with at most ``group_links`` links is folded sequentially by
+  one ``mapInPandas`` pass over rows clustered by component and sorted by
+  Spark in link order (state: one component at a time),
+  and larger components go to an exact distributed iteration: a link's
+  result is ``min(id(a), id(b), results of all earlier links touching a or
+  b)``, solved by rounds of per-entity running minima (windows over
+  ``(entity, block of the link order)`` plus a per-entity carry over
+  blocks, so no window partition exceeds one block of one entity's links)
+  until nothing changes.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from kgprep.schema import OWL_SAME_AS
 from kgprep.session import checkpoint_dir
 
 FOLD_BLOCK = 1 << 16
+FOLD_GROUP_LINKS = 1 << 20  # links of one component folded in one task
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -156,8 +162,57 @@ def ordered_fold_labels(pairs: DataFrame, order_cols: Sequence[str], block: int
     return inc.groupBy("node").agg(F.min("val").alias("label"))
 
 
+def _fold_sorted_partitions():
+    """mapInPandas body: rows arrive sorted by (comp, link order), so each
+    component is a contiguous run; fold it link by link and emit its
+    labels when the run ends.  State is one component's entities.  Built
+    in a factory so the closure ships by value to the Python workers."""
+
+    def run(batches):
+        import pandas as pd
+
+        def emit(v):
+            return pd.DataFrame({"node": list(v), "label": list(v.values())}, dtype="int64")
+
+        cur, val = None, {}
+        for pdf in batches:
+            done = {}
+            for c, a, b in zip(pdf["comp"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()):
+                if c != cur:
+                    done.update(val)
+                    cur, val = c, {}
+                m = min(val.get(a, a), val.get(b, b))
+                val[a] = m
+                val[b] = m
+            if done:
+                yield emit(done)
+        if val:
+            yield emit(val)
+
+    return run
+
+
+def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], group_links: int = FOLD_GROUP_LINKS,
+                   block: int = FOLD_BLOCK, max_rounds: int | None = None) -> DataFrame:
+    """Exact ordered fold: bounded components folded in one grouped pass,
+    oversized ones by the distributed iteration (``ordered_fold_labels``)."""
+    links = pairs.where(F.col("a") != F.col("b")).select(*order_cols, "a", "b")
+    comp = component_labels(links, max_rounds)
+    tagged = _checkpoint(links.join(comp.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a"))
+    sizes = tagged.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    small = tagged.join(sizes.where(F.col("n") <= group_links).select("comp"), "comp", "left_semi")
+    big = tagged.join(sizes.where(F.col("n") > group_links).select("comp"), "comp", "left_semi")
+    folded = (small.repartition("comp").sortWithinPartitions("comp", *order_cols, "a", "b")
+              .mapInPandas(_fold_sorted_partitions(), "node long, label long"))
+    if big.limit(1).count() == 0:
+        return folded
+    rest = ordered_fold_labels(big.drop("comp"), order_cols, block=block, max_rounds=max_rounds)
+    return folded.unionByName(rest)
+
+
 def merge_ids(ent: DataFrame, links: DataFrame, mode: str = "component",
-              order_by: Sequence[str] = ("s", "o"), max_rounds: int | None = None) -> DataFrame:
+              order_by: Sequence[str] = ("s", "o"), max_rounds: int | None = None,
+              group_links: int = FOLD_GROUP_LINKS) -> DataFrame:
     """The merged dictionary ``(entity, id)`` over all entities.
 
     ``ent`` needs one id per entity (``as_lookup``).  Links with an unknown
@@ -172,7 +227,7 @@ def merge_ids(ent: DataFrame, links: DataFrame, mode: str = "component",
     if mode == "component":
         labels = component_labels(pairs, max_rounds)
     elif mode == "ordered":
-        labels = ordered_fold_labels(pairs, list(order_by), max_rounds=max_rounds)
+        labels = ordered_labels(pairs, list(order_by), group_links=group_links, max_rounds=max_rounds)
     else:
         raise ValueError(f"mode must be component or ordered, not {mode!r}")
     return (ent.join(labels, ent["id"] == labels["node"], "left")

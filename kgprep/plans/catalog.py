@@ -75,12 +75,18 @@ def _s2(spark, sf):
     return S.read_ntriples(spark, f"{path}/*.bz2", scope_blank_nodes=False)
 
 
-def _s4(spark, sf):
-    root = scratch_path(spark, "s4-tree")
+def _language_tree(spark, sf, name):
+    """Quads as N-Triples files ``<lang>/<source>_<lang>.ttl.bz2``."""
+    root = scratch_path(spark, name)
     q = dv.quads(spark, sf)
     lines = q.select("language", F.regexp_extract("o", "[^/]*$", 0).alias("dataset"),
                      F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> <"), "o", F.lit("> .")).alias("value"))
     write_language_tree(lines, root)
+    return root
+
+
+def _s4(spark, sf):
+    root = _language_tree(spark, sf, "s4-tree")
     g = S.read_language_datasets(spark, root)
     return g.select("s", "p", "o", "language", "dataset")
 
@@ -198,6 +204,37 @@ def _w1(spark, sf):
     return spark.read.text(f"{out}/uri_mappings")
 
 
+def _w2(spark, sf):
+    from kgprep.plans.jobs import encode_languages
+    outs = encode_languages(spark, _language_tree(spark, sf, "w2-tree"), scratch_path(spark, "w2"))
+    path = outs["uri_mappings"]
+    return spark.read.option("basePath", path).text(path).select(
+        "value", F.col("language").cast("string").alias("language"), F.col("dataset").cast("string").alias("dataset"))
+
+
+def _w3(spark, sf):
+    from kgprep.plans.jobs import encode_all_languages
+    outs = encode_all_languages(spark, _language_tree(spark, sf, "w3-tree"), scratch_path(spark, "w3"))
+    return spark.read.text(outs["uri_mappings"])
+
+
+def _two_way_inputs(spark, sf):
+    src = scratch_path(spark, "w4-input")
+    q = dv.quads(spark, sf)
+    K.write_tsv(q, f"{src}/quads", compression="bzip2")
+    K.write_tsv(D.entity_dictionary(q), f"{src}/entity2id", compression="bzip2")
+    K.write_tsv(D.relation_dictionary(q), f"{src}/relation2id", compression="bzip2")
+    K.write_tsv(dv.star_links(spark, sf), f"{src}/links", compression="bzip2")
+    return src
+
+
+def _w4(spark, sf):
+    from kgprep.plans.jobs import prepare_two_way
+    out = scratch_path(spark, "w4")
+    prepare_two_way(spark, _two_way_inputs(spark, sf), out, seed=dv.SEED)
+    return spark.read.text(f"{out}/train2id_merged")
+
+
 def _w5(spark, sf):
     from kgprep.plans.jobs import prepare_three_tasks
     src = scratch_path(spark, "w5-input")
@@ -276,5 +313,8 @@ QUERIES: dict[str, Query] = {
     "k4_write_readable": _k4,
     "k5_language_outputs": _k5,
     "w1_encode_graph": _w1,
+    "w2_encode_languages": _w2,
+    "w3_encode_all_languages": _w3,
+    "w4_two_way_merged_train": _w4,
     "w5_three_tasks_train": _w5,
 }

@@ -83,6 +83,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                     ("ent_q",)),
     "t1": (_enc_early("(SELECT s, p, o FROM split3 WHERE part = 'train')", "ent_q", "rel_qs") + " UNION ALL "
            + _enc_early("star", "ent_q", "rel_qs"), ("split3", "star", "ent_q", "rel_qs")),
+    "split2": ("SELECT s, p, o, language, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'test' END AS part "
+               "FROM ranked", ("ranked",)),
+    "rel_q_tsv": ("SELECT relation, id FROM rel_q", ("rel_q",)),
+    "t4": (_enc_early("(SELECT s, p, o FROM split2 WHERE part = 'train')", "merged_star", "rel_q"),
+           ("split2", "merged_star", "rel_q")),
     "chain_ids": (f"SELECT o.o_orderkey, o.o_custkey, e.entity, e.id FROM orders o "
                   f"JOIN ent_g e ON e.entity = {_u('order', 'o.o_orderkey')}", ("ent_g",)),
 }
@@ -232,6 +237,15 @@ ORACLES: dict[str, str] = {
         "JOIN ent_ql eo ON eo.language = x.language AND eo.entity = x.o "
         "JOIN rel_ql r ON r.language = x.language AND r.relation = x.p", "quads", "ent_ql", "rel_ql"),
     "w1_encode_graph": with_ctes(f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM enc_g", "enc_g"),
+    "w2_encode_languages": with_ctes(
+        f"SELECT {_tuple(['es.id', 'r.id', 'eo.id'])} AS value, x.language, regexp_replace(x.o, '.*/', '') AS dataset "
+        "FROM quads x JOIN ent_ql es ON es.language = x.language AND es.entity = x.s "
+        "JOIN ent_ql eo ON eo.language = x.language AND eo.entity = x.o "
+        "JOIN rel_ql r ON r.language = x.language AND r.relation = x.p", "quads", "ent_ql", "rel_ql"),
+    "w3_encode_all_languages": with_ctes(f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM ("
+                                         + _enc("quads", "ent_q", "rel_q") + ")", "quads", "ent_q", "rel_q"),
+    "w4_two_way_merged_train": with_ctes(
+        f"SELECT {_tsv(['s', 'p', 'o'])} AS value FROM t4 UNION ALL SELECT CAST(count(*) AS VARCHAR) FROM t4", "t4"),
     "w5_three_tasks_train": with_ctes(
         f"SELECT {_tsv(['s', 'p', 'o'])} AS value FROM t1 UNION ALL SELECT CAST(count(*) AS VARCHAR) FROM t1",
         "t1"),

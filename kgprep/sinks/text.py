@@ -53,21 +53,20 @@ def counted_lines(df: DataFrame, cols: Sequence[str] | None = None, order_by: Se
                   partitions: int | None = None) -> DataFrame:
     """K3 plan: the row count line first, then one TSV line per row.
 
-    The count row has order key -1, every data row 0 followed by
-    ``order_by`` (e.g. ``id`` for dictionaries); range partitioning on that
-    key puts the count line at the head of the first part.
+    The count is a one-partition global aggregate placed *before* the data
+    in a union, whose partitions keep child order, so it is written as the
+    first part file and the data parts follow without any extra shuffle (a
+    hot group of identical rows stays spread over its tasks).  With
+    ``order_by`` (e.g. ``id`` for dictionaries) the data is range
+    partitioned and sorted within parts, so the parts concatenate in order.
     """
     cols = list(cols or df.columns)
-    keys = list(order_by or cols)
-    data = df.select(F.lit(0).alias("_k0"), *[F.col(k).alias(f"_k{i + 1}") for i, k in enumerate(keys)],
-                     tsv_text(cols).alias("value"))
-    head = df.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.lit(-1).alias("_k0"), *[F.lit(None).cast(df.schema[k].dataType).alias(f"_k{i + 1}")
-                                 for i, k in enumerate(keys)], F.col("_n").cast("string").alias("value"))
-    order = [f"_k{i}" for i in range(len(keys) + 1)]
-    parts = [partitions] if partitions else []
-    return (data.unionByName(head).repartitionByRange(*parts, *order)
-            .sortWithinPartitions(*order).select("value"))
+    data = df
+    if order_by:
+        parts = [partitions] if partitions else []
+        data = data.repartitionByRange(*parts, *order_by).sortWithinPartitions(*order_by)
+    head = df.agg(F.count(F.lit(1)).cast("string").alias("value"))
+    return head.union(data.select(tsv_text(cols).alias("value")))
 
 
 def write_counted(df: DataFrame, path: str, cols: Sequence[str] | None = None,
@@ -87,14 +86,16 @@ def write_language_outputs(df: DataFrame, path: str, layout: str = "tuple", cols
                            mode: str = "overwrite", compression: str | None = None) -> None:
     """K5: one directory per ``language=…/dataset=…`` written by one job.
 
-    Rows are clustered by the partition columns first, so each task writes
-    few files; the layout stays partition-pruned when read back.
+    The layout stays partition-pruned when read back.
     """
     pcols = [c for c in partition_cols if c in df.columns]
     data_cols = [c for c in (cols or df.columns) if c not in pcols]
     text = tuple_text(data_cols) if layout == "tuple" else tsv_text(data_cols)
-    lines = df.select(*pcols, text.alias("value"))
-    w = lines.repartition(*pcols).write.mode(mode).partitionBy(*pcols)
+    # No shuffle by the partition columns (a language holding a third of
+    # the rows would land in one task): each task sorts its own rows by
+    # them and writes one file per value it holds.
+    lines = df.select(*pcols, text.alias("value")).sortWithinPartitions(*pcols)
+    w = lines.write.mode(mode).partitionBy(*pcols)
     if compression:
         w = w.option("compression", compression)
     w.text(path)

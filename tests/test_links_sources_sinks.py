@@ -32,10 +32,13 @@ def _links(spark, links):
                                  "s string, p string, o string, seq long")
 
 
+@pytest.mark.parametrize("group_links", [1 << 20, 1])
 @pytest.mark.parametrize("name,ids,links,fold,comp", CASES, ids=[c[0] for c in CASES])
-def test_merge_cases(spark, name, ids, links, fold, comp):
+def test_merge_cases(spark, name, ids, links, fold, comp, group_links):
+    # group_links=1 sends every component through the distributed iteration
     ent, ln = _ent(spark, ids), _links(spark, links)
-    got_fold = {r.entity: r.id for r in merge_ids(ent, ln, mode="ordered", order_by=["seq"]).collect()}
+    got_fold = {r.entity: r.id for r in merge_ids(ent, ln, mode="ordered", order_by=["seq"],
+                                                  group_links=group_links).collect()}
     got_comp = {r.entity: r.id for r in merge_ids(ent, ln, mode="component").collect()}
     assert got_fold == fold
     assert got_comp == comp
@@ -56,6 +59,8 @@ def test_ordered_fold_blocks(spark):
     pairs = [(i, 0 if i % 2 else 100, i) for i in range(1, 60)]
     df = spark.createDataFrame(pairs, "a long, b long, seq long")
     got = {r.node: r.label for r in ordered_fold_labels(df, ["seq"], block=4).collect()}
+    from kgprep.operators.links import ordered_labels
+    assert {r.node: r.label for r in ordered_labels(df, ["seq"]).collect()} == got
     # sequential reference
     val = {}
     for a, b, _ in sorted(pairs, key=lambda x: x[2]):
