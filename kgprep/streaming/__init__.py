@@ -1,0 +1,7 @@
+"""Streaming: nothing to build.
+
+The reference has no stream, watermark, window, state or late data (its
+inputs are finished dump files), so this package holds no operator.  The
+N-Triples parse (``kgprep.sources.parse_ntriples``) is a pure per-line
+projection and works unchanged on a ``spark.readStream.text`` source.
+"""
