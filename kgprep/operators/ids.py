@@ -68,7 +68,9 @@ def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = Non
     counts = ranked.groupBy(*sc, "_b").agg(F.max("_r").alias("_n"))
     before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (ranked.join(offsets, on=[*sc, "_b"], how="inner")
+    # left join: every bucket has an offset, and an inner join would infer
+    # not-null filters on one branch only, defeating the exchange reuse
+    return (ranked.join(offsets, on=[*sc, "_b"], how="left")
             .select(*sc, key, (F.col("_off") + F.col("_r") - 1).cast("long").alias(id_col)))
 
 

@@ -67,7 +67,7 @@ def _ranked(df: DataFrame, by: str | Sequence[str] | None, seed: str, hash_cols:
     inside = (Window.partitionBy(*sc, "_b").orderBy("_h", *data_cols)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = (counted.withColumn("_cum", F.sum("_c").over(inside))
-              .join(offsets, on=[*sc, "_b"], how="inner")
+              .join(offsets, on=[*sc, "_b"], how="left")  # see ids.dense_ids
               .withColumn("_start", (F.col("_off") + F.col("_cum") - F.col("_c")).cast("long")))
     return _expand(ranked, cols, chunk)
 
