@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +73,17 @@ def counted_lines(df: DataFrame, cols: Sequence[str] | None = None, order_by: Se
 def write_counted(df: DataFrame, path: str, cols: Sequence[str] | None = None,
                   order_by: Sequence[str] | None = None, mode: str = "overwrite",
                   compression: str | None = None) -> None:
-    """K3: like ``write_tsv`` with the row count as the first line."""
-    _write_lines(counted_lines(df, cols, order_by), path, mode, compression)
+    """K3: like ``write_tsv`` with the row count as the first line.
+
+    The input feeds both the count and the lines, so it is persisted
+    (memory and disk) for the duration of the write instead of being
+    computed twice.
+    """
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _write_lines(counted_lines(cached, cols, order_by), path, mode, compression)
+    finally:
+        cached.unpersist()
 
 
 def write_readable(df: DataFrame, path: str, mode: str = "overwrite") -> None:
