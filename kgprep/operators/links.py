@@ -49,13 +49,20 @@ def known_links(links: DataFrame, ent: DataFrame) -> DataFrame:
             .join(keys.withColumnRenamed("entity", "o"), "o", "left_semi"))
 
 
-def links_as_triples(links: DataFrame, ent: DataFrame, rel: DataFrame, predicate: str = OWL_SAME_AS,
+def links_as_triples(links: DataFrame, ent: DataFrame, rel: DataFrame | int, predicate: str = OWL_SAME_AS,
                      broadcast_relations: bool | str = "auto") -> DataFrame:
-    """A2: links encoded as (id, id of ``predicate``, id); unknown ends drop out.
+    """A2: links encoded as (id, sameAs relation id, id); unknown ends drop out.
 
-    Every link gets the one relation id of ``predicate`` (the relation
-    appended to the dictionary for the links), whatever its own predicate text.
+    Every link gets one relation id, whatever its own predicate text: ``rel``
+    is either that id or a relation dictionary holding ``predicate`` (the
+    relation appended for the links, D9).
     """
+    if isinstance(rel, int):
+        e = ent.select("entity", "id")
+        return (links.select("s", "o")
+                .join(e.withColumnRenamed("entity", "s").withColumnRenamed("id", "_s_id"), "s")
+                .join(e.withColumnRenamed("entity", "o").withColumnRenamed("id", "_o_id"), "o")
+                .select(F.col("_s_id").alias("s"), F.lit(rel).cast("long").alias("p"), F.col("_o_id").alias("o")))
     return encode_uri(links.withColumn("p", F.lit(predicate)), ent, rel, broadcast_relations=broadcast_relations)
 
 

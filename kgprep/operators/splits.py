@@ -13,7 +13,7 @@ arithmetic, as the reference computes them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,13 +80,30 @@ def shuffle_rank(df: DataFrame, by: str | Sequence[str] | None = "language", see
     return out.select(*df.columns, F.col("rank").alias(rank_col))
 
 
+def cumulative_bounds(fractions: Mapping[str, float]) -> tuple[tuple[str, float], ...]:
+    """``{"train": 0.7, "valid": 0.15, "test": 0.15}`` -> cumulative bounds
+    ``(("train", 0.7), ("valid", 0.85), ("test", 1.0))``; sums are rounded
+    to 12 decimals so that 0.1 + 0.2 gives the bound 0.3."""
+    out, acc = [], 0.0
+    for name, frac in fractions.items():
+        acc = round(acc + float(frac), 12)
+        out.append((name, acc))
+    if out and abs(out[-1][1] - 1.0) > 1e-9:
+        raise ValueError(f"fractions must sum to 1, not {out[-1][1]}")
+    return tuple(out)
+
+
 def split(df: DataFrame, by: str | Sequence[str] | None = "language",
-          parts: Sequence[tuple[str, float]] = TRAIN_VALID_TEST, seed: str = "0", part_col: str = "part",
+          parts: Sequence[tuple[str, float]] | Mapping[str, float] = TRAIN_VALID_TEST, seed: str = "0",
+          part_col: str = "part",
           hash_cols: Sequence[str] | None = None, bucket_digits: int = DEFAULT_BUCKET_DIGITS,
           chunk: int = COPY_CHUNK) -> DataFrame:
     """Exact split per group.  ``parts`` are cumulative upper bounds:
     part i takes ranks in ``[floor(b_{i-1} * n), floor(b_i * n))``, the last
-    part takes the rest."""
+    part takes the rest.  A mapping of per-part fractions is accepted too
+    (``cumulative_bounds``)."""
+    if isinstance(parts, Mapping):
+        parts = cumulative_bounds(parts)
     out = _ranked(df, by, seed, hash_cols, bucket_digits, chunk)
     n = F.col("_n").cast("double")
     label = None

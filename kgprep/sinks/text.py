@@ -38,16 +38,24 @@ def _write_lines(lines: DataFrame, path: str, mode: str, compression: str | None
     w.text(path)
 
 
+def _ordered(df: DataFrame, order_by: Sequence[str] | None) -> DataFrame:
+    """D8 as a sink option: range-partitioned and sorted inside each part,
+    so the parts concatenate in key order (no single-task sort)."""
+    return df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
+
+
 def write_tuples(df: DataFrame, path: str, cols: Sequence[str] | None = None, mode: str = "overwrite",
-                 compression: str | None = None) -> None:
+                 compression: str | None = None, order_by: Sequence[str] | None = None) -> None:
     """K1: one ``(a,b[,c])`` line per row."""
-    _write_lines(df.select(tuple_text(cols or df.columns).alias("value")), path, mode, compression)
+    _write_lines(_ordered(df, order_by).select(tuple_text(cols or df.columns).alias("value")), path, mode,
+                 compression)
 
 
 def write_tsv(df: DataFrame, path: str, cols: Sequence[str] | None = None, mode: str = "overwrite",
-              compression: str | None = None) -> None:
+              compression: str | None = None, order_by: Sequence[str] | None = None) -> None:
     """K2: headerless TSV, overwrite."""
-    _write_lines(df.select(tsv_text(cols or df.columns).alias("value")), path, mode, compression)
+    _write_lines(_ordered(df, order_by).select(tsv_text(cols or df.columns).alias("value")), path, mode,
+                 compression)
 
 
 def counted_lines(df: DataFrame, cols: Sequence[str] | None = None, order_by: Sequence[str] | None = None,

@@ -102,3 +102,11 @@ def test_counts_joint_language_part(spark):
     assert joint(parts, "train").count() == 14 + 7
     assert language_part(parts, "es", "test").count() == 3
     assert parts.where(F.col("part").isNull()).count() == 0
+
+
+def test_split_accepts_fractions(spark):
+    from kgprep.operators.splits import cumulative_bounds
+    assert cumulative_bounds({"a": 0.1, "b": 0.2, "c": 0.7}) == (("a", 0.1), ("b", 0.3), ("c", 1.0))
+    q = _quads(spark, {"x": 90})
+    got = collections.Counter(r.part for r in split(q, parts={"train": 0.7, "valid": 0.15, "test": 0.15}).collect())
+    assert got == {"train": 62, "valid": 14, "test": 14}

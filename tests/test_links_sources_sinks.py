@@ -76,6 +76,7 @@ def test_link_operators(spark):
     assert [(r.s, r.o) for r in known_links(ln, ent).collect()] == [("a", "b")]
     lt = links_as_triples(ln, ent, rel, "sameAs").collect()
     assert [(r.s, r.p, r.o) for r in lt] == [(0, 1, 1)]
+    assert [(r.s, r.p, r.o) for r in links_as_triples(ln, ent, 7).collect()] == [(0, 7, 1)]
     train = spark.createDataFrame([(2, 0, 0)], "s long, p long, o long")
     assert with_links(train, links_as_triples(ln, ent, rel, "sameAs")).count() == 2
     tri = spark.createDataFrame([("a", "p", "c"), ("a", "q", "c")], "s string, p string, o string")
@@ -151,6 +152,11 @@ def test_counted_and_tuples(spark, tmp):
     text = "".join(open(f"{tmp}/c/{p}").read() for p in parts).splitlines()
     assert text[0] == "1000" and text[1] == "e0\t0" and text[-1] == "e999\t999"
     assert counted_lines(df.limit(0)).collect()[0].value == "0"
+    from kgprep.sinks import write_tsv
+    write_tsv(df, f"{tmp}/sorted", order_by=["id"])
+    parts = sorted(p for p in os.listdir(f"{tmp}/sorted") if p.startswith("part-"))
+    ids = [int(x.split("\t")[1]) for p in parts for x in open(f"{tmp}/sorted/{p}").read().splitlines()]
+    assert ids == list(range(1000))
     write_tuples(spark.createDataFrame([("http://x/a,b(c)", 1)], "entity string, id long"), f"{tmp}/t")
     line = spark.read.text(f"{tmp}/t").collect()[0].value
     assert line == "(http://x/a,b(c),1)" and line[1:-1].rsplit(",", 1) == ["http://x/a,b(c)", "1"]
