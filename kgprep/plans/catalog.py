@@ -232,7 +232,7 @@ def _w4(spark, sf):
     from kgprep.plans.jobs import prepare_two_way
     out = scratch_path(spark, "w4")
     prepare_two_way(spark, _two_way_inputs(spark, sf), out, seed=dv.SEED)
-    return spark.read.text(f"{out}/train2id_merged")
+    return spark.read.text(f"{out}/triple2id_ex2")
 
 
 def _w5(spark, sf):

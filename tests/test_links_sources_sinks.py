@@ -183,4 +183,7 @@ def test_prepare_jobs(spark, tmp):
                   if "\t" in r.value)
     assert merged["e15"] == "1" and merged["e16"] == "2"
     prepare_two_way(spark, src, f"{tmp}/w4", seed="1", merge_mode="ordered")
-    assert spark.read.text(f"{tmp}/w4/test2id").count() == 12 - 9 + 8 - 6
+    assert spark.read.text(f"{tmp}/w4/test2id_ex1").count() == 12 - 9 + 8 - 6
+    parts = sorted(p for p in os.listdir(f"{tmp}/w4/entity2id") if p.startswith("part-"))
+    first = open(f"{tmp}/w4/entity2id/{parts[0]}").readline().strip()
+    assert first == "20"  # the count line heads the concatenated parts
