@@ -93,3 +93,13 @@ def test_encode_graph_job(spark, tmp):
     assert spark.read.text(outs["uri_mappings"]).count() == 378
     lits = spark.read.text(outs["literal_mappings"]).collect()
     assert len(lits) == 622 and any('"Absalon"@en' in r.value for r in lits)
+
+
+def test_cli_encode_graph_readable(spark, tmp):
+    from kgprep.__main__ import main
+    outs = main(["encode-graph", SAMPLE, "--out", tmp + "/cli", "--readable"])
+    lines = [r.value for r in spark.read.text(outs["literals"]).collect()]
+    assert collections.Counter(lines) == collections.Counter(_sample_lines("Literals"))
+    uri = [r.value for r in spark.read.text(outs["uri_triples"]).collect()]
+    assert collections.Counter(uri) == collections.Counter(_sample_lines("Triples with URI"))
+    assert spark.read.text(outs["blank_nodes"]).count() == 0
