@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +24,22 @@ MAX_BROADCAST_ROWS = 2_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the side is proven small.
 
-    The row count is checked only for a persisted side (the jobs persist
-    their relation dictionaries, so the check also fills the cache); a lazy
-    side is left to AQE, which converts the join to a broadcast at run time
-    from the measured size.  Above ``max_rows`` the side is shuffle-joined.
+    The side is persisted and its rows counted first (a relation
+    dictionary is a distinct over one column, so this costs one scan with
+    map-side partial aggregation).  Within ``max_rows`` it is broadcast from
+    the cache, and the big side is never shuffled for this join.  Otherwise
+    the cache is dropped and the side is shuffle-joined.  A join planned as
+    a shuffle and converted by AQE at run time would already have written
+    the big side's shuffle.
     """
-    if not df.storageLevel.useMemory and not df.storageLevel.useDisk:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    was_cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    side = df if was_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = side.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(side)
+    if not was_cached:
+        side.unpersist()
+    return df
 
 
 def _entity_side(ent: DataFrame, col: str, sc: list[str]) -> DataFrame:

@@ -48,6 +48,9 @@ def test_persisted_relations_are_broadcast(spark):
     plan = encode_uri(t, entity_dictionary(t), rel)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     rel.unpersist()
+    lazy = encode_uri(t, entity_dictionary(t), relation_dictionary(t))  # counted, then broadcast
+    plan = lazy._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
 def test_split_plan_has_no_single_partition_on_rows(spark):
