@@ -58,7 +58,13 @@ def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = Non
               bucket_digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
     """D3: ids 0..n-1 (per scope) for a DataFrame of distinct keys."""
     sc = _scope_list(scope)
-    keyed = keys.select(*sc, F.col(key), F.md5(F.col(key).cast("string")).alias("_h"))
+    # Rows with a null key or scope get no id.  Filtering them here also
+    # keeps both branches below identical (the join would otherwise infer
+    # not-null filters on one side only), so their exchange is reused.
+    present = F.col(key).isNotNull()
+    for c in sc:
+        present = present & F.col(c).isNotNull()
+    keyed = keys.where(present).select(*sc, F.col(key), F.md5(F.col(key).cast("string")).alias("_h"))
     keyed = keyed.withColumn("_b", F.substring("_h", 1, bucket_digits))
     inside = Window.partitionBy(*sc, "_b").orderBy("_h", key)
     ranked = keyed.withColumn("_r", F.row_number().over(inside))
@@ -68,8 +74,7 @@ def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = Non
     counts = ranked.groupBy(*sc, "_b").agg(F.max("_r").alias("_n"))
     before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    # left join: every bucket has an offset, and an inner join would infer
-    # not-null filters on one branch only, defeating the exchange reuse
+    # left join: every bucket has an offset
     return (ranked.join(offsets, on=[*sc, "_b"], how="left")
             .select(*sc, key, (F.col("_off") + F.col("_r") - 1).cast("long").alias(id_col)))
 

@@ -56,7 +56,11 @@ def _ranked(df: DataFrame, by: str | Sequence[str] | None, seed: str, hash_cols:
     cols = list(df.columns)
     data_cols = [c for c in cols if c not in sc]
     hcols = list(hash_cols) if hash_cols else data_cols
-    counted = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    present = None
+    for c in sc:  # rows without a group value are not ranked (see ids.dense_ids)
+        present = F.col(c).isNotNull() if present is None else present & F.col(c).isNotNull()
+    src = df.where(present) if present is not None else df
+    counted = (src.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
                .withColumn("_h", row_hash(hcols, seed))
                .withColumn("_b", F.substring("_h", 1, bucket_digits)))
     buckets = counted.groupBy(*sc, "_b").agg(F.sum("_c").alias("_bn"))
