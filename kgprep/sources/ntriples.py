@@ -38,25 +38,29 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
     if mode not in (FAILFAST, DROPMALFORMED, PERMISSIVE):
         raise ValueError(f"unknown mode {mode!r}")
     line = F.col(value_col)
-    df = lines
-    if uri_subjects_only:
-        df = df.where(line.startswith("<"))
-    df = df.where(~is_skippable(line))
     extra = [blank_scope.alias("_bscope")] if blank_scope is not None else []
-    # The statement regex must run once per line.  A filter on its result
-    # would be pushed below the projection with the regex inlined (twice
-    # per line), so FAILFAST raises inside the projection and
-    # DROPMALFORMED explodes a 0- or 1-element array instead of filtering.
-    parts = split_statement(line)
+    # The statement regex must run once per line, and the line expression
+    # itself once.  A filter on either would be pushed below the projection
+    # (and into every branch of a union feeding it) with the expression
+    # inlined.  So the regex runs in one projection, and skipping, dropping
+    # and failing are decided by a generator on top of it: each line
+    # explodes into a 0- or 1-element array (a CASE, so it stays in codegen).
+    if uri_subjects_only:
+        # a prefix test on the raw line, before any regex (filter before parse)
+        lines = lines.where(line.startswith("<"))
+    df = lines.select(*keep, *extra, line.alias("_line"), split_statement(line).alias("_split"))
+    parts, text = F.col("_split"), F.col("_line")
+    drop = is_skippable(text)
+    ok = F.size(parts) == 3
     if mode == FAILFAST:
-        parts = F.when(F.size(parts) == 3, parts).otherwise(
-            F.raise_error(F.concat(F.lit("malformed N-Triples line: "), line)).cast("array<string>"))
-        df = df.select(*keep, *extra, line.alias("_line"), parts.alias("_parts"))
+        kept = F.when(drop, F.lit(None)).when(ok, parts).otherwise(
+            F.raise_error(F.concat(F.lit("malformed N-Triples line: "), text)).cast("array<string>"))
     elif mode == DROPMALFORMED:
-        df = df.select(*keep, *extra, line.alias("_line"),
-                       F.explode(F.filter(F.array(parts), lambda a: F.size(a) == 3)).alias("_parts"))
+        kept = F.when(drop | ~ok, F.lit(None)).otherwise(parts)
     else:
-        df = df.select(*keep, *extra, line.alias("_line"), parts.alias("_parts"))
+        kept = F.when(drop, F.lit(None)).otherwise(parts)
+    one = F.when(kept.isNotNull(), F.array(kept)).otherwise(F.array().cast("array<array<string>>"))
+    df = df.select(*keep, *(["_bscope"] if extra else []), "_line", F.explode(one).alias("_parts"))
     ok = F.size("_parts") == 3
     s_raw, p_raw, o_raw = (F.get(F.col("_parts"), i) for i in range(3))
     df = df.select(*keep, *(["_bscope"] if extra else []), "_line", ok.alias("_ok"),
