@@ -47,10 +47,9 @@ def _entity_side(ent: DataFrame, col: str, sc: list[str]) -> DataFrame:
 
 
 def _relation_side(rel: DataFrame, col: str, sc: list[str], broadcast: bool | str) -> DataFrame:
-    if broadcast == "auto":
+    # any request to broadcast goes through the size check; False never hints
+    if broadcast:
         rel = bounded_broadcast(rel)
-    elif broadcast:
-        rel = F.broadcast(rel)
     return rel.select(*sc, F.col("relation").alias(col), F.col("id").alias(f"_{col}_id"))
 
 
