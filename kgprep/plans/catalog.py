@@ -167,6 +167,13 @@ def _k1(spark, sf):
     return spark.read.text(path)
 
 
+def _k1_back(spark, sf):
+    from kgprep.schema import ENTITY_DICT
+    path = scratch_path(spark, "k1-dict")
+    K.write_tuples(_ent_g(spark, sf), path, ["entity", "id"])
+    return T.read_tuples(spark, path, ENTITY_DICT)
+
+
 def _k2(spark, sf):
     path = scratch_path(spark, "k2-tsv")
     K.write_tsv(dv.quads(spark, sf).select("s", "p", "o"), path)
@@ -308,6 +315,7 @@ QUERIES: dict[str, Query] = {
     "a7_reencode_merged": lambda sp, sf: J.encode_strict(_train(sp, sf), _merged_star(sp, sf), _rel_qs(sp, sf)),
     "a8_language_test_three_ways": _a8,
     "k1_write_tuples": _k1,
+    "k1_read_tuples_back": _k1_back,
     "k2_write_tsv": _k2,
     "k3_write_counted": _k3,
     "k4_write_readable": _k4,

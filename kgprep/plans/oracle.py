@@ -227,6 +227,7 @@ ORACLES: dict[str, str] = {
                                "(SELECT relation, id FROM rel_ql WHERE language = 'es')", "'own' AS dictionary, "),
         "split3", "merged_star", "rel_qs", "ent_ql", "rel_ql"),
     "k1_write_tuples": with_ctes(f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM enc_g", "enc_g"),
+    "k1_read_tuples_back": with_ctes("SELECT entity, id FROM ent_g", "ent_g"),
     "k2_write_tsv": with_ctes(f"SELECT {_tsv(['s', 'p', 'o'])} AS value FROM quads", "quads"),
     "k3_write_counted": with_ctes(f"SELECT {_tsv(['entity', 'id'])} AS value FROM ent_q "
                                   "UNION ALL SELECT CAST(count(*) AS VARCHAR) AS value FROM ent_q", "ent_q"),

@@ -1,6 +1,6 @@
 from kgprep.sources.ntriples import (DROPMALFORMED, FAILFAST, PERMISSIVE, parse_ntriples, read_language_datasets,
                                      read_ntriples)
-from kgprep.sources.tsv import read_dictionary, read_links, read_quads, read_tsv
+from kgprep.sources.tsv import read_dictionary, read_links, read_quads, read_tsv, read_tuples
 
 __all__ = ["DROPMALFORMED", "FAILFAST", "PERMISSIVE", "parse_ntriples", "read_dictionary",
-           "read_language_datasets", "read_links", "read_ntriples", "read_quads", "read_tsv"]
+           "read_language_datasets", "read_links", "read_ntriples", "read_quads", "read_tsv", "read_tuples"]

@@ -8,6 +8,7 @@ quoting is off so a ``"`` inside a URI is plain data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgprep.schema import LINK, QUAD
@@ -37,3 +38,16 @@ def read_quads(spark: SparkSession, path: str, glob: str | None = "*.bz2") -> Da
 def read_links(spark: SparkSession, path: str, glob: str | None = "*.bz2") -> DataFrame:
     """``s, p, o`` sameAs links."""
     return read_tsv(spark, path, LINK, glob)
+
+
+def read_tuples(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Tuple text ``(a,b[,c])`` (the K1 layout) back into typed columns.
+
+    Only the first field may contain commas (URIs do), so the line is split
+    on its last ``n - 1`` commas; the other fields are cast to the schema.
+    """
+    n = len(schema.fields)
+    pattern = r"^\((.*)" + r",([^,]*)" * (n - 1) + r"\)$"
+    line = F.col("value")
+    cols = [F.regexp_extract(line, pattern, i + 1).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
+    return spark.read.text(path).where(line.rlike(pattern)).select(*cols)

@@ -103,3 +103,21 @@ def test_cli_encode_graph_readable(spark, tmp):
     uri = [r.value for r in spark.read.text(outs["uri_triples"]).collect()]
     assert collections.Counter(uri) == collections.Counter(_sample_lines("Triples with URI"))
     assert spark.read.text(outs["blank_nodes"]).count() == 0
+
+
+def test_read_tuples_and_decode_sample_with_spark(spark, graph):
+    from kgprep.schema import ENCODED, ENTITY_DICT, RELATION_DICT
+    from kgprep.sources import read_tuples
+    ent = read_tuples(spark, os.path.join(REFERENCE, "EntityId"), ENTITY_DICT)
+    rel = read_tuples(spark, os.path.join(REFERENCE, "RelationId"), RELATION_DICT)
+    enc = read_tuples(spark, os.path.join(REFERENCE, "MAPPINGS"), ENCODED)
+    assert ent.count() == 305 and sorted(r.id for r in ent.collect()) == list(range(305))
+    assert ent.where(F.col("entity").contains(",")).count() >= 2  # commas inside URIs survive
+    assert rel.count() == 9 and enc.count() == 378
+    e = ent.withColumnRenamed("entity", "uri")
+    decoded = (enc.join(e.withColumnRenamed("uri", "su").withColumnRenamed("id", "s"), "s")
+               .join(e.withColumnRenamed("uri", "ou").withColumnRenamed("id", "o"), "o")
+               .join(rel.withColumnRenamed("relation", "pu").withColumnRenamed("id", "p"), "p")
+               .select("su", "pu", "ou"))
+    ours = uri_triples(graph).select(F.col("s").alias("su"), F.col("p").alias("pu"), F.col("o").alias("ou"))
+    assert decoded.exceptAll(ours).count() == 0 and ours.exceptAll(decoded).count() == 0
