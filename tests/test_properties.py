@@ -84,3 +84,36 @@ def test_split_parts_cover_input_as_bag(spark):
     out = split(q, seed="x").collect()
     from collections import Counter
     assert Counter((r.s, r.p, r.o, r.language) for r in out) == Counter(rows)
+
+
+
+def test_render_then_parse_is_identity(spark):
+    from kgprep.functions import nt_line
+    from kgprep.sources import parse_ntriples
+    rnd = random.Random(11)
+
+    def lexical():
+        # an N-Triples lexical form: any text with quotes and backslashes escaped
+        raw = "".join(rnd.choice('ab c.#<>@^_-é\'"\\') for _ in range(rnd.randrange(0, 12)))
+        return raw.replace("\\", "\\\\").replace('"', '\\"')
+
+    rows = []
+    for i in range(300):
+        s_kind = rnd.choice(["uri", "blank"])
+        s = f"http://x/s{i}" if s_kind == "uri" else f"_:b{i}"
+        o_kind = rnd.choice(["uri", "blank", "literal"])
+        lang = dt = None
+        if o_kind == "uri":
+            o = f"http://x/o,{i}(é)"
+        elif o_kind == "blank":
+            o = f"_:n{i}.x"
+        else:
+            o = lexical()
+            pick = rnd.randrange(3)
+            lang = "en-GB" if pick == 0 else None
+            dt = "http://t#int" if pick == 1 else None
+        rows.append((s, s_kind, f"http://x/p{i % 5}", o, o_kind, lang, dt))
+    schema = "s string, s_kind string, p string, o string, o_kind string, o_lang string, o_datatype string"
+    df = spark.createDataFrame(rows, schema)
+    back = parse_ntriples(df.select(nt_line().alias("value")))
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
