@@ -104,8 +104,9 @@ def read_ntriples(spark: SparkSession, paths: str | Iterable[str], mode: str = F
     return parse_ntriples(lines, mode=mode, uri_subjects_only=uri_subjects_only, blank_scope=scope)
 
 
-# ``<root>/<language>/<dataset>_<language>.ttl[.bz2]``
-_PATH_PARTS = r"/([^/]+)/([^/]+)_([^/_]+)\.ttl(?:\.bz2)?$"
+# ``<root>/<language>/<dataset>_<language>.ttl[.bz2]``, either one file or a
+# Hadoop output directory of that name holding part files
+_PATH_PARTS = r"/([^/]+)/([^/]+)_([^/_]+)\.ttl(?:\.bz2)?(?:/[^/]+)?$"
 
 
 def read_language_datasets(spark: SparkSession, root: str, languages: Sequence[str] | None = None,

@@ -133,9 +133,16 @@ def _tree(tmp):
 
 def test_language_tree(spark, tmp):
     root = _tree(tmp)
+    # a "file" may also be a Hadoop output directory of parts
+    os.makedirs(f"{root}/fr/labels_fr.ttl.bz2")
+    for i in range(2):
+        with bz2.open(f"{root}/fr/labels_fr.ttl.bz2/part-{i}.bz2", "wt", encoding="utf-8") as f:
+            f.write(f"<http://x/fr/{i}> <http://x/p> <http://x/fr/z> .\n")
     g = read_language_datasets(spark, root, ["en", "es", "fr"], ["labels", "types"])
     got = {(r.language, r.dataset) for r in g.select("language", "dataset").distinct().collect()}
-    assert got == {("en", "labels"), ("en", "types"), ("es", "labels")}
+    assert got == {("en", "labels"), ("en", "types"), ("es", "labels"), ("fr", "labels")}
+    assert g.where("language = 'fr'").count() == 2
+    g = g.where("language != 'fr'")
     assert g.where("s_kind = 'blank'").count() == 0  # lines must start with '<'
     outs = encode_languages(spark, root, f"{tmp}/w2", ["en", "es"], ["labels", "types"])
     ents = spark.read.text(outs["entity_ids"]).collect()
