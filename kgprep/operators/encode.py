@@ -10,6 +10,7 @@ only after its row count is checked against ``MAX_BROADCAST_ROWS`` (see
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -46,6 +47,35 @@ def _entity_side(ent: DataFrame, col: str, sc: list[str]) -> DataFrame:
     return ent.select(*sc, F.col("entity").alias(col), F.col("id").alias(f"_{col}_id"))
 
 
+def heavy_keys(df: DataFrame, cols: Sequence[str], min_share: float) -> DataFrame:
+    """Key values held by at least ``min_share`` of the rows (exact counts,
+    map-side partial aggregation).  There are at most ``1 / min_share`` of
+    them, which is the size bound that lets them be broadcast."""
+    total = df.count()
+    threshold = max(1, math.ceil(min_share * total))
+    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") >= threshold).select(*cols))
+
+
+def _lookup_join(x: DataFrame, side: DataFrame, keys: list[str], how: str,
+                 skew_share: float | None) -> DataFrame:
+    """Equi-join of the data ``x`` with a dictionary side on ``keys``.
+
+    With ``skew_share`` the heavy key values of ``x`` are split off: their
+    rows meet the matching dictionary rows (at most ``1 / skew_share`` of
+    them) in a broadcast join, with no shuffle, and only the remaining rows
+    are shuffle-joined, so no join task receives a hot key.  Without it, AQE
+    splits skewed partitions at run time.
+    """
+    if not skew_share:
+        return x.join(side, on=keys, how=how)
+    hot = F.broadcast(heavy_keys(x, keys, skew_share).persist(StorageLevel.MEMORY_AND_DISK))
+    hot_side = F.broadcast(side.join(hot, on=keys, how="left_semi"))
+    hot_rows = x.join(hot, on=keys, how="left_semi").join(hot_side, on=keys, how=how)
+    cold_rows = x.join(hot, on=keys, how="left_anti").join(side, on=keys, how=how)
+    return hot_rows.unionByName(cold_rows)
+
+
 def _relation_side(rel: DataFrame, col: str, sc: list[str], broadcast: bool | str) -> DataFrame:
     # any request to broadcast goes through the size check; False never hints
     if broadcast:
@@ -54,28 +84,32 @@ def _relation_side(rel: DataFrame, col: str, sc: list[str], broadcast: bool | st
 
 
 def encode_uri(df: DataFrame, ent: DataFrame, rel: DataFrame, scope: str | Sequence[str] | None = None,
-               keep: Sequence[str] = (), broadcast_relations: bool | str = "auto") -> DataFrame:
+               keep: Sequence[str] = (), broadcast_relations: bool | str = "auto",
+               skew_share: float | None = None) -> DataFrame:
     """(s, p, o) URIs -> ids; inner joins, duplicates kept.
 
     With ``scope`` (e.g. ``"language"``) the lookup is on ``(scope, uri)``
     so each scope uses its own dictionary; ``keep`` columns ride along.
+    ``skew_share`` (e.g. 0.01) splits off subjects / objects holding at
+    least that share of the rows (see ``_lookup_join``).
     """
     sc = _scope_list(scope)
     x = df.select(*dict.fromkeys([*sc, *keep, "s", "p", "o"]))
     x = x.join(_relation_side(rel, "p", sc, broadcast_relations), on=[*sc, "p"], how="inner")
-    x = x.join(_entity_side(ent, "s", sc), on=[*sc, "s"], how="inner")
-    x = x.join(_entity_side(ent, "o", sc), on=[*sc, "o"], how="inner")
+    x = _lookup_join(x, _entity_side(ent, "s", sc), [*sc, "s"], "inner", skew_share)
+    x = _lookup_join(x, _entity_side(ent, "o", sc), [*sc, "o"], "inner", skew_share)
     return x.select(*dict.fromkeys([*sc, *keep]), F.col("_s_id").alias("s"), F.col("_p_id").alias("p"),
                     F.col("_o_id").alias("o"))
 
 
 def encode_literal(df: DataFrame, ent: DataFrame, rel: DataFrame, scope: str | Sequence[str] | None = None,
-                   keep: Sequence[str] = (), broadcast_relations: bool | str = "auto") -> DataFrame:
+                   keep: Sequence[str] = (), broadcast_relations: bool | str = "auto",
+                   skew_share: float | None = None) -> DataFrame:
     """Subject and predicate -> ids; the literal (o, o_lang, o_datatype) is unchanged."""
     sc = _scope_list(scope)
     x = df.select(*dict.fromkeys([*sc, *keep, "s", "p", "o", "o_lang", "o_datatype"]))
     x = x.join(_relation_side(rel, "p", sc, broadcast_relations), on=[*sc, "p"], how="inner")
-    x = x.join(_entity_side(ent, "s", sc), on=[*sc, "s"], how="inner")
+    x = _lookup_join(x, _entity_side(ent, "s", sc), [*sc, "s"], "inner", skew_share)
     return x.select(*dict.fromkeys([*sc, *keep]), F.col("_s_id").alias("s"), F.col("_p_id").alias("p"),
                     "o", "o_lang", "o_datatype")
 

@@ -71,3 +71,20 @@ def test_parse_pushes_nothing_but_runs_regex_once(spark, tmp):
         ops = [seg for seg in plan.split("+- ") if "(<[^>]*>)\\s+(" in seg]
         assert len(ops) == 1, (mode, ops)
         assert not ops[0].lstrip("*() 0123456789").startswith("Filter"), mode
+
+
+def test_explicit_heavy_key_split(spark):
+    n = 30000
+    t = spark.range(n).select(
+        F.concat(F.lit("http://x/s"), (F.col("id") % 5000).cast("string")).alias("s"), F.lit("http://x/type").alias("p"),
+        F.when(F.col("id") % 3 == 0, F.lit("http://x/HOT"))
+        .otherwise(F.concat(F.lit("http://x/o"), F.col("id").cast("string"))).alias("o"),
+        F.lit("uri").alias("s_kind"), F.lit("uri").alias("o_kind"))
+    ent, rel = entity_dictionary(t), relation_dictionary(t)
+    plain = encode_uri(t, ent, rel)
+    split_ = encode_uri(t, ent, rel, skew_share=0.05)
+    assert plain.exceptAll(split_).count() == 0 and split_.exceptAll(plain).count() == 0
+    assert split_.count() == n
+    from kgprep.operators.encode import heavy_keys
+    hot = [r.o for r in heavy_keys(t, ["o"], 0.05).collect()]
+    assert hot == ["http://x/HOT"]
