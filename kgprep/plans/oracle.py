@@ -177,6 +177,7 @@ ORACLES: dict[str, str] = {
     "d8_sorted_by_id": with_ctes("SELECT * FROM ent_g", "ent_g"),
     "d9_append_relation": with_ctes("SELECT * FROM rel_qs", "rel_qs"),
     "j4_encode_uri": with_ctes("SELECT * FROM enc_g", "enc_g"),
+    "j4_encode_uri_heavy_split": with_ctes("SELECT * FROM enc_g", "enc_g"),
     "j5_encode_literal": with_ctes("SELECT es.id AS s, r.id AS p, g.o, g.o_lang, g.o_datatype FROM graph g "
                                    "JOIN ent_g es ON es.entity = g.s JOIN rel_g r ON r.relation = g.p "
                                    "WHERE g.s_kind = 'uri' AND g.o_kind = 'literal'", "graph", "ent_g", "rel_g"),
