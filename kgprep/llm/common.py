@@ -37,3 +37,19 @@ def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two XXH64 chains with different seeds
     (the leading literal seeds the second)."""
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
+    """A broadcast hint for ``df`` if its measured size allows it.
+
+    ``df`` is read once for its size, so it should be a written table.  The
+    join is the same either way; beyond the bound it is a shuffle join.
+    """
+    size = F.lit(16)
+    for field in df.schema.fields:
+        text = field.dataType.simpleString() == "string"
+        size = size + (F.coalesce(F.octet_length(field.name), F.lit(0)) if text else
+                       F.coalesce(F.size(field.name), F.lit(0)) * 24 if field.dataType.typeName() == "array" else
+                       F.lit(8))
+    total = df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kgprep.llm.common import table
+from kgprep.llm.decontamination import contamination_digest
 from kgprep.llm.line_dedup import line_dedup_digest
 from kgprep.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination_digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(table(spark, sf, "documents"), n_shards=24)
 
@@ -22,11 +27,43 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontamination": r"""
+        WITH doc AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), item AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), grams AS (
+            SELECT DISTINCT item_id, least(13, len(w)) AS n,
+                   array_to_string(list_slice(w, s, s + least(13, len(w)) - 1), ' ') AS phrase
+            FROM item, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS u(s) WHERE len(w) > 0
+        ), places AS (
+            SELECT d.doc_id, p.pos, l.n, array_to_string(list_slice(d.w, p.pos, p.pos + l.n - 1), ' ') AS phrase
+            FROM doc d, unnest(range(1, len(d.w) + 1)) AS p(pos), (SELECT DISTINCT n FROM grams) l
+            WHERE p.pos + l.n - 1 <= len(d.w)
+        ), found AS (
+            SELECT p.doc_id, p.pos, p.n, g.item_id FROM places p JOIN grams g ON p.phrase = g.phrase AND p.n = g.n
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT word_pos) AS n_hit
+            FROM (SELECT DISTINCT doc_id, pos, n FROM found) f, unnest(range(f.pos, f.pos + f.n)) AS u(word_pos)
+            GROUP BY doc_id
+        ), ids AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+            FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+               coalesce(i.n_items, 0)::BIGINT AS n_items, sha256(coalesce(i.items, '')) AS items_sha256,
+               coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+        FROM doc d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN ids i ON d.doc_id = i.doc_id""",
     "op8_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, pos, parts[pos] AS line,
