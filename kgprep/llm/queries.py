@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kgprep.llm.common import table
 from kgprep.llm.decontamination import contamination_digest
 from kgprep.llm.line_dedup import line_dedup_digest
+from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_documents(table(spark, sf, "documents"), n_shards=24)
 
 
+def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets_digest(table(spark, sf, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf, "documents"))
 
@@ -29,6 +34,7 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
+    "op3_secret_scan": op3_secret_scan,
     "op8_line_dedup": op8_line_dedup,
 }
 
