@@ -11,6 +11,7 @@ from kgprep.llm.decontamination import contamination_digest
 from kgprep.llm.line_dedup import line_dedup_digest
 from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
+from kgprep.llm.simhash_dedup import near_duplicate_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets_digest(table(spark, sf, "documents"))
 
 
+def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicate_digest(table(spark, sf, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf, "documents"))
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_secret_scan": op3_secret_scan,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
 
