@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgprep.llm.common import table
 from kgprep.llm.decontamination import contamination_digest
+from kgprep.llm.fingerprints import fingerprint_digest
 from kgprep.llm.line_dedup import line_dedup_digest
 from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
@@ -28,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets_digest(table(spark, sf, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_digest(table(spark, sf, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_digest(table(spark, sf, "documents"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_secret_scan": op3_secret_scan,
+    "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op8_line_dedup": op8_line_dedup,
 }

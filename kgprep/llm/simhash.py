@@ -1,8 +1,4 @@
-"""Voting fingerprints: the bit counts behind SimHash, for tasks that read text.
-
-Executors may not have this package, so the functions that run in tasks are
-built by factories here and pickled by value.
-"""
+"""The bit counts behind SimHash, for tasks that read text."""
 
 from __future__ import annotations
 
