@@ -10,6 +10,7 @@ from kgprep.llm.common import table
 from kgprep.llm.decontamination import contamination_digest
 from kgprep.llm.fingerprints import fingerprint_digest
 from kgprep.llm.line_dedup import line_dedup_digest
+from kgprep.llm.packing import pack_documents
 from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
 from kgprep.llm.simhash_dedup import near_duplicate_digest
@@ -41,6 +42,10 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
