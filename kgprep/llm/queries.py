@@ -14,6 +14,7 @@ from kgprep.llm.packing import pack_documents
 from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
 from kgprep.llm.simhash_dedup import near_duplicate_digest
+from kgprep.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +43,10 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
