@@ -1,7 +1,10 @@
-"""Corpus pipeline: the stages that turn ``documents`` into packed sequences.
+"""Corpus pipeline: ``documents`` to packed training sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next stage's ``docs``.
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``docs``; ``n_chars``, where there is one,
+follows the text.  Rows without an id, null texts, repeated rows and empty
+tables go through each stage as its operator's docstring says.
 """
 
 from __future__ import annotations
@@ -10,23 +13,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgprep.llm.common import table, written
+from kgprep.llm.decontamination import decontaminate
 from kgprep.llm.line_dedup import dedup_lines
+from kgprep.llm.packing import pack_documents
+from kgprep.llm.simhash_dedup import first_of_each_group
+from kgprep.llm.toxicity import score_documents
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go."""
+    scored = score_documents(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds are taken out of the text."""
     out = dedup_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+    out = out.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(
+            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id."""
+    return first_of_each_group(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much benchmark text go."""
+    out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return out.where(~F.col("contaminated")).select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is tokenised, cut and packed: one row per piece, with its sequence and place."""
+    return pack_documents(docs)
 
 
-STAGES = [("line_dedup", line_dedup)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
+# A classifier, connected components and a tokenizer are not SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,7 +21,7 @@ common, so a star per neighbour has the same components as the pairs, with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgprep.llm.common import written
@@ -35,15 +35,16 @@ SIGNATURE_COST = 4.0  # a signature row costs about as much as this many candida
 
 
 def with_fingerprint(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, t1, fp): a hash of the text, and the fingerprint as a signed 64-bit integer."""
     def run(batches):
         fingerprint = shingle_fingerprints(n, seed)
         for pdf in batches:
             fps = [fingerprint(t) for t in pdf["text"]]
-            yield pdf[["doc_id"]].assign(fp=[v - (1 << 64) if v >> 63 else v for v in fps])
+            yield pdf[["doc_id", "t1"]].assign(fp=[v - (1 << 64) if v >> 63 else v for v in fps])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t1")).mapInPandas(
+        run, f"doc_id {kind}, t1 long, fp long")
 
 
 def bit_statistics(fps: DataFrame):
@@ -189,7 +190,8 @@ def links(fps: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMIT) ->
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row per document row: doc_id, fp, component_id (the smallest doc_id reachable).
+    """One row per document row: doc_id, t1, fp, label (a fingerprint that stands
+    for the component), component_id (the smallest doc_id reachable).
 
     Null and empty texts have fingerprint 0 and are linked like any other.
     Null ids are passed over by the minimum; a component of null ids only
@@ -203,8 +205,23 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = RADIUS) -> DataFr
         "fp", F.coalesce("label", "fp").alias("label"), "least")
     # a label is shared by few fingerprints or many; the minimum combines before the shuffle
     least = tagged.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = written(tagged.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = written(tagged.select("fp", "label").join(least, "label").select("fp", "label", "component_id"), "components")
+    return rows.join(of_fp, "fp").select("doc_id", "t1", "fp", "label", "component_id")
+
+
+def first_of_each_group(docs: DataFrame, n: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each group: a row with the smallest id.
+
+    Of several rows with that id the one whose text has the smallest hash
+    stays, and of exact repeats one.  A group without ids is treated alike.
+    """
+    keyed = near_duplicates(docs, n, radius)
+    keep = keyed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label").agg(
+        F.min("doc_id").alias("_k"), F.min("t1").alias("_kt"))
+    rows = docs.select("*", F.xxhash64("text").alias("_t"))
+    rows = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_kt")), "left_semi")
+    repeat = Window.partitionBy("doc_id", "_t").orderBy(F.xxhash64(*docs.columns))
+    return rows.withColumn("_r", F.row_number().over(repeat)).where("_r = 1").select(docs.columns)
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
