@@ -11,6 +11,7 @@ from kgprep.llm.decontamination import contamination_digest
 from kgprep.llm.fingerprints import fingerprint_digest
 from kgprep.llm.line_dedup import line_dedup_digest
 from kgprep.llm.packing import pack_documents
+from kgprep.llm.scoring import score_texts
 from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
 from kgprep.llm.simhash_dedup import near_duplicate_digest
@@ -39,6 +40,10 @@ def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_digest(table(spark, sf, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup_digest(table(spark, sf, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
