@@ -15,6 +15,7 @@ from kgprep.llm.scoring import score_texts
 from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
 from kgprep.llm.simhash_dedup import near_duplicate_digest
+from kgprep.llm.substring_dedup import repeats_digest
 from kgprep.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,10 @@ def op5_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_digest(table(spark, sf, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats_digest(table(spark, sf, "documents"))
+
+
 def op7_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(table(spark, sf, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_lm_score": op7_lm_score,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
