@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from kgprep.llm.common import ascii_lower, text_key, written
 
-SPACE = "[ \\t\\n\\u000B\\f\\r]"
+SPACE = " \t\n\x0b\f\r"
 HEAVY_SHARE = 1e-4
 
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", ""))
+    return ascii_lower(F.trim(line, F.lit(SPACE)))
 
 
 def repeated_lines(lines: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
@@ -73,11 +73,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
                        "doc_id", "text", F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     t1, t2 = text_key(F.col("_text"))
     base = base.select("*", t1.alias("t1"), t2.alias("t2"))
-    lines = (base.select("doc_id", "t1", "t2", F.posexplode(F.split("_text", "\n")).alias("pos", "_line"))
-             .select("doc_id", "t1", "t2", "pos", line_key(F.col("_line")).alias("_key"))
-             .where(F.char_length("_key") >= min_chars))
+    # keys are made inside the generator, so that the filter and both hashes share them
+    keys = F.transform(F.split("_text", "\n"), line_key)
+    lines = base.select("doc_id", "t1", "t2", F.posexplode(keys).alias("pos", "_key"))
     h1, h2 = text_key(F.col("_key"))
-    lines = lines.select("doc_id", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
+    lines = written(lines.where(F.char_length("_key") >= min_chars)
+                    .select("doc_id", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2")), "hashes")
     lost = dropped_positions(lines, repeated_lines(lines))
     # rows repeated exactly yield the same positions again: a set, not a list
     lost = lost.groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("_lost"))

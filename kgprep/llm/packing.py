@@ -175,7 +175,8 @@ def pack_lengths(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces:
     goal = bin_bound(counts, capacity)
 
     def dealt(rows: DataFrame, n: int, turn: int) -> DataFrame:
-        parts = max(1, -(-n // partition_pieces))
+        # pieces that are hard to place meet in larger partitions, up to eight times the first
+        parts = max(1, -(-n // (partition_pieces << min(turn, 3))))
         return rows.select("rid", "length", F.pmod(F.xxhash64(F.lit(turn), "rid"), F.lit(parts)).cast("int").alias("part"))
 
     def used(rows: DataFrame) -> int:
