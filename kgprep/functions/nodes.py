@@ -15,15 +15,27 @@ from kgprep.schema import BLANK, DC_NS, LITERAL, RDF_NS, URI
 # optional trailing comment.  Groups: 1 subject, 2 predicate, 3 object, each
 # in its raw text form (``<iri>``, ``_:label`` or ``"lex"@lang`` /
 # ``"lex"^^<iri>``).  A literal may hold escaped quotes, ``<``, ``.`` and ``#``.
+# Quantifiers inside a literal are possessive: they never give back what they
+# matched, so the regex engine needs no stack however long the literal is.
+_QUOTED = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
 NT_STATEMENT = (
-    r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+'
-    r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
-    r'\s*\.\s*(?:#.*)?$'
+    r'(?s)^\s*+(<[^>]*+>|_:\S+)\s++(<[^>]*+>)\s++'
+    r'(<[^>]*+>|_:\S+|"' + _QUOTED + r'"(?:@[A-Za-z0-9-]++|\^\^<[^>]*+>)?)'
+    r'\s*\.\s*+(?:#.*+)?$'
 )
 
-# A literal's raw form: group 1 lexical form (kept as written, escapes
-# included), group 2 language tag, group 3 datatype IRI.
-NT_LITERAL = r'^"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?$'
+# A literal's raw form: group 1 lexical form (escapes included), group 2
+# language tag, group 3 datatype IRI.
+NT_LITERAL = r'(?s)^"(' + _QUOTED + r')"(?:@([A-Za-z0-9-]++)|\^\^<([^>]*+)>)?$'
+
+# A text with escapes is cut into these pieces: one escape (a surrogate pair
+# counts as one), or the text between two escapes.
+_PIECE = (r'(?s)\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}'
+          r'|\\.|\\$|[^\\]++')
+# The one-letter escapes of N-Triples.
+ESCAPES = (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"), ('"', '"'), ("'", "'"), ("\\", "\\"))
+# A numbered escape that names no character: half a surrogate pair, or beyond U+10FFFF.
+_NO_CHARACTER = r'^\\u[dD][89a-fA-F]..$|^\\U(?!000[0-9A-Fa-f]|0010)|^\\U0000[dD][89a-fA-F]'
 
 # Newline cannot occur inside a line read by the text source, so it is a
 # safe separator for "replace with groups, then split": one regex pass.
@@ -37,6 +49,48 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _pieces(raw: Column) -> Column:
+    return F.regexp_extract_all(raw, F.lit(_PIECE), F.lit(0))
+
+
+def _decode_piece(p: Column) -> Column:
+    """The text of one piece; null for an escape that N-Triples does not have."""
+    out = F.when(p.rlike(_NO_CHARACTER), F.lit(None))
+    numbered = F.regexp_replace(p, r"\\[uU]", "")
+    out = out.when(p.rlike(r"^\\u.{4}"), F.decode(F.unhex(numbered), "UTF-16BE"))
+    out = out.when(p.rlike(r"^\\U.{8}"), F.decode(F.unhex(numbered), "UTF-32"))
+    for letter, char in ESCAPES:
+        out = out.when(p == "\\" + letter, F.lit(char))
+    return out.when(~p.startswith("\\"), p)
+
+
+def unescape(raw: Column | str) -> Column:
+    """A node's text with its escapes decoded (``\\u00e9``, ``\\U0001F600``, ``\\"``, ``\\n``, ...);
+    null if an escape is not one of N-Triples.  Text without a backslash is returned as it is."""
+    r = _c(raw)
+    decoded = F.transform(_pieces(r), _decode_piece)
+    whole = F.when(F.exists(decoded, lambda p: p.isNull()), F.lit(None)).otherwise(F.array_join(decoded, ""))
+    return F.when(F.instr(r, "\\") == 0, r).otherwise(whole)
+
+
+def escape_literal(text: Column | str) -> Column:
+    """The quoted form's inside: backslash, quote and line ends escaped."""
+    t = _c(text)
+    out = t
+    for letter, char in (("\\", "\\"), ('"', '"'), ("n", "\n"), ("r", "\r")):
+        out = F.replace(out, F.lit(char), F.lit("\\" + letter))
+    return F.when(t.rlike(r'[\\\\"\n\r]'), out).otherwise(t)
+
+
+def escape_iri(iri: Column | str) -> Column:
+    """Characters that an IRI may not hold in N-Triples as numbered escapes."""
+    t = _c(iri)
+    out = t
+    for code in (0x5C, *range(0x21), *map(ord, '<>"{}|^`')):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{code:04X}"))
+    return F.when(t.rlike(r'[\x00-\x20<>"{}|^`\\\\]'), out).otherwise(t)
+
+
 def split_statement(line: Column | str) -> Column:
     """Array ``[s_raw, p_raw, o_raw]`` for a well-formed line, else a 1-element array."""
     return F.split(F.regexp_replace(_c(line), NT_STATEMENT, f"$1{_SEP}$2{_SEP}$3"), _SEP)
@@ -58,26 +112,19 @@ def node_kind(raw: Column | str) -> Column:
 
 def node_value(raw: Column | str) -> Column:
     """IRIs lose their angle brackets; blank labels stay ``_:label``;
-    literals become their lexical form."""
+    literals become their lexical form.  Escapes are decoded."""
     r = _c(raw)
-    return (F.when(r.startswith("<"), r.substr(F.lit(2), F.length(r) - 2))
+    return (F.when(r.startswith("<"), unescape(r.substr(F.lit(2), F.length(r) - 2)))
             .when(r.startswith("_:"), r)
-            .otherwise(F.get(literal_parts(r), 0)))
+            .otherwise(unescape(F.get(literal_parts(r), 0))))
 
 
 def literal_parts(raw: Column | str) -> Column:
-    """Array ``[lexical, language, datatype]`` of a raw literal ('' when absent)."""
+    """Array ``[lexical, language, datatype]`` of a raw literal ('' when absent);
+    the lexical form still has its escapes."""
     return F.split(F.regexp_replace(_c(raw), NT_LITERAL, f"$1{_SEP}$2{_SEP}$3"), _SEP)
 
 
-def literal_language(raw: Column | str) -> Column:
-    return F.nullif(F.get(literal_parts(raw), 1), F.lit(""))
-
-
-def literal_datatype(raw: Column | str) -> Column:
-    return F.nullif(F.get(literal_parts(raw), 2), F.lit(""))
-
-
 def compact(uri: Column | str) -> Column:
     """Replace the rdf: and dc: namespaces by their prefixes."""
     out = _c(uri)
@@ -88,8 +135,8 @@ def compact(uri: Column | str) -> Column:
 
 
 def literal_text(lex: Column | str, lang: Column | str, datatype: Column | str) -> Column:
-    """``"lex"@lang``, ``"lex"^^datatype`` or ``"lex"`` (readable form)."""
-    quoted = F.concat(F.lit('"'), _c(lex), F.lit('"'))
+    """``"lex"@lang``, ``"lex"^^datatype`` or ``"lex"`` (readable form, one line)."""
+    quoted = F.concat(F.lit('"'), escape_literal(lex), F.lit('"'))
     return (F.when(_c(lang).isNotNull(), F.concat(quoted, F.lit("@"), _c(lang)))
             .when(_c(datatype).isNotNull(), F.concat(quoted, F.lit("^^"), _c(datatype)))
             .otherwise(quoted))
@@ -108,13 +155,13 @@ def nt_node(value: Column | str, kind: Column | str, lang: Column | str | None =
             datatype: Column | str | None = None) -> Column:
     """A node rendered back as N-Triples text."""
     v, k = _c(value), _c(kind)
-    quoted = F.concat(F.lit('"'), v, F.lit('"'))
+    quoted = F.concat(F.lit('"'), escape_literal(v), F.lit('"'))
     lit = quoted
     if lang is not None and datatype is not None:
         lit = (F.when(_c(lang).isNotNull(), F.concat(quoted, F.lit("@"), _c(lang)))
-               .when(_c(datatype).isNotNull(), F.concat(quoted, F.lit("^^<"), _c(datatype), F.lit(">")))
+               .when(_c(datatype).isNotNull(), F.concat(quoted, F.lit("^^<"), escape_iri(datatype), F.lit(">")))
                .otherwise(quoted))
-    return (F.when(k == URI, F.concat(F.lit("<"), v, F.lit(">")))
+    return (F.when(k == URI, F.concat(F.lit("<"), escape_iri(v), F.lit(">")))
             .when(k == BLANK, v).otherwise(lit))
 
 
@@ -122,5 +169,5 @@ def nt_line(df_cols: dict[str, Column | str] | None = None) -> Column:
     """``<s> <p> o .`` for a TRIPLE-shaped row."""
     c = df_cols or {}
     g = lambda n: _c(c.get(n, n))
-    return F.concat_ws(" ", nt_node(g("s"), g("s_kind")), F.concat(F.lit("<"), g("p"), F.lit(">")),
+    return F.concat_ws(" ", nt_node(g("s"), g("s_kind")), F.concat(F.lit("<"), escape_iri(g("p")), F.lit(">")),
                        nt_node(g("o"), g("o_kind"), g("o_lang"), g("o_datatype")), F.lit("."))

@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from kgprep.functions.nodes import compact, readable_node
 
 
+def _fields(cols: Sequence[str], sep: str) -> Column:
+    """Fields joined by ``sep``; a null is an empty field, so columns never shift."""
+    return F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+
+
 def tuple_text(cols: Sequence[str]) -> Column:
-    """``(a,b,c)``: the tuple layout of the dictionary and mapping files."""
-    return F.concat(F.lit("("), F.concat_ws(",", *[F.col(c).cast("string") for c in cols]), F.lit(")"))
+    """``(a,b,c)``: the tuple layout of the dictionary and mapping files (null: empty field)."""
+    return F.concat(F.lit("("), _fields(cols, ","), F.lit(")"))
 
 
 def tsv_text(cols: Sequence[str]) -> Column:
-    """Tab-joined fields, no quoting (URIs never hold tabs or newlines)."""
-    return F.concat_ws("\t", *[F.col(c).cast("string") for c in cols])
+    """Tab-joined fields, no quoting (URIs never hold tabs or newlines; null: empty field)."""
+    return _fields(cols, "\t")
 
 
 def readable_text(df: DataFrame) -> Column:
@@ -85,13 +90,15 @@ def write_counted(df: DataFrame, path: str, cols: Sequence[str] | None = None,
 
     The input feeds both the count and the lines, so it is persisted
     (memory and disk) for the duration of the write instead of being
-    computed twice.
+    computed twice; a frame that the caller has cached stays cached.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    was_cached = df.storageLevel.useMemory or df.storageLevel.useDisk
+    cached = df if was_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         _write_lines(counted_lines(cached, cols, order_by), path, mode, compression)
     finally:
-        cached.unpersist()
+        if not was_cached:
+            cached.unpersist()
 
 
 def write_readable(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -109,10 +116,9 @@ def write_language_outputs(df: DataFrame, path: str, layout: str = "tuple", cols
     pcols = [c for c in partition_cols if c in df.columns]
     data_cols = [c for c in (cols or df.columns) if c not in pcols]
     text = tuple_text(data_cols) if layout == "tuple" else tsv_text(data_cols)
-    # No shuffle by the partition columns (a language holding a third of
-    # the rows would land in one task): each task sorts its own rows by
-    # them and writes one file per value it holds.
-    lines = df.select(*pcols, text.alias("value")).sortWithinPartitions(*pcols)
+    # Rows of a value are brought together, so a value has few files; the
+    # adaptive rebalance splits a value that holds more than a task's share.
+    lines = df.select(*pcols, text.alias("value")).hint("rebalance", *pcols).sortWithinPartitions(*pcols)
     w = lines.write.mode(mode).partitionBy(*pcols)
     if compression:
         w = w.option("compression", compression)

@@ -1,6 +1,7 @@
 from kgprep.sources.ntriples import (DROPMALFORMED, FAILFAST, PERMISSIVE, parse_ntriples, read_language_datasets,
                                      read_ntriples)
-from kgprep.sources.tsv import read_dictionary, read_links, read_quads, read_tsv, read_tuples
+from kgprep.sources.tsv import (read_dictionary, read_links, read_literal_mappings, read_quads, read_tsv,
+                                read_tuples)
 
 __all__ = ["DROPMALFORMED", "FAILFAST", "PERMISSIVE", "parse_ntriples", "read_dictionary",
-           "read_language_datasets", "read_links", "read_ntriples", "read_quads", "read_tsv", "read_tuples"]
+           "read_language_datasets", "read_links", "read_literal_mappings", "read_ntriples", "read_quads", "read_tsv", "read_tuples"]

@@ -8,12 +8,13 @@ Parsing is one regex per line, fused into the scan's codegen stage.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgprep.functions.nodes import is_skippable, literal_parts, node_kind, node_value, split_statement
+from kgprep.functions.nodes import is_skippable, literal_parts, node_kind, node_value, split_statement, unescape
 from kgprep.schema import BLANK, LITERAL
 
 FAILFAST, DROPMALFORMED, PERMISSIVE = "FAILFAST", "DROPMALFORMED", "PERMISSIVE"
@@ -28,9 +29,11 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
 
     ``mode``: FAILFAST raises on the first malformed line, DROPMALFORMED drops
     it, PERMISSIVE keeps it with null fields and the line in ``_corrupt_record``.
+    Escapes are decoded, so ``<http://x/\\u00e9>`` and ``<http://x/é>`` are one
+    node; an escape that N-Triples does not have makes a line malformed.
     ``uri_subjects_only`` keeps only lines starting with ``<`` before parsing
     (drops comments and blank-node subjects).  ``blank_scope`` (a string
-    column, e.g. derived from the file path) is folded into blank labels so
+    column, e.g. the file path) is folded into blank labels, as a hash, so
     equal labels from different files stay different nodes.  ``keep`` columns
     are carried through unchanged.
     """
@@ -51,14 +54,15 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
     df = lines.select(*keep, *extra, line.alias("_line"), split_statement(line).alias("_split"))
     parts, text = F.col("_split"), F.col("_line")
     drop = is_skippable(text)
-    ok = F.size(parts) == 3
+    whole = F.array_join(parts, " ")
+    ok = (F.size(parts) == 3) & ((F.instr(text, "\\") == 0) | unescape(whole).isNotNull())
     if mode == FAILFAST:
         kept = F.when(drop, F.lit(None)).when(ok, parts).otherwise(
             F.raise_error(F.concat(F.lit("malformed N-Triples line: "), text)).cast("array<string>"))
     elif mode == DROPMALFORMED:
         kept = F.when(drop | ~ok, F.lit(None)).otherwise(parts)
     else:
-        kept = F.when(drop, F.lit(None)).otherwise(parts)
+        kept = F.when(drop, F.lit(None)).when(ok, parts).otherwise(F.array(text))
     one = F.when(kept.isNotNull(), F.array(kept)).otherwise(F.array().cast("array<array<string>>"))
     df = df.select(*keep, *(["_bscope"] if extra else []), "_line", F.explode(one).alias("_parts"))
     ok = F.size("_parts") == 3
@@ -72,14 +76,15 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
         if not extra:
             return v
         return F.when(node_kind(F.col(raw)) == BLANK,
-                      F.concat(F.lit("_:"), F.col("_bscope"), F.lit("_"), F.substring(v, 3, 1 << 30))).otherwise(v)
+                      F.concat(F.lit("_:"), _scope_tag(F.col("_bscope")), F.lit("_"), F.substring(v, 3, 1 << 30))
+                      ).otherwise(v)
 
     out = [
         *[F.col(k) for k in keep],
         F.when(F.col("_ok"), scoped("_s")).alias("s"),
         F.when(F.col("_ok"), node_kind("_s")).alias("s_kind"),
         F.when(F.col("_ok"), node_value("_p")).alias("p"),
-        F.when(F.col("_ok"), F.when(node_kind("_o") == LITERAL, F.get(F.col("_lp"), 0))
+        F.when(F.col("_ok"), F.when(node_kind("_o") == LITERAL, unescape(F.get(F.col("_lp"), 0)))
                .otherwise(scoped("_o"))).alias("o"),
         F.when(F.col("_ok"), node_kind("_o")).alias("o_kind"),
         F.nullif(F.get(F.col("_lp"), 1), F.lit("")).alias("o_lang"),
@@ -90,9 +95,9 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
     return df.select(*out)
 
 
-def _file_scope() -> Column:
-    # Short stable tag of the source file for blank-node labels.
-    return F.substring(F.sha2(F.col("_metadata.file_path"), 256), 1, 16)
+def _scope_tag(scope: Column) -> Column:
+    # Short stable tag of the source file; hashed only where a blank node is.
+    return F.substring(F.sha2(scope, 256), 1, 16)
 
 
 def read_ntriples(spark: SparkSession, paths: str | Iterable[str], mode: str = FAILFAST,
@@ -100,13 +105,19 @@ def read_ntriples(spark: SparkSession, paths: str | Iterable[str], mode: str = F
     """Scan N-Triples files (plain or ``.bz2``; globs allowed) into one graph."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(paths)
-    scope = _file_scope() if scope_blank_nodes else None
-    return parse_ntriples(lines, mode=mode, uri_subjects_only=uri_subjects_only, blank_scope=scope)
+    if not scope_blank_nodes:
+        return parse_ntriples(lines, mode=mode, uri_subjects_only=uri_subjects_only)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_path"))
+    return parse_ntriples(lines, mode=mode, uri_subjects_only=uri_subjects_only, blank_scope=F.col("_path"))
 
 
-# ``<root>/<language>/<dataset>_<language>.ttl[.bz2]``, either one file or a
-# Hadoop output directory of that name holding part files
-_PATH_PARTS = r"/([^/]+)/([^/]+)_([^/_]+)\.ttl(?:\.bz2)?(?:/[^/]+)?$"
+def _path_parts(path: Column, suffix: str) -> Column:
+    """Array ``[language, dataset]`` of ``<language>/<dataset>_<language><suffix>``, a
+    file or a Hadoop output directory of that name; a path that does not fit raises."""
+    quoted = re.sub(r"([^A-Za-z0-9_])", r"\\\1", suffix)
+    parts = F.split(F.regexp_replace(path, rf"^.*/([^/]+)/([^/]+)_\1{quoted}(?:/[^/]+)?$", "$1\n$2"), "\n")
+    return F.when(F.size(parts) == 2, parts).otherwise(F.raise_error(F.concat(
+        F.lit("not a <language>/<dataset>_<language> path: "), path)).cast("array<string>"))
 
 
 def read_language_datasets(spark: SparkSession, root: str, languages: Sequence[str] | None = None,
@@ -128,16 +139,14 @@ def read_language_datasets(spark: SparkSession, root: str, languages: Sequence[s
         return vals[0] if len(vals) == 1 else "{" + ",".join(vals) + "}"
 
     glob = f"{root.rstrip('/')}/{alt(languages)}/{alt(datasets)}_*{suffix}"
+    # what the path says is worked out once per line, from the path alone
     raw = spark.read.text(glob).select(
-        "value",
-        F.regexp_extract(F.col("_metadata.file_path"), _PATH_PARTS, 1).alias("language"),
-        F.regexp_extract(F.col("_metadata.file_path"), _PATH_PARTS, 2).alias("dataset"),
-        F.regexp_extract(F.col("_metadata.file_path"), _PATH_PARTS, 3).alias("_file_lang"),
-        *([_file_scope().alias("_scope")] if scope_blank_nodes else []),
-    ).where(F.col("language") == F.col("_file_lang"))
+        "value", F.col("_metadata.file_path").alias("_path"),
+        _path_parts(F.col("_metadata.file_path"), suffix).alias("_of"))
+    raw = raw.select("value", "_path", F.get("_of", 0).alias("language"), F.get("_of", 1).alias("dataset"))
     if languages:
         raw = raw.where(F.col("language").isin(list(languages)))
     if datasets:
         raw = raw.where(F.col("dataset").isin(list(datasets)))
     return parse_ntriples(raw, mode=mode, uri_subjects_only=uri_subjects_only, keep=("language", "dataset"),
-                          blank_scope=F.col("_scope") if scope_blank_nodes else None)
+                          blank_scope=F.col("_path") if scope_blank_nodes else None)

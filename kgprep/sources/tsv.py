@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgprep.functions.nodes import unescape
 from kgprep.schema import LINK, QUAD
 
 
@@ -45,9 +46,31 @@ def read_tuples(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
     Only the first field may contain commas (URIs do), so the line is split
     on its last ``n - 1`` commas; the other fields are cast to the schema.
+    A line that does not fit raises.
     """
     n = len(schema.fields)
-    pattern = r"^\((.*)" + r",([^,]*)" * (n - 1) + r"\)$"
-    line = F.col("value")
-    cols = [F.regexp_extract(line, pattern, i + 1).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)]
-    return spark.read.text(path).where(line.rlike(pattern)).select(*cols)
+    pattern = r"(?s)^\((.*)" + r",([^,]*)" * (n - 1) + r"\)$"
+    groups = "\n".join(f"${i + 1}" for i in range(n))
+    # one regex pass; a newline cannot be inside a line, so it separates the groups
+    fields = F.split(F.regexp_replace(F.col("value"), pattern, groups), "\n")
+    fields = F.when(F.size(fields) == n, fields).otherwise(F.raise_error(F.concat(
+        F.lit("malformed tuple line: "), F.col("value"))).cast("array<string>"))
+    rows = spark.read.text(path).select(fields.alias("_f"))
+    return rows.select(*[F.get("_f", i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
+
+
+def read_literal_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """Encoded literal triples ``(s,p,literal)`` (K1 layout of J5): s and p ids, and
+    the literal's ``o``, ``o_lang`` and ``o_datatype``.
+
+    The ids hold no commas, so the literal is all behind the second one.  A
+    line that does not fit raises.
+    """
+    pattern = r'(?s)^\((\d+),(\d+),"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z0-9-]++)|\^\^(.*))?\)$'
+    fields = F.split(F.regexp_replace(F.col("value"), pattern, "$1\n$2\n$3\n$4\n$5"), "\n")
+    fields = F.when(F.size(fields) == 5, fields).otherwise(F.raise_error(F.concat(
+        F.lit("malformed literal mapping: "), F.col("value"))).cast("array<string>"))
+    f = spark.read.text(path).select(fields.alias("_f"))
+    return f.select(F.get("_f", 0).cast("long").alias("s"), F.get("_f", 1).cast("long").alias("p"),
+                    unescape(F.get("_f", 2)).alias("o"), F.nullif(F.get("_f", 3), F.lit("")).alias("o_lang"),
+                    F.nullif(F.get("_f", 4), F.lit("")).alias("o_datatype"))

@@ -194,3 +194,64 @@ def test_prepare_jobs(spark, tmp):
     parts = sorted(p for p in os.listdir(f"{tmp}/w4/entity2id") if p.startswith("part-"))
     first = open(f"{tmp}/w4/entity2id/{parts[0]}").readline().strip()
     assert first == "20"  # the count line heads the concatenated parts
+
+
+def test_language_tree_paths(spark, tmp):
+    for lang, name in (("zh_min_nan", "labels_zh_min_nan.ttl"), ("en", "long_abstracts_en.nt")):
+        os.makedirs(f"{tmp}/{lang}", exist_ok=True)
+        with open(f"{tmp}/{lang}/{name}", "w") as f:
+            f.write("<http://x/a> <http://x/p> <http://x/b> .\n")
+    g = read_language_datasets(spark, tmp, ["zh_min_nan"], suffix=".ttl")
+    assert [(r.language, r.dataset) for r in g.collect()] == [("zh_min_nan", "labels")]
+    g = read_language_datasets(spark, tmp, ["en"], suffix=".nt")
+    assert [(r.language, r.dataset) for r in g.collect()] == [("en", "long_abstracts")]
+    with open(f"{tmp}/en/labels_de.nt", "w") as f:
+        f.write("<http://x/a> <http://x/p> <http://x/b> .\n")
+    with pytest.raises(Exception, match="not a <language>"):
+        read_language_datasets(spark, tmp, ["en"], suffix=".nt").collect()
+
+
+def test_broken_tuple_line_raises(spark, tmp):
+    from kgprep.schema import ENTITY_DICT
+    from kgprep.sources import read_tuples
+    with open(f"{tmp}/t.txt", "w") as f:
+        f.write("(http://x/a,b,1)\nbroken\n")
+    with pytest.raises(Exception, match="malformed tuple line"):
+        read_tuples(spark, f"{tmp}/t.txt", ENTITY_DICT).collect()
+
+
+def test_null_field_stays_a_field(spark, tmp):
+    from kgprep.sinks import write_tsv
+    df = spark.createDataFrame([(1, None, 3)], "s long, p long, o long")
+    write_tsv(df, f"{tmp}/tsv")
+    write_tuples(df, f"{tmp}/tuples")
+    assert spark.read.text(f"{tmp}/tsv").collect()[0].value == "1\t\t3"
+    assert spark.read.text(f"{tmp}/tuples").collect()[0].value == "(1,,3)"
+
+
+def test_literal_mappings_read_back(spark, tmp):
+    from kgprep.sources import read_literal_mappings
+    path = f"{tmp}/g.nt"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('<http://x/s> <http://x/p> "a, \\"b\\"\\n(c),1"@en .\n<http://x/s> <http://x/p> "3"^^<http://t#int> .\n'
+                '<http://x/s> <http://x/q> "" .\n')
+    from kgprep.plans.jobs import encode_graph
+    out = encode_graph(spark, path, f"{tmp}/out")
+    got = {(r.o, r.o_lang, r.o_datatype) for r in read_literal_mappings(spark, out["literal_mappings"]).collect()}
+    assert got == {('a, "b"\n(c),1', "en", None), ("3", None, "http://t#int"), ("", None, None)}
+
+
+def test_counted_write_keeps_the_callers_cache(spark, tmp):
+    df = spark.range(10).selectExpr("concat('e', id) AS entity", "id").cache()
+    before = df.storageLevel
+    write_counted(df, f"{tmp}/c")
+    assert df.storageLevel == before and before.useMemory
+    df.unpersist()
+
+
+def test_layout_has_few_files(spark, tmp):
+    from kgprep.sinks import write_language_outputs
+    df = spark.range(0, 4000, 1, 40).selectExpr("id AS s", "id AS p", "id AS o", "concat('l', id % 5) AS language")
+    write_language_outputs(df, f"{tmp}/k5")
+    files = [f for _, _, names in os.walk(f"{tmp}/k5") for f in names if f.startswith("part-")]
+    assert len(files) <= 10 and spark.read.text(f"{tmp}/k5").count() == 4000

@@ -24,7 +24,7 @@ def test_edge_lines_parse(spark):
     rows = parse_ntriples(lines_df(spark, EDGE)).collect()
     assert len(rows) == 7  # comment and empty line skipped
     by = {(r.s, r.o): r for r in rows}
-    r = by[("http://x/s", 'a \\"q\\" <b> . # no')]
+    r = by[("http://x/s", 'a "q" <b> . # no')]
     assert (r.o_kind, r.o_lang, r.o_datatype) == ("literal", "en-GB", None)
     r = by[("http://x/s", "plain")]
     assert (r.o_kind, r.o_lang, r.o_datatype) == ("literal", None, None)
@@ -74,3 +74,27 @@ def test_bz2_and_blank_scope(spark, tmp):
     assert g.select("s").distinct().count() == 2  # same label, different files
     g2 = read_ntriples(spark, f"{tmp}/*.bz2", scope_blank_nodes=False)
     assert g2.select("s").distinct().count() == 1
+
+
+def test_long_literals_parse(spark):
+    long = "x" * 1_000_000
+    escaped = 'a \\"q\\" \\\\ ' * 20_000
+    rows = parse_ntriples(lines_df(spark, [f'<http://x/s> <http://x/p> "{t}"@en .' for t in (long, escaped)])).collect()
+    assert [r.o for r in rows] == [long, 'a "q" \\ ' * 20_000]
+
+
+def test_escapes_are_decoded_and_share_an_id(spark):
+    lines = ["<http://x/\\u00e9> <http://x/p> <http://x/\\U0001F600> .", "<http://x/é> <http://x/p> <http://x/o> .",
+             '<http://x/s> <http://x/p> "\\t\\b\\n\\r\\f\\"\\\'\\\\ \\u00E9\\uD83D\\uDE00\\\\u00e9" .']
+    g = parse_ntriples(lines_df(spark, lines))
+    assert {r.entity for r in entity_dictionary(g).collect()} == {"http://x/é", "http://x/\U0001F600", "http://x/o", "http://x/s"}
+    assert [r.o for r in literal_triples(g).collect()] == ["\t\b\n\r\f\"'\\ é\U0001F600\\u00e9"]
+
+
+@pytest.mark.parametrize("literal", ["\\q", "\\uD800 x", "\\U00110000", "\\u12"])
+def test_unknown_escapes_are_malformed(spark, literal):
+    line = f'<http://x/s> <http://x/p> "{literal}" .'
+    assert parse_ntriples(lines_df(spark, [line]), mode="DROPMALFORMED").count() == 0
+    assert parse_ntriples(lines_df(spark, [line]), mode="PERMISSIVE").collect()[0]._corrupt_record == line
+    with pytest.raises(Exception, match="malformed N-Triples line"):
+        parse_ntriples(lines_df(spark, [line])).collect()
