@@ -2,18 +2,20 @@
 
 Dense ids (D3) without a single-partition sort.  Each key gets
 ``h = md5(key)``; a bucket is the first ``k`` hex digits of ``h``.  The
-bucket table (at most 16^k rows per scope) is tiny, so a running sum over
+bucket table (at most 16^k rows per scope) is small, so a running sum over
 it gives each bucket's offset; inside a bucket ``row_number`` ordered by
 ``(h, key)`` finishes the id.  The result equals
 ``row_number() over (partition by scope order by md5(key), key) - 1``: a
-pure function of the data, stable under recomputation, retries and any
-partitioning, and buckets are uniform by construction, so no task gets a
-hot bucket.  The only single-partition step is the running sum over the
-bucket table (16^k rows per scope).
+pure function of the data, stable under recomputation, retries, any
+partitioning and any ``k``, and buckets are uniform by construction, so no
+task gets a hot bucket.  ``k`` follows the shuffle partitions of the
+session, so there are always several buckets for each task.  A null scope is
+a scope of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +23,22 @@ from pyspark.sql import functions as F
 
 from kgprep.schema import URI
 
-DEFAULT_BUCKET_DIGITS = 4  # 65,536 buckets per scope
+MIN_BUCKET_DIGITS, MAX_BUCKET_DIGITS = 4, 7
+
+
+def bucket_digits_for(df: DataFrame) -> int:
+    """Hex digits that give at least 16 buckets for each shuffle partition (65,536 buckets or more)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_BUCKET_DIGITS, max(MIN_BUCKET_DIGITS, math.ceil(math.log(max(1, parts) * 16, 16))))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys appear once."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _scope_list(scope: str | Sequence[str] | None) -> list[str]:
@@ -55,27 +72,23 @@ def relations(df: DataFrame, scope: str | Sequence[str] | None = None) -> DataFr
 
 
 def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = None, id_col: str = "id",
-              bucket_digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
-    """D3: ids 0..n-1 (per scope) for a DataFrame of distinct keys."""
+              bucket_digits: int | None = None) -> DataFrame:
+    """D3: ids 0..n-1 (per scope) for a DataFrame of distinct keys; a null key gets none."""
     sc = _scope_list(scope)
-    # Rows with a null key or scope get no id.  Filtering them here also
-    # keeps both branches below identical (the join would otherwise infer
-    # not-null filters on one side only), so their exchange is reused.
-    present = F.col(key).isNotNull()
-    for c in sc:
-        present = present & F.col(c).isNotNull()
-    keyed = keys.where(present).select(*sc, F.col(key), F.md5(F.col(key).cast("string")).alias("_h"))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, bucket_digits))
-    inside = Window.partitionBy(*sc, "_b").orderBy("_h", key)
-    ranked = keyed.withColumn("_r", F.row_number().over(inside))
-    # Bucket sizes come from the ranked rows themselves, so the keys are
-    # computed and shuffled once: both branches share the window's exchange,
-    # and the join back on (scope, bucket) needs no new shuffle of the keys.
-    counts = ranked.groupBy(*sc, "_b").agg(F.max("_r").alias("_n"))
+    digits = bucket_digits or bucket_digits_for(keys)
+    h = F.md5(F.col(key).cast("string"))
+    keyed = keys.where(F.col(key).isNotNull()).select(*sc, F.col(key), h.alias("_h"),
+                                                      F.substring(h, 1, digits).alias("_b"))
+    # One exchange of the keys by bucket, which both branches reuse: the
+    # counts are a hash aggregate on it, and only the ranking branch sorts.
+    dealt = keyed.repartition(*sc, "_b")
+    counts = dealt.groupBy(*sc, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*sc, "_b").orderBy("_h", key)
+    ranked = dealt.withColumn("_r", F.row_number().over(inside))
     # left join: every bucket has an offset
-    return (ranked.join(offsets, on=[*sc, "_b"], how="left")
+    return (join_null_safe(ranked, offsets, [*sc, "_b"])
             .select(*sc, key, (F.col("_off") + F.col("_r") - 1).cast("long").alias(id_col)))
 
 
@@ -103,15 +116,17 @@ def sorted_by_id(dictionary: DataFrame, partitions: int | None = None) -> DataFr
 
 
 def append_relation(dictionary: DataFrame, uri: str, key: str = "relation", check_dense: bool = True) -> DataFrame:
-    """Add one relation whose id is the dictionary's row count.
+    """Add one relation whose id is the dictionary's row count; one that is there already keeps its id.
 
     The new id is only meaningful for a dense dictionary (ids 0..n-1); with
     ``check_dense`` a non-dense input raises at run time.
     """
-    stats = dictionary.agg(F.count(F.lit(1)).alias("_n"), F.max("id").alias("_max"))
+    stats = dictionary.agg(F.count(F.lit(1)).alias("_n"), F.max("id").alias("_max"),
+                           F.max((F.col(key) == F.lit(uri)).cast("int")).alias("_known"))
     new_id = F.col("_n")
     if check_dense:
         new_id = F.when((F.col("_n") == 0) | (F.col("_max") == F.col("_n") - 1), F.col("_n")).otherwise(
             F.raise_error(F.lit("append_relation needs a dense dictionary (ids 0..n-1)")))
-    extra = stats.select(F.lit(uri).alias(key), new_id.cast("long").alias("id"))
+    extra = (stats.where(F.coalesce("_known", F.lit(0)) == 0)
+             .select(F.lit(uri).alias(key), new_id.cast("long").alias("id")))
     return dictionary.select(key, "id").unionByName(extra)

@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgprep.operators.ids import DEFAULT_BUCKET_DIGITS, _scope_list
+from kgprep.operators.ids import _scope_list, bucket_digits_for, join_null_safe
 
 TRAIN_TEST = (("train", 0.8), ("test", 1.0))
 TRAIN_VALID_TEST = (("train", 0.7), ("valid", 0.85), ("test", 1.0))
@@ -36,49 +36,46 @@ def row_hash(cols: Sequence[str], seed: str) -> Column:
 
 
 def _expand(ranked: DataFrame, cols: list[str], chunk: int) -> DataFrame:
-    """One output row per copy: ``rank = start + i`` for i in [0, copies)."""
-    small = ranked.where(F.col("_c") <= chunk).select(
-        *cols, "_n", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("_c") - 1)).alias("rank"))
-    big = (ranked.where(F.col("_c") > chunk)
-           .select(*cols, "_n", "_start", "_c",
-                   F.explode(F.sequence(F.lit(0), F.ceil(F.col("_c") / chunk).cast("long") - 1)).alias("_k"))
-           # spread the chunks of a hot row over all tasks before re-creating copies
-           .repartition("_k", *cols)
-           .select(*cols, "_n", F.explode(F.sequence(
-               F.col("_start") + F.col("_k") * chunk,
-               F.least(F.col("_start") + F.col("_c"), F.col("_start") + (F.col("_k") + 1) * chunk) - 1)).alias("rank")))
-    return small.unionByName(big)
+    """One output row per copy: ``rank = start + i`` for i in [0, copies).
+
+    Every row gives its chunks of copies, one for an ordinary row.  The
+    rebalance then spreads the chunks over the tasks before the copies are made,
+    so a row with a billion copies is the work of many tasks.
+    """
+    chunks = F.sequence(F.lit(0), F.ceil(F.col("_c") / chunk).cast("long") - 1)
+    rows = ranked.select(*cols, "_n", "_start", "_c", F.explode(chunks).alias("_k")).hint("rebalance")
+    first = F.col("_start") + F.col("_k") * chunk
+    last = F.least(F.col("_start") + F.col("_c"), first + chunk) - 1
+    return rows.select(*cols, "_n", F.explode(F.sequence(first, last)).alias("rank"))
 
 
 def _ranked(df: DataFrame, by: str | Sequence[str] | None, seed: str, hash_cols: Sequence[str] | None,
-            bucket_digits: int, chunk: int) -> DataFrame:
+            bucket_digits: int | None, chunk: int) -> DataFrame:
     sc = _scope_list(by)
     cols = list(df.columns)
     data_cols = [c for c in cols if c not in sc]
     hcols = list(hash_cols) if hash_cols else data_cols
-    present = None
-    for c in sc:  # rows without a group value are not ranked (see ids.dense_ids)
-        present = F.col(c).isNotNull() if present is None else present & F.col(c).isNotNull()
-    src = df.where(present) if present is not None else df
-    counted = (src.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    digits = bucket_digits or bucket_digits_for(df)
+    # rows without a group value are a group of their own
+    counted = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
                .withColumn("_h", row_hash(hcols, seed))
-               .withColumn("_b", F.substring("_h", 1, bucket_digits)))
-    buckets = counted.groupBy(*sc, "_b").agg(F.sum("_c").alias("_bn"))
+               .withColumn("_b", F.substring("_h", 1, digits)))
+    dealt = counted.repartition(*sc, "_b")  # one exchange for the sums and the ranking
+    buckets = dealt.groupBy(*sc, "_b").agg(F.sum("_c").alias("_bn"))
     before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*sc)
     offsets = buckets.select(*sc, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
                              F.sum("_bn").over(whole).alias("_n"))
     inside = (Window.partitionBy(*sc, "_b").orderBy("_h", *data_cols)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (counted.withColumn("_cum", F.sum("_c").over(inside))
-              .join(offsets, on=[*sc, "_b"], how="left")  # see ids.dense_ids
+    ranked = (join_null_safe(dealt.withColumn("_cum", F.sum("_c").over(inside)), offsets, [*sc, "_b"])
               .withColumn("_start", (F.col("_off") + F.col("_cum") - F.col("_c")).cast("long")))
     return _expand(ranked, cols, chunk)
 
 
 def shuffle_rank(df: DataFrame, by: str | Sequence[str] | None = "language", seed: str = "0",
                  rank_col: str = "rank", hash_cols: Sequence[str] | None = None,
-                 bucket_digits: int = DEFAULT_BUCKET_DIGITS, chunk: int = COPY_CHUNK) -> DataFrame:
+                 bucket_digits: int | None = None, chunk: int = COPY_CHUNK) -> DataFrame:
     """A seeded random permutation within each group: ``rank`` 0..n-1."""
     out = _ranked(df, by, seed, hash_cols, bucket_digits, chunk)
     return out.select(*df.columns, F.col("rank").alias(rank_col))
@@ -100,7 +97,7 @@ def cumulative_bounds(fractions: Mapping[str, float]) -> tuple[tuple[str, float]
 def split(df: DataFrame, by: str | Sequence[str] | None = "language",
           parts: Sequence[tuple[str, float]] | Mapping[str, float] = TRAIN_VALID_TEST, seed: str = "0",
           part_col: str = "part",
-          hash_cols: Sequence[str] | None = None, bucket_digits: int = DEFAULT_BUCKET_DIGITS,
+          hash_cols: Sequence[str] | None = None, bucket_digits: int | None = None,
           chunk: int = COPY_CHUNK) -> DataFrame:
     """Exact split per group.  ``parts`` are cumulative upper bounds:
     part i takes ranks in ``[floor(b_{i-1} * n), floor(b_i * n))``, the last

@@ -110,3 +110,35 @@ def test_split_accepts_fractions(spark):
     q = _quads(spark, {"x": 90})
     got = collections.Counter(r.part for r in split(q, parts={"train": 0.7, "valid": 0.15, "test": 0.15}).collect())
     assert got == {"train": 62, "valid": 14, "test": 14}
+
+
+def test_null_group_and_null_scope_are_kept(spark):
+    from kgprep.operators import dense_ids, shuffle_rank, split
+    df = spark.createDataFrame([("a", "en"), ("b", "en"), ("a", None), ("c", None), ("c", None)],
+                               "s string, language string")
+    assert split(df, seed="1").count() == 5
+    ranks = {}
+    for r in shuffle_rank(df, seed="1").collect():
+        ranks.setdefault(r.language, []).append(r["rank"])
+    assert {k: sorted(v) for k, v in ranks.items()} == {"en": [0, 1], None: [0, 1, 2]}
+    ids = dense_ids(df.distinct(), "s", "language").collect()
+    assert sorted((r.language or "", r.id) for r in ids) == [("", 0), ("", 1), ("en", 0), ("en", 1)]
+
+
+def test_bucket_digits_follow_the_partitions_and_do_not_change_ids(spark):
+    from kgprep.operators import dense_ids
+    from kgprep.operators.ids import bucket_digits_for
+    keys = spark.range(500).selectExpr("concat('k', id) AS k")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    base = {r.k: r.id for r in dense_ids(keys, "k").collect()}
+    assert {r.k: r.id for r in dense_ids(keys, "k", bucket_digits=6).collect()} == base
+    spark.conf.set("spark.sql.shuffle.partitions", "800000")
+    assert bucket_digits_for(keys) == 6
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_appending_a_known_relation_changes_nothing(spark):
+    from kgprep.operators import append_relation
+    rel = spark.createDataFrame([("p", 0), ("sameAs", 1)], "relation string, id long")
+    assert sorted(tuple(r) for r in append_relation(rel, "sameAs").collect()) == [("p", 0), ("sameAs", 1)]
+    assert append_relation(rel.limit(0), "sameAs").collect()[0].id == 0
