@@ -10,7 +10,7 @@ table for each choice of the blocks that may agree, keyed by them.  A query
 probes each table and verifies the distance.  Tables hold distinct
 fingerprints, so copies are one row.
 
-``edited_pairs`` puts each document beside the next in descending id order.
+``beside_next`` puts each document beside the next in descending id order.
 Ids are range-partitioned into buckets, texts are shuffled once, and the
 first document of a bucket is sent to the bucket before as a guest.
 """
@@ -29,7 +29,7 @@ BITS, DIGITS = 128, 32
 RADIUS, BLOCKS = 3, 4
 
 
-def term_fingerprints(n: int = 3, chunk: int = 1 << 15, cache_words: int = 1 << 20):
+def term_fingerprints(n: int = 3, chunk: int = 1 << 15, cache_words: int = 1 << 16):
     """``fingerprint(text)`` -> 32 hex digits; equal texts have equal fingerprints.
 
     A-Z are lower-cased, words are split at ASCII white space, and fewer
@@ -154,11 +154,12 @@ def _id_buckets(docs: DataFrame, buckets: int):
     return bounds, bucket_of
 
 
-def edited_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(doc_id, text, next_text): each row beside the next one in descending id order.
+def beside_next(docs: DataFrame, make, columns: str, buckets: int | None = None) -> DataFrame:
+    """(doc_id, *columns): ``make()(text, next_text)`` of each row and the next one in descending id order.
 
     Rows without an id come last; rows that share an id are ordered by a
-    hash of their text; the last row's next is the first row.  Ids are integers.
+    hash of their text; the last row's next is the first row.  Ids are
+    integers.  A task holds one row besides its batch.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -192,21 +193,26 @@ def edited_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = rows.select("doc_id", "text", "h", F.explode(places).alias("p")).select("p.b", "p.guest", "doc_id", "text", "h")
     rows = rows.repartition(parts, "b").sortWithinPartitions("b", "guest", *order)
 
-    def beside(batches):
-        held = None
+    names = [c.split()[0] for c in columns.split(",")]
+
+    def run(batches):
+        held, f = None, make()
         for pdf in batches:
-            cols = [pdf[c].tolist() for c in ("b", "guest", "doc_id", "text")]
-            out = ([], [], [])
-            for b, guest, doc, text in zip(*cols):
+            ids, out = [], []
+            for b, guest, doc, text in zip(*[pdf[c].tolist() for c in ("b", "guest", "doc_id", "text")]):
                 if held is not None and held[0] == b:
-                    for column, value in zip(out, (held[1], held[2], text)):
-                        column.append(value)
+                    ids.append(held[1])
+                    out.append(f(held[2], text))
                 # of repeated guests the first will do
                 held = None if guest else (b, doc, text)
-            yield pd.DataFrame({"doc_id": pd.Series([None if i is None or i != i else int(i) for i in out[0]], dtype="Int64"),
-                                "text": pd.Series(out[1], dtype=object), "next_text": pd.Series(out[2], dtype=object)})
+            frame = pd.DataFrame(out, columns=names)
+            frame.insert(0, "doc_id", ids)
+            yield frame
 
-    return rows.select("b", "guest", "doc_id", "text").mapInPandas(beside, "doc_id long, text string, next_text string")
+    kind = docs.schema["doc_id"].dataType
+    rows = rows.select("b", "guest", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        run, f"doc_id string, {columns}")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def fingerprint_digest(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, query_every: int = 100) -> DataFrame:
@@ -216,30 +222,26 @@ def fingerprint_digest(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOC
 
     A null text is empty.  Rows repeated exactly are rows of their own.
     """
-    def run(batches):
+    def make():
         import hashlib
 
-        fingerprint = term_fingerprints()
-        for pdf in batches:
-            out = []
-            for doc, text, after in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["next_text"]):
-                text, after = text or "", after or ""
-                half = len(text) // 2
-                edited = text[:len(text) - half] + after[:half]
-                own, other = fingerprint(text), fingerprint(edited)
-                doc = None if doc is None or doc != doc else int(doc)
-                out.append((doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own,
-                            other, 1 - (int(own, 16) ^ int(other, 16)).bit_count() / BITS, fingerprint(after)))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint",
-                                               "edited_fingerprint", "near_edited", "next_fp"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            frame["near_next"] = [1 - (int(a, 16) ^ int(b, 16)).bit_count() / BITS
-                                  for a, b in zip(frame["fingerprint"], frame["next_fp"])]
-            yield frame.drop(columns="next_fp")
-
-    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double")
-    rows = written(edited_pairs(docs.select("doc_id", "text")).mapInPandas(run, schema), "fingerprints")
+        fingerprint, last = term_fingerprints(), [None, None]
+
+        def both(text, after):
+            text, after = text or "", after or ""
+            half = len(text) // 2
+            edited = text[:len(text) - half] + after[:half]
+            own = last[1] if text == last[0] else fingerprint(text)
+            other, following = fingerprint(edited), fingerprint(after)
+            last[:] = after, following  # the next row's own, as a rule
+            alike = [1 - (int(own, 16) ^ int(f, 16)).bit_count() / BITS for f in (other, following)]
+            return len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, other, *alike
+
+        return both
+
+    rows = written(beside_next(docs.select("doc_id", "text"), make, (
+        "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+        "near_next double")), "fingerprints")
     classes = rows.groupBy(F.col("fingerprint").alias("fp")).agg(
         F.count(F.lit(1)).alias("n"), F.max((F.col("doc_id") % query_every == 0)).alias("asked"))
     classes = written(classes, "classes")
