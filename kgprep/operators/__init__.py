@@ -5,7 +5,7 @@ from kgprep.operators.filters import (as_spo, blank_triples, drop_language, lang
 from kgprep.operators.ids import (append_relation, as_lookup, dense_ids, entities, entity_dictionary, relation_dictionary,
                                   relations, sorted_by_id)
 from kgprep.operators.links import (component_labels, known_links, link_id_pairs, links_as_triples, merge_ids,
-                                    ordered_fold_labels, with_links)
+                                    ordered_labels, with_links)
 from kgprep.operators.splits import (TRAIN_TEST, TRAIN_VALID_TEST, joint, language_counts, language_part,
                                      shuffle_rank, split)
 

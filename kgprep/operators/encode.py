@@ -3,9 +3,12 @@
 Entity lookups are shuffle joins (both sides grow with the data); AQE
 splits a skewed join partition (e.g. one class URI that is the object of a
 third of all triples) into several tasks by map-output blocks, replicating
-the single matching dictionary row.  The relation dictionary is broadcast
-only after its row count is checked against ``MAX_BROADCAST_ROWS`` (see
-``bounded_broadcast``); above that it is joined like the entities.
+the single matching dictionary row.  It can do so if the dictionary is read or
+checkpointed, not aggregated on the join key in the same plan
+(``as_lookup(..., stored=True)``).  ``skew_share`` splits hot keys without
+AQE.  The relation dictionary is broadcast only after its bytes are checked
+(``bounded_broadcast``); above the bound it is joined like the entities.
+A null scope is a scope of its own.
 """
 
 from __future__ import annotations
@@ -13,69 +16,92 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgprep.operators.ids import _scope_list
+from kgprep.operators.ids import _scope_list, join_null_safe
+from kgprep.session import checkpoint_dir
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
+MIN_SKEW_SHARE = 1e-5  # at most 100,000 heavy keys for each column
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it is cached, else a checkpoint, which goes away with its last reference."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only when the side is proven small.
 
-    The side is persisted and its rows counted first (a relation
-    dictionary is a distinct over one column, so this costs one scan with
-    map-side partial aggregation).  Within ``max_rows`` it is broadcast from
-    the cache, and the big side is never shuffled for this join.  Otherwise
-    the cache is dropped and the side is shuffle-joined.  A join planned as
-    a shuffle and converted by AQE at run time would already have written
-    the big side's shuffle.
+    The side is stored and measured first (a relation dictionary is a
+    distinct over one column, so this costs one scan with map-side partial
+    aggregation).  Within ``max_bytes`` the big side is never shuffled for
+    this join.  A join planned as a shuffle and converted by AQE at run time
+    would already have written the big side's shuffle.
     """
-    was_cached = df.storageLevel.useMemory or df.storageLevel.useDisk
-    side = df if was_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = side.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(side)
-    if not was_cached:
-        side.unpersist()
-    return df
+    side = _stored(df)
+    row = F.lit(0)
+    for name, kind in side.dtypes:
+        row = row + (F.coalesce(F.octet_length(name), F.lit(0)) + 8 if kind == "string" else F.lit(8))
+    size = side.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(side) if size <= max_bytes else side
 
 
 def _entity_side(ent: DataFrame, col: str, sc: list[str]) -> DataFrame:
     return ent.select(*sc, F.col("entity").alias(col), F.col("id").alias(f"_{col}_id"))
 
 
-def heavy_keys(df: DataFrame, cols: Sequence[str], min_share: float) -> DataFrame:
-    """Key values held by at least ``min_share`` of the rows (exact counts,
-    map-side partial aggregation).  There are at most ``1 / min_share`` of
-    them, which is the size bound that lets them be broadcast."""
-    total = df.count()
+def heavy_keys(df: DataFrame, cols: Sequence[str], min_share: float, scope: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """For each of ``cols`` the values (with their scope) held by at least
+    ``min_share`` of the rows: at most ``1 / min_share`` of them.
+
+    One aggregate over one projection counts all columns, with map-side partial aggregation.
+    """
+    if not MIN_SKEW_SHARE <= min_share <= 1:
+        raise ValueError(f"skew_share must be between {MIN_SKEW_SHARE} and 1, not {min_share}")
+    sc = list(scope)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).alias("_key")) for c in cols]))
+    counts = df.select(*sc, cells.alias("_x")).groupBy(*sc, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _stored(counts.select(*sc, "_x.*", "_n"))
+    total = counts.where(F.col("_col") == cols[0]).agg(F.sum("_n")).first()[0] or 0
     threshold = max(1, math.ceil(min_share * total))
-    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") >= threshold).select(*cols))
+    heavy = _stored(counts.where((F.col("_n") >= threshold) & F.col("_key").isNotNull()).drop("_n"))
+    return {c: heavy.where(F.col("_col") == c).select(*sc, F.col("_key").alias(c)) for c in cols}
 
 
-def _lookup_join(x: DataFrame, side: DataFrame, keys: list[str], how: str,
-                 skew_share: float | None) -> DataFrame:
-    """Equi-join of the data ``x`` with a dictionary side on ``keys``.
+def _scoped_join(x: DataFrame, side: DataFrame, sc: list[str], col: str, how: str) -> DataFrame:
+    """Equi-join on a node column, and null-safe on the scope."""
+    if not sc:
+        return x.join(side, col, how)
+    return join_null_safe(x, side, [*sc, col], how)
 
-    With ``skew_share`` the heavy key values of ``x`` are split off: their
-    rows meet the matching dictionary rows (at most ``1 / skew_share`` of
-    them) in a broadcast join, with no shuffle, and only the remaining rows
-    are shuffle-joined, so no join task receives a hot key.  Without it, AQE
-    splits skewed partitions at run time.
+
+def _lookup_join(x: DataFrame, side: DataFrame, sc: list[str], col: str, how: str, hot: DataFrame | None) -> DataFrame:
+    """Join of the data ``x`` with a dictionary side on scope and ``col``.
+
+    The rows of ``hot`` keys meet the matching dictionary rows in a broadcast
+    join, with no shuffle, if these are small, and only the remaining rows are shuffle-joined,
+    so no join task receives a hot key.  Without ``hot``, AQE splits skewed
+    partitions at run time.
     """
-    if not skew_share:
-        return x.join(side, on=keys, how=how)
-    hot = F.broadcast(heavy_keys(x, keys, skew_share).persist(StorageLevel.MEMORY_AND_DISK))
-    hot_side = F.broadcast(side.join(hot, on=keys, how="left_semi"))
-    hot_rows = x.join(hot, on=keys, how="left_semi").join(hot_side, on=keys, how=how)
-    cold_rows = x.join(hot, on=keys, how="left_anti").join(side, on=keys, how=how)
+    if hot is None:
+        return _scoped_join(x, side, sc, col, how)
+    hot_side = bounded_broadcast(_scoped_join(side, F.broadcast(hot), sc, col, "left_semi"))
+    mark = hot.withColumn("_hot", F.lit(True))
+    marked = _scoped_join(x, F.broadcast(mark), sc, col, "left")
+    hot_rows = _scoped_join(marked.where("_hot").drop("_hot"), hot_side, sc, col, how)
+    cold_rows = _scoped_join(marked.where("_hot IS NULL").drop("_hot"), side, sc, col, how)
     return hot_rows.unionByName(cold_rows)
 
 
+def _hot(df: DataFrame, cols: Sequence[str], sc: list[str], skew_share: float | None) -> dict[str, DataFrame | None]:
+    return heavy_keys(df, cols, skew_share, sc) if skew_share else dict.fromkeys(cols)
+
+
 def _relation_side(rel: DataFrame, col: str, sc: list[str], broadcast: bool | str) -> DataFrame:
     # any request to broadcast goes through the size check; False never hints
     if broadcast:
@@ -95,9 +121,10 @@ def encode_uri(df: DataFrame, ent: DataFrame, rel: DataFrame, scope: str | Seque
     """
     sc = _scope_list(scope)
     x = df.select(*dict.fromkeys([*sc, *keep, "s", "p", "o"]))
-    x = x.join(_relation_side(rel, "p", sc, broadcast_relations), on=[*sc, "p"], how="inner")
-    x = _lookup_join(x, _entity_side(ent, "s", sc), [*sc, "s"], "inner", skew_share)
-    x = _lookup_join(x, _entity_side(ent, "o", sc), [*sc, "o"], "inner", skew_share)
+    hot = _hot(x, ["s", "o"], sc, skew_share)
+    x = _scoped_join(x, _relation_side(rel, "p", sc, broadcast_relations), sc, "p", "inner")
+    x = _lookup_join(x, _entity_side(ent, "s", sc), sc, "s", "inner", hot["s"])
+    x = _lookup_join(x, _entity_side(ent, "o", sc), sc, "o", "inner", hot["o"])
     return x.select(*dict.fromkeys([*sc, *keep]), F.col("_s_id").alias("s"), F.col("_p_id").alias("p"),
                     F.col("_o_id").alias("o"))
 
@@ -108,33 +135,35 @@ def encode_literal(df: DataFrame, ent: DataFrame, rel: DataFrame, scope: str | S
     """Subject and predicate -> ids; the literal (o, o_lang, o_datatype) is unchanged."""
     sc = _scope_list(scope)
     x = df.select(*dict.fromkeys([*sc, *keep, "s", "p", "o", "o_lang", "o_datatype"]))
-    x = x.join(_relation_side(rel, "p", sc, broadcast_relations), on=[*sc, "p"], how="inner")
-    x = _lookup_join(x, _entity_side(ent, "s", sc), [*sc, "s"], "inner", skew_share)
+    hot = _hot(x, ["s"], sc, skew_share)
+    x = _scoped_join(x, _relation_side(rel, "p", sc, broadcast_relations), sc, "p", "inner")
+    x = _lookup_join(x, _entity_side(ent, "s", sc), sc, "s", "inner", hot["s"])
     return x.select(*dict.fromkeys([*sc, *keep]), F.col("_s_id").alias("s"), F.col("_p_id").alias("p"),
                     "o", "o_lang", "o_datatype")
 
 
 def _lookup_left(df: DataFrame, ent: DataFrame, rel: DataFrame, sc: list[str], keep: Sequence[str],
-                 broadcast_relations: bool | str) -> DataFrame:
+                 broadcast_relations: bool | str, skew_share: float | None = None) -> DataFrame:
     x = df.select(*dict.fromkeys([*sc, *keep, "s", "p", "o"]))
-    x = x.join(_relation_side(rel, "p", sc, broadcast_relations), on=[*sc, "p"], how="left")
-    x = x.join(_entity_side(ent, "s", sc), on=[*sc, "s"], how="left")
-    return x.join(_entity_side(ent, "o", sc), on=[*sc, "o"], how="left")
+    hot = _hot(x, ["s", "o"], sc, skew_share)
+    x = _scoped_join(x, _relation_side(rel, "p", sc, broadcast_relations), sc, "p", "left")
+    x = _lookup_join(x, _entity_side(ent, "s", sc), sc, "s", "left", hot["s"])
+    return _lookup_join(x, _entity_side(ent, "o", sc), sc, "o", "left", hot["o"])
 
 
 def encode_strict(df: DataFrame, ent: DataFrame, rel: DataFrame, on_missing: str = "error",
                   scope: str | Sequence[str] | None = None, keep: Sequence[str] = (),
-                  broadcast_relations: bool | str = "auto") -> DataFrame:
+                  broadcast_relations: bool | str = "auto", skew_share: float | None = None) -> DataFrame:
     """Encode by lookup where an unknown URI is an error (or dropped / null).
 
     Dictionaries must have one id per key (apply ``as_lookup`` first).
     """
     sc = _scope_list(scope)
     if on_missing == "drop":
-        return encode_uri(df, ent, rel, scope, keep, broadcast_relations)
+        return encode_uri(df, ent, rel, scope, keep, broadcast_relations, skew_share)
     if on_missing not in ("error", "null"):
         raise ValueError(f"on_missing must be error, drop or null, not {on_missing!r}")
-    x = _lookup_left(df, ent, rel, sc, keep, broadcast_relations)
+    x = _lookup_left(df, ent, rel, sc, keep, broadcast_relations, skew_share)
     if on_missing == "error":
         known = F.col("_s_id").isNotNull() & F.col("_p_id").isNotNull() & F.col("_o_id").isNotNull()
         x = x.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat_ws(

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgprep.schema import URI
+from kgprep.session import checkpoint_dir
 
 MIN_BUCKET_DIGITS, MAX_BUCKET_DIGITS = 4, 7
 
@@ -79,14 +80,13 @@ def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = Non
     h = F.md5(F.col(key).cast("string"))
     keyed = keys.where(F.col(key).isNotNull()).select(*sc, F.col(key), h.alias("_h"),
                                                       F.substring(h, 1, digits).alias("_b"))
-    # One exchange of the keys by bucket, which both branches reuse: the
-    # counts are a hash aggregate on it, and only the ranking branch sorts.
-    dealt = keyed.repartition(*sc, "_b")
-    counts = dealt.groupBy(*sc, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # Bucket counts combine map-side, so only the ranking branch shuffles
+    # and sorts the keys; the exchange of the distinct keys feeds both.
+    counts = keyed.groupBy(*sc, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*sc, "_b").orderBy("_h", key)
-    ranked = dealt.withColumn("_r", F.row_number().over(inside))
+    ranked = keyed.withColumn("_r", F.row_number().over(inside))
     # left join: every bucket has an offset
     return (join_null_safe(ranked, offsets, [*sc, "_b"])
             .select(*sc, key, (F.col("_off") + F.col("_r") - 1).cast("long").alias(id_col)))
@@ -102,10 +102,19 @@ def relation_dictionary(df: DataFrame, scope: str | Sequence[str] | None = None,
     return dense_ids(relations(df, scope), "relation", scope, **kw)
 
 
-def as_lookup(dictionary: DataFrame, key: str = "entity", scope: str | Sequence[str] | None = None) -> DataFrame:
-    """One id per key; a repeated key keeps its largest id."""
+def as_lookup(dictionary: DataFrame, key: str = "entity", scope: str | Sequence[str] | None = None,
+              stored: bool = False) -> DataFrame:
+    """One id per key; a repeated key keeps its largest id.
+
+    ``stored`` checkpoints the result: joins then read it rather than
+    aggregate it on their own key, which would keep AQE from splitting a hot key.
+    """
     sc = _scope_list(scope)
-    return dictionary.groupBy(*sc, key).agg(F.max("id").alias("id"))
+    out = dictionary.groupBy(*sc, key).agg(F.max("id").alias("id"))
+    if stored:
+        checkpoint_dir(dictionary.sparkSession)
+        out = out.checkpoint()
+    return out
 
 
 def sorted_by_id(dictionary: DataFrame, partitions: int | None = None) -> DataFrame:

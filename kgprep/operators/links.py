@@ -5,21 +5,16 @@
 * ``component`` (default): every entity takes the smallest id of its
   connected component.  Large-star / small-star rounds (Kiveris et al.,
   "Connected Components in MapReduce and Beyond", SoCC 2014) on id pairs:
-  every step is a grouped min plus a join, so a hub entity is a partial
-  aggregate and an AQE-split join, never one task.  O(log n) rounds, each
-  checkpointed to the shared checkpoint folder.
+  grouped minima are partial aggregates, and they are checkpointed before
+  the joins that use them, so AQE can split the rows of a hub.  O(log n)
+  rounds.
 * ``ordered``: the reference's sequential pass, where each link in turn
   gives both ends the smaller of their current ids.  Links only interact
-  inside a connected component, so components are found first; every
-  component with at most ``group_links`` links is folded sequentially by
-  one ``mapInPandas`` pass over rows clustered by component and sorted by
-  Spark in link order (state: one component at a time),
-  and larger components go to an exact distributed iteration: a link's
-  result is ``min(id(a), id(b), results of all earlier links touching a or
-  b)``, solved by rounds of per-entity running minima (windows over
-  ``(entity, block of the link order)`` plus a per-entity carry over
-  blocks, so no window partition exceeds one block of one entity's links)
-  until nothing changes.
+  inside a connected component, so components are found first and the links
+  of each are numbered in order.  Round r folds the r-th ``block`` links of
+  every component, starting from the ids that the blocks before left.  A
+  task holds one block of one component at a time, and the number of rounds is the
+  largest component's links divided by ``block``.
 """
 
 from __future__ import annotations
@@ -33,8 +28,7 @@ from kgprep.operators.encode import encode_uri
 from kgprep.schema import OWL_SAME_AS
 from kgprep.session import checkpoint_dir
 
-FOLD_BLOCK = 1 << 16
-FOLD_GROUP_LINKS = 1 << 20  # links of one component folded in one task
+FOLD_BLOCK = 1 << 16  # links of one component that a task folds in a round
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -92,11 +86,11 @@ def component_labels(pairs: DataFrame, max_rounds: int | None = None) -> DataFra
         # large star: each node links its larger neighbours to its neighbourhood minimum
         adj = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        mins = adj.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (adj.where(F.col("v") > F.col("u")).join(mins, "u")
-                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        mins = _checkpoint(adj.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = _checkpoint(adj.where(F.col("v") > F.col("u")).join(mins, "u")
+                            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         # small star: each node and its smaller neighbours attach to their minimum
-        m2 = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        m2 = _checkpoint(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = (large.join(m2, "hi").where(F.col("lo") != F.col("m"))
                  .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .unionByName(m2.select("hi", F.col("m").alias("lo"))).distinct())
@@ -114,112 +108,93 @@ def component_labels(pairs: DataFrame, max_rounds: int | None = None) -> DataFra
             .unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("label"))).distinct())
 
 
-def _ordered_sequence(pairs: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """Adds ``t``: increasing in the total order ``(order_cols, a, b)``.
+def _numbered(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``rank``: 0, 1, 2, ... within ``comp`` in the order of ``keys``.
 
-    Range partitioning splits even a hot key across tasks; after a
-    checkpoint the partitioning is fixed, so ``monotonically_increasing_id``
-    (partition index, then position) is an order-preserving, reproducible
-    sequence with dense runs inside each partition.
+    Range partitioning on the component and the order splits a large
+    component among tasks.  After a checkpoint the partitions are fixed and a
+    component is contiguous in each, so a position minus the component's first position in its
+    partition, plus its rows in earlier partitions, is the rank.
     """
-    keys = [*order_cols, "a", "b"]
-    ordered = _checkpoint(pairs.repartitionByRange(*keys).sortWithinPartitions(*keys))
-    return ordered.withColumn("t", F.monotonically_increasing_id())
-
-
-def ordered_fold_labels(pairs: DataFrame, order_cols: Sequence[str], block: int = FOLD_BLOCK,
-                        max_rounds: int | None = None) -> DataFrame:
-    """``(node, label)`` after processing links one by one in ``order_cols``
-    order, each link giving both ends the minimum of their current ids."""
-    links = (pairs.where(F.col("a") != F.col("b"))
-             .select(*order_cols, "a", "b").dropDuplicates([*order_cols, "a", "b"]))
-    seq = _ordered_sequence(links, order_cols)
-    edges = _checkpoint(seq.select("t", "a", "b", F.least("a", "b").alias("val")))
-    # (t, a, b) never change, only val: decide once whether any entity's
-    # links span more than one block and so need the carry between blocks.
-    ends = (edges.select(F.col("a").alias("x"), "t").unionByName(edges.select(F.col("b").alias("x"), "t"))
-            .groupBy("x").agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
-    spans = ends.where(F.floor(F.col("lo") / block) != F.floor(F.col("hi") / block)).limit(1).count() > 0
-    upto = Window.partitionBy("x", "blk").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy("x").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = 0
-    while True:
-        rounds += 1
-        inc = (edges.select("t", "a", "b", F.col("a").alias("x"), "val")
-               .unionByName(edges.select("t", "a", "b", F.col("b").alias("x"), "val"))
-               .withColumn("blk", F.floor(F.col("t") / block)))
-        # running minimum of each entity's links up to this one
-        prefix = inc.withColumn("pm", F.min("val").over(upto))
-        if spans:
-            carry = (inc.groupBy("x", "blk").agg(F.min("val").alias("bmin"))
-                     .select("x", "blk", F.min("bmin").over(earlier).alias("carry")))
-            prefix = (prefix.join(carry, ["x", "blk"])
-                      .withColumn("pm", F.least("pm", F.coalesce("carry", "pm"))))
-        nxt = prefix.groupBy("t", "a", "b").agg(F.min("pm").alias("val"), F.min("val").alias("old"))
-        nxt = _checkpoint(nxt.select("t", "a", "b", "val", (F.col("val") < F.col("old")).alias("chg")))
-        changed = nxt.where("chg").limit(1).count()
-        edges = nxt.drop("chg")
-        if changed == 0:
-            break
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"ordered fold did not converge in {max_rounds} rounds")
-    # a node ends with the value of its last link, the minimum over its links
-    inc = (edges.select(F.col("a").alias("node"), "val")
-           .unionByName(edges.select(F.col("b").alias("node"), "val")))
-    return inc.groupBy("node").agg(F.min("val").alias("label"))
+    order = ["comp", *keys]
+    placed = _checkpoint(tagged.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = placed.withColumn("t", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("t", 33))
+    parts = placed.groupBy("comp", "pid").agg(F.min("t").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("comp").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _checkpoint(parts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    return (placed.join(offsets, ["comp", "pid"])
+            .withColumn("rank", F.col("off") + F.col("t") - F.col("first")).drop("t", "pid", "first", "n", "off"))
 
 
 def _fold_sorted_partitions():
-    """mapInPandas body: rows arrive sorted by (comp, link order), so each
-    component is a contiguous run; fold it link by link and emit its
-    labels when the run ends.  State is one component's entities.  Built
-    in a factory so the closure ships by value to the Python workers."""
+    """mapInPandas body: rows arrive sorted by (comp, rank), so the links of a
+    component are a contiguous run; fold it link by link from the ids ``la``
+    and ``lb`` that its entities have so far, and emit its labels when the
+    run ends.  State is the entities of one block of one component."""
 
     def run(batches):
         import pandas as pd
 
-        def emit(v):
-            return pd.DataFrame({"node": list(v), "label": list(v.values())}, dtype="int64")
+        def emit(done):
+            return pd.DataFrame(done, columns=["comp", "node", "label"], dtype="int64")
 
         cur, val = None, {}
         for pdf in batches:
-            done = {}
-            for c, a, b in zip(pdf["comp"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()):
+            done = []
+            for c, a, b, la, lb in zip(*[pdf[k].tolist() for k in ("comp", "a", "b", "la", "lb")]):
                 if c != cur:
-                    done.update(val)
+                    done += [(cur, n, v) for n, v in val.items()]
                     cur, val = c, {}
-                m = min(val.get(a, a), val.get(b, b))
-                val[a] = m
-                val[b] = m
+                val[a] = val[b] = min(val.get(a, la), val.get(b, lb))
             if done:
                 yield emit(done)
         if val:
-            yield emit(val)
+            yield emit([(cur, n, v) for n, v in val.items()])
 
     return run
 
 
-def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], group_links: int = FOLD_GROUP_LINKS,
-                   block: int = FOLD_BLOCK, max_rounds: int | None = None) -> DataFrame:
-    """Exact ordered fold: bounded components folded in one grouped pass,
-    oversized ones by the distributed iteration (``ordered_fold_labels``)."""
-    links = pairs.where(F.col("a") != F.col("b")).select(*order_cols, "a", "b")
+def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], block: int = FOLD_BLOCK,
+                   max_rounds: int | None = None) -> DataFrame:
+    """``(node, label)`` after processing links one by one in ``order_cols``
+    order (then by ends), each link giving both ends the minimum of their current ids."""
+    keys = [*order_cols, "a", "b"]
+    links = pairs.where(F.col("a") != F.col("b")).select(*keys).dropDuplicates(keys)
     comp = component_labels(links, max_rounds)
-    tagged = _checkpoint(links.join(comp.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a"))
-    sizes = tagged.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    small = tagged.join(sizes.where(F.col("n") <= group_links).select("comp"), "comp", "left_semi")
-    big = tagged.join(sizes.where(F.col("n") > group_links).select("comp"), "comp", "left_semi")
-    folded = (small.repartition("comp").sortWithinPartitions("comp", *order_cols, "a", "b")
-              .mapInPandas(_fold_sorted_partitions(), "node long, label long"))
-    if big.limit(1).count() == 0:
-        return folded
-    rest = ordered_fold_labels(big.drop("comp"), order_cols, block=block, max_rounds=max_rounds)
-    return folded.unionByName(rest)
+    tagged = links.join(comp.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a")
+    ranked = _numbered(tagged, keys).select("comp", "rank", "a", "b", F.floor(F.col("rank") / block).alias("blk"))
+    ranked = _checkpoint(ranked)
+    last = _checkpoint(ranked.groupBy("comp").agg(F.max("blk").alias("last")))
+    rounds = (last.agg(F.max("last")).first()[0] if not last.isEmpty() else -1) + 1
+    finished, state = [], None
+    for r in range(rounds):
+        cur = ranked.where(F.col("blk") == r)
+        if state is None:
+            cur = cur.select("comp", "rank", "a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
+        else:
+            for end in ("a", "b"):
+                now = state.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+                cur = cur.join(now, end, "left").withColumn(f"l{end}", F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        folded = (cur.repartition("comp").sortWithinPartitions("comp", "rank")
+                  .mapInPandas(_fold_sorted_partitions(), "comp long, node long, label long"))
+        if state is not None:
+            folded = _checkpoint(folded)
+            folded = folded.unionByName(state.join(folded, "node", "left_anti").select("comp", "node", "label"))
+        # components whose last block this was are done; only the others are carried on
+        folded = _checkpoint(folded.join(last, "comp"))
+        finished.append(folded.where(F.col("last") == r).select("node", "label"))
+        state = folded.where(F.col("last") > r).select("comp", "node", "label")
+    if not finished:
+        return comp.select("node", "label").limit(0)
+    out = finished[0]
+    for more in finished[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def merge_ids(ent: DataFrame, links: DataFrame, mode: str = "component",
               order_by: Sequence[str] = ("s", "o"), max_rounds: int | None = None,
-              group_links: int = FOLD_GROUP_LINKS) -> DataFrame:
+              block: int = FOLD_BLOCK) -> DataFrame:
     """The merged dictionary ``(entity, id)`` over all entities.
 
     ``ent`` needs one id per entity (``as_lookup``).  Links with an unknown
@@ -234,7 +209,7 @@ def merge_ids(ent: DataFrame, links: DataFrame, mode: str = "component",
     if mode == "component":
         labels = component_labels(pairs, max_rounds)
     elif mode == "ordered":
-        labels = ordered_labels(pairs, list(order_by), group_links=group_links, max_rounds=max_rounds)
+        labels = ordered_labels(pairs, list(order_by), block=block, max_rounds=max_rounds)
     else:
         raise ValueError(f"mode must be component or ordered, not {mode!r}")
     return (ent.join(labels, ent["id"] == labels["node"], "left")

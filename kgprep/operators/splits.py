@@ -60,15 +60,15 @@ def _ranked(df: DataFrame, by: str | Sequence[str] | None, seed: str, hash_cols:
     counted = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
                .withColumn("_h", row_hash(hcols, seed))
                .withColumn("_b", F.substring("_h", 1, digits)))
-    dealt = counted.repartition(*sc, "_b")  # one exchange for the sums and the ranking
-    buckets = dealt.groupBy(*sc, "_b").agg(F.sum("_c").alias("_bn"))
+    # sums combine map-side; the exchange of the collapsed rows feeds both branches
+    buckets = counted.groupBy(*sc, "_b").agg(F.sum("_c").alias("_bn"))
     before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*sc)
     offsets = buckets.select(*sc, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
                              F.sum("_bn").over(whole).alias("_n"))
     inside = (Window.partitionBy(*sc, "_b").orderBy("_h", *data_cols)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (join_null_safe(dealt.withColumn("_cum", F.sum("_c").over(inside)), offsets, [*sc, "_b"])
+    ranked = (join_null_safe(counted.withColumn("_cum", F.sum("_c").over(inside)), offsets, [*sc, "_b"])
               .withColumn("_start", (F.col("_off") + F.col("_cum") - F.col("_c")).cast("long")))
     return _expand(ranked, cols, chunk)
 

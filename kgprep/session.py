@@ -1,9 +1,8 @@
 """Session defaults and the shared scratch / checkpoint folder.
 
-Library code never invents a machine-local folder: the cluster names a
-shared folder in ``spark.checkpoint.dir``.  Only when that setting is unset
-(local tests, the bench) is a temporary one chosen and written back into the
-session, so every later call agrees on it.
+The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a
+local session (tests, the bench) may leave it unset; a temporary one is then
+chosen and written back into the session, so every later call agrees on it.
 """
 
 from __future__ import annotations
@@ -43,7 +42,11 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "k
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; choose one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset: then a temporary folder is
+    chosen.  On a cluster a folder of one machine is of no use to the others.
+    """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -53,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="kgprep-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -63,10 +68,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def to_local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (tests only compare local files)."""
-    return path[5:] if path.startswith("file:") else path
-
-
-__all__ = ["DEFAULT_CONF", "checkpoint_dir", "scratch_path", "session", "to_local_path"]
+__all__ = ["DEFAULT_CONF", "checkpoint_dir", "scratch_path", "session"]
 

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from kgprep.operators import (component_labels, encode_strict, known_links, links_as_triples, merge_ids,
-                              ordered_fold_labels, unmapped, with_links)
+                              ordered_labels, unmapped, with_links)
 from kgprep.plans.jobs import encode_all_languages, encode_languages, prepare_three_tasks, prepare_two_way
 from kgprep.sinks import counted_lines, write_counted, write_tuples
 from kgprep.sources import read_dictionary, read_language_datasets, read_links, read_quads
@@ -32,13 +32,13 @@ def _links(spark, links):
                                  "s string, p string, o string, seq long")
 
 
-@pytest.mark.parametrize("group_links", [1 << 20, 1])
+@pytest.mark.parametrize("block", [1 << 16, 1])
 @pytest.mark.parametrize("name,ids,links,fold,comp", CASES, ids=[c[0] for c in CASES])
-def test_merge_cases(spark, name, ids, links, fold, comp, group_links):
-    # group_links=1 sends every component through the distributed iteration
+def test_merge_cases(spark, name, ids, links, fold, comp, block):
+    # block=1 folds one link of each component in a round
     ent, ln = _ent(spark, ids), _links(spark, links)
     got_fold = {r.entity: r.id for r in merge_ids(ent, ln, mode="ordered", order_by=["seq"],
-                                                  group_links=group_links).collect()}
+                                                  block=block).collect()}
     got_comp = {r.entity: r.id for r in merge_ids(ent, ln, mode="component").collect()}
     assert got_fold == fold
     assert got_comp == comp
@@ -58,8 +58,7 @@ def test_ordered_fold_blocks(spark):
     # a hub touching every link, with a tiny block so the carry path is used
     pairs = [(i, 0 if i % 2 else 100, i) for i in range(1, 60)]
     df = spark.createDataFrame(pairs, "a long, b long, seq long")
-    got = {r.node: r.label for r in ordered_fold_labels(df, ["seq"], block=4).collect()}
-    from kgprep.operators.links import ordered_labels
+    got = {r.node: r.label for r in ordered_labels(df, ["seq"], block=8).collect()}
     assert {r.node: r.label for r in ordered_labels(df, ["seq"]).collect()} == got
     # sequential reference
     val = {}
@@ -69,6 +68,12 @@ def test_ordered_fold_blocks(spark):
     assert got == val
 
 
+def test_ordered_fold_of_a_chain_longer_than_several_blocks(spark):
+    # in order, each link passes the smallest id one step on
+    df = spark.createDataFrame([(i, i + 1, i) for i in range(40)], "a long, b long, seq long")
+    assert {r.node: r.label for r in ordered_labels(df, ["seq"], block=10).collect()} == dict.fromkeys(range(41), 0)
+
+
 def test_link_operators(spark):
     ent = _ent(spark, {"a": 0, "b": 1, "c": 2})
     rel = spark.createDataFrame([("p", 0), ("sameAs", 1)], "relation string, id long")

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from kgprep.operators import component_labels, entity_dictionary, split
-from kgprep.operators.links import ordered_fold_labels, ordered_labels
+from kgprep.operators.links import ordered_labels
 
 
 def _random_pairs(seed, n_nodes=120, n_edges=150):
@@ -60,8 +60,7 @@ def test_ordered_fold_equals_replay(spark, seed):
     df = spark.createDataFrame(pairs, "a long, b long, seq long")
     want = _replay(pairs)
     assert {r.node: r.label for r in ordered_labels(df, ["seq"]).collect()} == want
-    assert {r.node: r.label for r in ordered_labels(df, ["seq"], group_links=1).collect()} == want
-    assert {r.node: r.label for r in ordered_fold_labels(df, ["seq"], block=8).collect()} == want
+    assert {r.node: r.label for r in ordered_labels(df, ["seq"], block=16).collect()} == want
     comp = _union_find(pairs)
     assert all(want[x] >= comp[x] for x in want)  # components never give a larger id
 
