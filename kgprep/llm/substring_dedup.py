@@ -267,8 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     merged = written(merged, "merged")
     rows = docs.select(F.struct(*carried).alias("_row"), F.col("doc_id").cast("string").alias("_doc"),
                        F.xxhash64("text").alias("_key"))
-    rows = rows.join(broadcast_if_small(merged, BROADCAST_BYTES), F.col("_doc").eqNullSafe(F.col("_d"))
-                     & (F.col("_key") == F.col("_t")), "left")
+    rows = rows.join(merged, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
     raw = F.coalesce(F.col("_row.text"), F.lit("")).cast("binary")
 
     # spans in order: the kept bytes are those between the furthest end so far and the next start
