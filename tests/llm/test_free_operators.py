@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kgprep.llm.components import component_minimum
 from kgprep.llm.fingerprints import block_tables, distance, fingerprint_digest, fingerprint_documents, within_radius
 from kgprep.llm.packing import best_fit_decreasing, bin_bound, encoder, pack_documents, pack_lengths, sequences
-from kgprep.llm.scoring import model_code, score_texts
+from kgprep.llm.scoring import model_code, packed_counts, score_texts
 from kgprep.llm.simhash_dedup import allocate, first_of_each_group, links, near_duplicate_digest
 from kgprep.llm.substring_dedup import remove_repeats, repeats_digest
 from kgprep.llm.suffix_arrays import permuted_common_prefixes, suffix_array
@@ -221,6 +221,15 @@ def test_base_scores_and_held_out_gain(docs, rows, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_packed_counts_round_trip():
+    pack, unpack = packed_counts()
+    for ids, times in (([0], [1]), ([3, 70000, 400000], [256, 1, 100000]), ([65535, 131070], [255, 510]), ([0, 1], [511, 2])):
+        found = Counter()
+        for i, n in zip(*unpack(*pack(np.array(ids), np.array(times)))):
+            found[int(i)] += int(n)
+        assert +found == Counter(dict(zip(ids, times)))
+
+
 def test_word_probabilities_sum_to_at_most_one():
     rng = random.Random(4)
     words = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 6))) for _ in range(400)} | {b"\n", b"x" * 90})
