@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgprep.functions.nodes import literal_parts, node_kind, split_statement
+from kgprep.functions.nodes import escape_literal, literal_parts, literal_text, node_kind, split_statement
 from kgprep.operators import encode as J
 from kgprep.operators import filters as Fl
 from kgprep.operators import ids as D
@@ -209,61 +209,117 @@ def _k5(spark, sf):
         "value", F.col("language").cast("string").alias("language"), F.col("dataset").cast("string").alias("dataset"))
 
 
+def _outputs(spark, root, names):
+    """All outputs of a job as text lines: output, value."""
+    parts = [spark.read.text(f"{root}/{n}").select(F.lit(n).alias("output"), "value") for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+W1_OUTPUTS = ("entity_ids", "relation_ids", "uri_mappings", "literal_mappings", "literals", "blank_nodes", "uri_triples")
+W3_OUTPUTS = ("entity_ids", "relation_ids", "uri_mappings")
+W4_OUTPUTS = ("entity2id", "relation2id", "URI_joint_train", "URI_joint_test", "triple2id_ex1", "test2id_ex1",
+              "modified_entity2id", "triple2id_ex2", "test2id_ex2")
+W5_OUTPUTS = ("entity2id", "relation2id", "sameAs_URI", "URI_joint_train", "URI_joint_valid", "URI_joint_test",
+              "es_train_URI", "es_valid_URI", "es_test_URI", "triple2id_ex1", "valid2id_ex1", "test2id_ex1",
+              "es_test_original_mappings", "modified_entity2id", "triple2id_ex2", "valid2id_ex2", "test2id_ex2",
+              "es_test_new_mappings", "es_entity2id", "es_relation2id", "es_train", "es_valid", "es_test")
+
+
 def _w1(spark, sf):
     from kgprep.plans.jobs import encode_graph
     out = scratch_path(spark, "w1")
     lines = scratch_path(spark, "w1-input")
     K._write_lines(dv.ntriples_lines(spark, sf), lines, "overwrite", None)
-    encode_graph(spark, f"{lines}/*.txt", out, scope_blank_nodes=False)
-    return spark.read.text(f"{out}/uri_mappings")
+    encode_graph(spark, f"{lines}/*.txt", out, scope_blank_nodes=False, readable=True)
+    return _outputs(spark, out, W1_OUTPUTS)
 
 
 def _w2(spark, sf):
     from kgprep.plans.jobs import encode_languages
     outs = encode_languages(spark, _language_tree(spark, sf, "w2-tree"), scratch_path(spark, "w2"))
-    path = outs["uri_mappings"]
-    return spark.read.option("basePath", path).text(path).select(
-        "value", F.col("language").cast("string").alias("language"), F.col("dataset").cast("string").alias("dataset"))
+    parts = []
+    for name in ("entity_ids", "relation_ids", "uri_mappings"):
+        rows = spark.read.option("basePath", outs[name]).text(outs[name])
+        dataset = F.col("dataset").cast("string") if "dataset" in rows.columns else F.lit(None).cast("string")
+        parts.append(rows.select(F.lit(name).alias("output"), F.col("language").cast("string").alias("language"),
+                                 dataset.alias("dataset"), "value"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def _w3(spark, sf):
     from kgprep.plans.jobs import encode_all_languages
-    outs = encode_all_languages(spark, _language_tree(spark, sf, "w3-tree"), scratch_path(spark, "w3"))
-    return spark.read.text(outs["uri_mappings"])
+    out = scratch_path(spark, "w3")
+    encode_all_languages(spark, _language_tree(spark, sf, "w3-tree"), out)
+    return _outputs(spark, out, W3_OUTPUTS)
 
 
-def _two_way_inputs(spark, sf):
-    src = scratch_path(spark, "w4-input")
+def _export(spark, sf, name, *more):
+    """Inputs of W4 and W5 in the layouts that they read, written by the export job."""
+    from kgprep.plans.jobs import export_inputs
+    src = scratch_path(spark, name)
     q = dv.quads(spark, sf)
-    K.write_tsv(q, f"{src}/quads", compression="bzip2")
-    K.write_tsv(D.entity_dictionary(q), f"{src}/entity2id", compression="bzip2")
-    K.write_tsv(D.relation_dictionary(q), f"{src}/relation2id", compression="bzip2")
-    K.write_tsv(dv.star_links(spark, sf), f"{src}/links", compression="bzip2")
+    g = q.select("s", F.lit("uri").alias("s_kind"), "p", "o", F.lit("uri").alias("o_kind"), "language")
+    export_inputs(g, dv.star_links(spark, sf), src, languages=more)
     return src
 
 
-def _w4(spark, sf):
+def _w4(spark, sf, mode="component"):
     from kgprep.plans.jobs import prepare_two_way
     out = scratch_path(spark, "w4")
-    prepare_two_way(spark, _two_way_inputs(spark, sf), out, seed=dv.SEED)
-    return spark.read.text(f"{out}/triple2id_ex2")
+    prepare_two_way(spark, _export(spark, sf, "w4-input"), out, seed=dv.SEED, merge_mode=mode)
+    return _outputs(spark, out, W4_OUTPUTS)
 
 
 def _w5(spark, sf):
     from kgprep.plans.jobs import prepare_three_tasks
-    src = scratch_path(spark, "w5-input")
     out = scratch_path(spark, "w5")
-    q = dv.quads(spark, sf)
-    K.write_tsv(q, f"{src}/quads", compression="bzip2")
-    K.write_tsv(D.entity_dictionary(q), f"{src}/entity2id", compression="bzip2")
-    K.write_tsv(D.relation_dictionary(q), f"{src}/relation2id", compression="bzip2")
-    K.write_tsv(dv.star_links(spark, sf), f"{src}/links", compression="bzip2")
-    ql = D.entity_dictionary(q, scope="language").where("language = 'es'").drop("language")
-    rl = D.relation_dictionary(q, scope="language").where("language = 'es'").drop("language")
-    K.write_tsv(ql, f"{src}/es_entity2id", compression="bzip2")
-    K.write_tsv(rl, f"{src}/es_relation2id", compression="bzip2")
-    prepare_three_tasks(spark, src, out, language="es", seed=dv.SEED)
-    return spark.read.text(f"{out}/triple2id_ex1")
+    prepare_three_tasks(spark, _export(spark, sf, "w5-input", "es"), out, language="es", seed=dv.SEED)
+    return _outputs(spark, out, W5_OUTPUTS)
+
+
+def _escaped(text):
+    """Every character beyond ASCII as a numbered escape, and the rest as a literal needs it."""
+    chars = F.split(escape_literal(text), "")
+    return F.array_join(F.transform(chars, lambda c: F.when(
+        F.octet_length(c) > 1, F.concat(F.lit("\\u"), F.hex(F.encode(c, "UTF-16BE")))).otherwise(c)), "")
+
+
+def _s1_text(spark, sf, render):
+    """Whole document texts as literals and document ids in the subjects, parsed back."""
+    d = dv.table(spark, sf, "documents")
+    lines = d.select(F.concat(F.lit(f"<{dv.BASE}doc/"), F.col("doc_id").cast("string"), F.lit(f"> <{dv.BASE}text> \""),
+                              render(F.col("text")), F.lit('"@'), F.col("lang"), F.lit(" .")).alias("value"))
+    return S.parse_ntriples(lines).select("s", "o", "o_lang")
+
+
+def _s1_escaped_iris(spark, sf):
+    """Sources named in two spellings, with and without escapes: one entity for both."""
+    d = dv.table(spark, sf, "documents").select(F.concat(F.lit("é-"), "lang", F.lit("-"), "source").alias("n"))
+    lines = d.select(F.explode(F.array("n", _escaped(F.col("n")))).alias("n")).select(F.concat(
+        F.lit(f"<{dv.BASE}"), "n", F.lit(f"> <{dv.BASE}p> <{dv.BASE}o> .")).alias("value"))
+    return D.entities(S.parse_ntriples(lines))
+
+
+def _some_null(spark, sf):
+    """Quads of which those of one language have lost it."""
+    return dv.quads(spark, sf).withColumn("language", F.when(F.col("language") != "es", F.col("language")))
+
+
+def _hub_links(spark, sf):
+    o = dv.table(spark, sf, "orders")
+    return o.select(F.lit(f"{dv.BASE}region/0").alias("s"), F.lit(OWL_SAME_AS).alias("p"),
+                    dv.uri("order", "o_orderkey").alias("o"))
+
+
+def _k1_literals_back(spark, sf):
+    path = scratch_path(spark, "k1-literals")
+    g = dv.graph(spark, sf)
+    enc = J.encode_literal(Fl.literal_triples(g), _ent_g(spark, sf), _rel_g(spark, sf))
+    K.write_tuples(enc.withColumn("o", literal_text("o", "o_lang", "o_datatype")), path, ["s", "p", "o"])
+    return T.read_literal_mappings(spark, path)
 
 
 QUERIES: dict[str, Query] = {
@@ -331,6 +387,19 @@ QUERIES: dict[str, Query] = {
     "w1_encode_graph": _w1,
     "w2_encode_languages": _w2,
     "w3_encode_all_languages": _w3,
-    "w4_two_way_merged_train": _w4,
-    "w5_three_tasks_train": _w5,
+    "w4_two_way": _w4,
+    "w4_two_way_ordered": lambda sp, sf: _w4(sp, sf, mode="ordered"),
+    "w5_three_tasks": _w5,
+    "s1_long_literals": lambda sp, sf: _s1_text(sp, sf, escape_literal),
+    "s1_escapes": lambda sp, sf: _s1_text(sp, sf, _escaped),
+    "s1_escaped_iris": _s1_escaped_iris,
+    "d5_dense_ids_null_scope": lambda sp, sf: D.entity_dictionary(_some_null(sp, sf), scope="language"),
+    "j6_encode_null_scope": lambda sp, sf: J.encode_uri(
+        _some_null(sp, sf), D.entity_dictionary(_some_null(sp, sf), scope="language"),
+        D.relation_dictionary(_some_null(sp, sf), scope="language"), scope="language"),
+    "x4_split_null_language": lambda sp, sf: X.split(_some_null(sp, sf), "language", X.TRAIN_VALID_TEST, seed=dv.SEED),
+    "a4_merge_ordered_in_blocks": lambda sp, sf: A.merge_ids(_ent_g(sp, sf), dv.chain_links(sp, sf), mode="ordered",
+                                                             order_by=["seq"], block=8),
+    "a5_merge_hub": lambda sp, sf: A.merge_ids(_ent_g(sp, sf), _hub_links(sp, sf), mode="component"),
+    "k1_read_literals_back": _k1_literals_back,
 }

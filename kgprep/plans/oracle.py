@@ -29,8 +29,9 @@ def _dense(keys_sql: str, key: str, scope: str | None = None) -> str:
 
 _BLANK = "('_:l' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR))"
 
-def _enc_early(src: str, ent: str, rel: str) -> str:
-    return (f"SELECT es.id AS s, r.id AS p, eo.id AS o FROM {src} x "
+def _enc(src: str, ent: str, rel: str, cols: str = "") -> str:
+    """Inner-join encoding of (s, p, o) URIs in ``src``."""
+    return (f"SELECT {cols}es.id AS s, r.id AS p, eo.id AS o FROM {src} x "
             f"JOIN {ent} es ON es.entity = x.s JOIN {ent} eo ON eo.entity = x.o JOIN {rel} r ON r.relation = x.p")
 
 
@@ -81,13 +82,20 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
                     f"FROM (SELECT DISTINCT source, lang FROM documents) d "
                     f"JOIN ent_q e2 ON e2.entity = '{BASE}source/' || d.lang || '/' || d.source) m USING (entity)",
                     ("ent_q",)),
-    "t1": (_enc_early("(SELECT s, p, o FROM split3 WHERE part = 'train')", "ent_q", "rel_qs") + " UNION ALL "
-           + _enc_early("star", "ent_q", "rel_qs"), ("split3", "star", "ent_q", "rel_qs")),
     "split2": ("SELECT s, p, o, language, CASE WHEN rank < floor(0.8::DOUBLE * n) THEN 'train' ELSE 'test' END AS part "
                "FROM ranked", ("ranked",)),
-    "rel_q_tsv": ("SELECT relation, id FROM rel_q", ("rel_q",)),
-    "t4": (_enc_early("(SELECT s, p, o FROM split2 WHERE part = 'train')", "merged_star", "rel_q"),
-           ("split2", "merged_star", "rel_q")),
+    "merged_star_ordered": (f"SELECT e.entity, coalesce(m.id, e.id) AS id FROM ent_q e LEFT JOIN ("
+                            f"SELECT e2.entity, min(e2.id) OVER (PARTITION BY d.source ORDER BY d.lang "
+                            f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS id "
+                            f"FROM (SELECT DISTINCT source, lang FROM documents) d "
+                            f"JOIN ent_q e2 ON e2.entity = '{BASE}source/' || d.lang || '/' || d.source) m USING (entity)",
+                            ("ent_q",)),
+    "ent_es": ("SELECT entity, id FROM ent_ql WHERE language = 'es'", ("ent_ql",)),
+    "rel_es": ("SELECT relation, id FROM rel_ql WHERE language = 'es'", ("rel_ql",)),
+    "quads_null": ("SELECT s, p, o, nullif(language, 'es') AS language FROM quads", ("quads",)),
+    "ent_qn": (_dense("SELECT language, s AS entity FROM quads_null UNION ALL SELECT language, o AS entity "
+                      "FROM quads_null", "entity", "language"), ("quads_null",)),
+    "rel_qn": (_dense("SELECT language, p AS relation FROM quads_null", "relation", "language"), ("quads_null",)),
     "chain_ids": (f"SELECT o.o_orderkey, o.o_custkey, e.entity, e.id FROM orders o "
                   f"JOIN ent_g e ON e.entity = {_u('order', 'o.o_orderkey')}", ("ent_g",)),
 }
@@ -110,12 +118,6 @@ def with_ctes(body: str, *needed: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
 
 
-def _enc(src: str, ent: str, rel: str, cols: str = "") -> str:
-    """Inner-join encoding of (s, p, o) URIs in ``src``."""
-    return (f"SELECT {cols}es.id AS s, r.id AS p, eo.id AS o FROM {src} x "
-            f"JOIN {ent} es ON es.entity = x.s JOIN {ent} eo ON eo.entity = x.o JOIN {rel} r ON r.relation = x.p")
-
-
 def _tuple(cols: list[str]) -> str:
     return "'(' || concat_ws(',', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ") || ')'"
 
@@ -238,17 +240,121 @@ ORACLES: dict[str, str] = {
         "FROM quads x JOIN ent_ql es ON es.language = x.language AND es.entity = x.s "
         "JOIN ent_ql eo ON eo.language = x.language AND eo.entity = x.o "
         "JOIN rel_ql r ON r.language = x.language AND r.relation = x.p", "quads", "ent_ql", "rel_ql"),
-    "w1_encode_graph": with_ctes(f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM enc_g", "enc_g"),
+}
+
+
+def _counted(rows: str) -> str:
+    return f"SELECT value FROM ({rows}) UNION ALL SELECT CAST(count(*) AS VARCHAR) AS value FROM ({rows})"
+
+
+def _job(outputs: dict[str, str], *ctes: str) -> str:
+    """All outputs of a job: output, value."""
+    return with_ctes(" UNION ALL ".join(f"SELECT '{name}' AS output, value FROM ({sql})" for name, sql in outputs.items()),
+                     *ctes)
+
+
+def _tsv_of(rows: str, *cols: str) -> str:
+    return f"SELECT {_tsv(list(cols) or ['s', 'p', 'o'])} AS value FROM ({rows})"
+
+
+def _part(table: str, part: str, language: str | None = None) -> str:
+    return f"(SELECT s, p, o FROM {table} WHERE part = '{part}'" + (f" AND language = '{language}')" if language else ")")
+
+
+def _two_way(merged: str) -> str:
+    ent, rel = ("SELECT entity, id FROM ent_q", "entity", "id"), ("SELECT relation, id FROM rel_q", "relation", "id")
+    train, test = _part("split2", "train"), _part("split2", "test")
+    return _job({
+        "entity2id": _counted(_tsv_of(*ent)), "relation2id": _counted(_tsv_of(*rel)),
+        "URI_joint_train": _tsv_of(f"SELECT * FROM {train}"), "URI_joint_test": _tsv_of(f"SELECT * FROM {test}"),
+        "triple2id_ex1": _counted(_tsv_of(_enc(train, "ent_q", "rel_q"))),
+        "test2id_ex1": _tsv_of(_enc(test, "ent_q", "rel_q")),
+        "modified_entity2id": _counted(_tsv_of(f"SELECT entity, id FROM {merged}", "entity", "id")),
+        "triple2id_ex2": _counted(_tsv_of(_enc(train, merged, "rel_q"))),
+        "test2id_ex2": _tsv_of(_enc(test, merged, "rel_q")),
+    }, "split2", merged, "rel_q")
+
+
+def _three_tasks() -> str:
+    names = ("train", "valid", "test")
+    joint = {p: _part("split3", p) for p in names}
+    own = {p: _part("split3", p, "es") for p in names}
+    links = _enc("star", "ent_q", "rel_qs")
+    outputs = {
+        "entity2id": _counted(_tsv_of("SELECT entity, id FROM ent_q", "entity", "id")),
+        "relation2id": _counted(_tsv_of("SELECT relation, id FROM rel_qs", "relation", "id")),
+        "sameAs_URI": _tsv_of("SELECT * FROM star"),
+        "modified_entity2id": _counted(_tsv_of("SELECT entity, id FROM merged_star", "entity", "id")),
+        "triple2id_ex1": _counted(_tsv_of(_enc(joint["train"], "ent_q", "rel_qs") + " UNION ALL " + links)),
+        "triple2id_ex2": _counted(_tsv_of(_enc(joint["train"], "merged_star", "rel_qs"))),
+        "es_test_original_mappings": _tsv_of(_enc(own["test"], "ent_q", "rel_qs")),
+        "es_test_new_mappings": _tsv_of(_enc(own["test"], "merged_star", "rel_qs")),
+        "es_entity2id": _counted(_tsv_of("SELECT entity, id FROM ent_es", "entity", "id")),
+        "es_relation2id": _counted(_tsv_of("SELECT relation, id FROM rel_es", "relation", "id")),
+        "es_train": _counted(_tsv_of(_enc(own["train"], "ent_es", "rel_es"))),
+    }
+    for p in names:
+        outputs[f"URI_joint_{p}"] = _tsv_of(f"SELECT * FROM {joint[p]}")
+        outputs[f"es_{p}_URI"] = _tsv_of(f"SELECT * FROM {own[p]}")
+    for p in ("valid", "test"):
+        outputs[f"{p}2id_ex1"] = _tsv_of(_enc(joint[p], "ent_q", "rel_qs"))
+        outputs[f"{p}2id_ex2"] = _tsv_of(_enc(joint[p], "merged_star", "rel_qs"))
+        outputs[f"es_{p}"] = _tsv_of(_enc(own[p], "ent_es", "rel_es"))
+    return _job(outputs, "split3", "star", "merged_star", "rel_qs", "ent_es", "rel_es")
+
+
+_LITERAL = ("'\"' || g.o || '\"' || CASE WHEN g.o_lang IS NOT NULL THEN '@' || g.o_lang "
+            "WHEN g.o_datatype IS NOT NULL THEN '^^' || g.o_datatype ELSE '' END")
+_ENC_LIT = ("SELECT es.id AS s, r.id AS p, {o} FROM graph g JOIN ent_g es ON es.entity = g.s "
+            "JOIN rel_g r ON r.relation = g.p WHERE g.s_kind = 'uri' AND g.o_kind = 'literal'")
+_BY_LANGUAGE = (f"SELECT {_tuple(['es.id', 'r.id', 'eo.id'])} AS value, x.language, "
+                "regexp_replace(x.o, '.*/', '') AS dataset "
+                "FROM quads x JOIN ent_ql es ON es.language = x.language AND es.entity = x.s "
+                "JOIN ent_ql eo ON eo.language = x.language AND eo.entity = x.o "
+                "JOIN rel_ql r ON r.language = x.language AND r.relation = x.p")
+
+ORACLES |= {
+    "w1_encode_graph": _job({
+        "entity_ids": f"SELECT {_tuple(['entity', 'id'])} AS value FROM ent_g",
+        "relation_ids": f"SELECT {_tuple(['relation', 'id'])} AS value FROM rel_g",
+        "uri_mappings": f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM enc_g",
+        "literal_mappings": f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM ({_ENC_LIT.format(o=_LITERAL + ' AS o')})",
+        "literals": READABLE + " WHERE s_kind = 'uri' AND o_kind = 'literal'",
+        "blank_nodes": READABLE.replace("FROM graph", "FROM (SELECT DISTINCT * FROM graph)")
+        + " WHERE s_kind = 'blank' OR o_kind = 'blank'",
+        "uri_triples": READABLE + " WHERE s_kind = 'uri' AND o_kind = 'uri'",
+    }, "graph", "ent_g", "rel_g", "enc_g"),
     "w2_encode_languages": with_ctes(
-        f"SELECT {_tuple(['es.id', 'r.id', 'eo.id'])} AS value, x.language, regexp_replace(x.o, '.*/', '') AS dataset "
-        "FROM quads x JOIN ent_ql es ON es.language = x.language AND es.entity = x.s "
-        "JOIN ent_ql eo ON eo.language = x.language AND eo.entity = x.o "
-        "JOIN rel_ql r ON r.language = x.language AND r.relation = x.p", "quads", "ent_ql", "rel_ql"),
-    "w3_encode_all_languages": with_ctes(f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM ("
-                                         + _enc("quads", "ent_q", "rel_q") + ")", "quads", "ent_q", "rel_q"),
-    "w4_two_way_merged_train": with_ctes(
-        f"SELECT {_tsv(['s', 'p', 'o'])} AS value FROM t4 UNION ALL SELECT CAST(count(*) AS VARCHAR) FROM t4", "t4"),
-    "w5_three_tasks_train": with_ctes(
-        f"SELECT {_tsv(['s', 'p', 'o'])} AS value FROM t1 UNION ALL SELECT CAST(count(*) AS VARCHAR) FROM t1",
-        "t1"),
+        f"SELECT 'entity_ids' AS output, language, CAST(NULL AS VARCHAR) AS dataset, {_tuple(['entity', 'id'])} AS value "
+        f"FROM ent_ql UNION ALL SELECT 'relation_ids', language, NULL, {_tuple(['relation', 'id'])} FROM rel_ql "
+        f"UNION ALL SELECT 'uri_mappings', language, dataset, value FROM ({_BY_LANGUAGE})", "quads", "ent_ql", "rel_ql"),
+    "w3_encode_all_languages": _job({
+        "entity_ids": f"SELECT {_tuple(['entity', 'id'])} AS value FROM ent_q",
+        "relation_ids": f"SELECT {_tuple(['relation', 'id'])} AS value FROM rel_q",
+        "uri_mappings": f"SELECT {_tuple(['s', 'p', 'o'])} AS value FROM ({_enc('quads', 'ent_q', 'rel_q')})",
+    }, "quads", "ent_q", "rel_q"),
+    "w4_two_way": _two_way("merged_star"),
+    "w4_two_way_ordered": _two_way("merged_star_ordered"),
+    "w5_three_tasks": _three_tasks(),
+    "s1_long_literals": f"SELECT '{BASE}doc/' || CAST(doc_id AS VARCHAR) AS s, text AS o, lang AS o_lang FROM documents",
+    "s1_escapes": f"SELECT '{BASE}doc/' || CAST(doc_id AS VARCHAR) AS s, text AS o, lang AS o_lang FROM documents",
+    "s1_escaped_iris": f"SELECT '{BASE}o' AS entity UNION SELECT DISTINCT '{BASE}é-' || lang || '-' || source FROM documents",
+    "d5_dense_ids_null_scope": with_ctes("SELECT language, entity, id FROM ent_qn", "ent_qn"),
+    "j6_encode_null_scope": with_ctes(
+        "SELECT x.language, es.id AS s, r.id AS p, eo.id AS o FROM quads_null x "
+        "JOIN ent_qn es ON es.language IS NOT DISTINCT FROM x.language AND es.entity = x.s "
+        "JOIN ent_qn eo ON eo.language IS NOT DISTINCT FROM x.language AND eo.entity = x.o "
+        "JOIN rel_qn r ON r.language IS NOT DISTINCT FROM x.language AND r.relation = x.p",
+        "quads_null", "ent_qn", "rel_qn"),
+    "x4_split_null_language": with_ctes(
+        "SELECT s, p, o, language, CASE WHEN rank < floor(0.7::DOUBLE * n) THEN 'train' "
+        "WHEN rank < floor(0.85::DOUBLE * n) THEN 'valid' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY language ORDER BY md5(concat_ws(chr(9), '{SEED}', s, p, o)), s, p, o) - 1 AS rank, "
+        "count(*) OVER (PARTITION BY language) AS n FROM quads_null)", "quads_null"),
+    "a4_merge_ordered_in_blocks": ORACLES["a4_merge_ordered"],
+    "a5_merge_hub": with_ctes(
+        f"SELECT entity, CASE WHEN entity = '{BASE}region/0' OR starts_with(entity, '{BASE}order/') THEN "
+        f"(SELECT min(id) FROM ent_g WHERE entity = '{BASE}region/0' OR starts_with(entity, '{BASE}order/')) "
+        "ELSE id END AS id FROM ent_g", "ent_g"),
+    "k1_read_literals_back": with_ctes(_ENC_LIT.format(o="g.o, g.o_lang, g.o_datatype"), "graph", "ent_g", "rel_g"),
 }
