@@ -26,7 +26,13 @@ HEADLINE = [
     "x4_split_70_15_15",       # X4: exact seeded split per language
     "a5_merge_components",     # A5: connected components over links
     "a4_merge_ordered",        # A4: ordered fold over links
-    "w1_encode_graph",         # W1: the whole one-graph job, four outputs
+    "w1_encode_graph",         # W1: the whole one-graph job, all outputs
+    "s2_read_bz2_ntriples",    # S2: write and scan bz2 text
+    "j8_encode_strict",        # J8: lookup encode of a split
+    "k5_language_outputs",     # K5: partitioned layout
+    "w2_encode_languages",     # W2: per-language dictionaries and encodes
+    "w4_two_way",              # W4
+    "w5_three_tasks",          # W5
 ]
 
 

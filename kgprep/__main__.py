@@ -13,6 +13,7 @@ import json
 from pyspark.sql import SparkSession
 
 from kgprep.plans import jobs
+from kgprep.schema import OWL_SAME_AS
 
 
 def main(argv: list[str] | None = None) -> dict:
@@ -23,13 +24,16 @@ def main(argv: list[str] | None = None) -> dict:
     a.add_argument("--out", required=True)
     a.add_argument("--mode", default="FAILFAST", choices=["FAILFAST", "DROPMALFORMED", "PERMISSIVE"])
     a.add_argument("--readable", action="store_true")
+    a.add_argument("--skew-share", type=float)
     for name, hlp in (("encode-languages", "W2: per-language dictionaries and encodings"),
                       ("encode-all-languages", "W3: dictionaries over all languages")):
         b = sub.add_parser(name, help=hlp)
         b.add_argument("root")
         b.add_argument("--out", required=True)
-        b.add_argument("--languages", nargs="*")
-        b.add_argument("--datasets", nargs="*")
+        b.add_argument("--languages", nargs="+", help="all by default")
+        b.add_argument("--datasets", nargs="+", help="all by default")
+        b.add_argument("--mode", default="FAILFAST", choices=["FAILFAST", "DROPMALFORMED", "PERMISSIVE"])
+        b.add_argument("--skew-share", type=float)
     for name, hlp in (("prepare-two-way", "W4: 80/20 split, original and merged ids"),
                       ("prepare-three-tasks", "W5: 70/15/15 split and three tasks")):
         c = sub.add_parser(name, help=hlp)
@@ -37,21 +41,29 @@ def main(argv: list[str] | None = None) -> dict:
         c.add_argument("--out", required=True)
         c.add_argument("--seed", default="0")
         c.add_argument("--merge", default="component", choices=["component", "ordered"])
+        c.add_argument("--link-order", nargs="+", default=["s", "o"], help="columns that order an ordered merge")
+        c.add_argument("--skew-share", type=float)
         if name == "prepare-three-tasks":
             c.add_argument("--language", default="es")
+            c.add_argument("--predicate", default=OWL_SAME_AS)
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"kgprep {args.job}").getOrCreate()
     if args.job == "encode-graph":
-        res = jobs.encode_graph(spark, args.input, args.out, mode=args.mode, readable=args.readable)
+        res = jobs.encode_graph(spark, args.input, args.out, mode=args.mode, readable=args.readable,
+                                skew_share=args.skew_share)
     elif args.job == "encode-languages":
-        res = jobs.encode_languages(spark, args.root, args.out, args.languages, args.datasets)
+        res = jobs.encode_languages(spark, args.root, args.out, args.languages, args.datasets, mode=args.mode,
+                                    skew_share=args.skew_share)
     elif args.job == "encode-all-languages":
-        res = jobs.encode_all_languages(spark, args.root, args.out, args.languages, args.datasets)
+        res = jobs.encode_all_languages(spark, args.root, args.out, args.languages, args.datasets, mode=args.mode,
+                                        skew_share=args.skew_share)
     elif args.job == "prepare-two-way":
-        res = jobs.prepare_two_way(spark, args.src, args.out, seed=args.seed, merge_mode=args.merge)
+        res = jobs.prepare_two_way(spark, args.src, args.out, seed=args.seed, merge_mode=args.merge,
+                                   link_order=args.link_order, skew_share=args.skew_share)
     else:
         res = jobs.prepare_three_tasks(spark, args.src, args.out, language=args.language, seed=args.seed,
-                                       merge_mode=args.merge)
+                                       merge_mode=args.merge, link_order=args.link_order, same_as=args.predicate,
+                                       skew_share=args.skew_share)
     print(json.dumps(res))
     return res
 
