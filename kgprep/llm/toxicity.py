@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-1. Lexicon entries (words, and word beginnings of 4 and 5 bytes, which catch
+1. Lexicon entries (words, and word beginnings of 4 to 8 bytes, which catch
    inflected families) are counted over all labelled training documents, and
    the entries whose log odds are surely high are kept.
 2. Voters: the entries are dealt to lexicon voters by rank, and pattern
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from kgprep.llm.common import broadcast_if_small, written
 
 FOLDS, HELD_OUT_FOLD = 3, 1
-MAX_ENTRIES = 400
+MAX_ENTRIES = 600
+BEGINNINGS = (4, 5, 6, 7, 8)
 LEXICON_VOTERS = 8
 SAMPLE_ROWS = 30_000  # bound of the sample that the classifier is fitted on
+POSTERIOR_WEIGHT = 0.3  # of a row whose label is the model's, against one with a label of its own
 THRESHOLD = 0.7
 LABEL_BYTES = 64 << 20
 # Fixed seed words of one voter: general English insults.
@@ -44,13 +46,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def entry_reader():
-    """``entries(text)`` -> (words, 4-byte beginnings, 5-byte beginnings), each a set of bytes."""
+    """``entries(text)`` -> the set of words, and for each of BEGINNINGS the set of longer words' first bytes."""
     keep = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
     fold = bytes(b + 32 if 65 <= b <= 90 else b if b in keep else 32 for b in range(256))
 
     def entries(text):
         words = set(text.translate(fold).split())
-        return words, {w[:4] for w in words if len(w) > 4}, {w[:5] for w in words if len(w) > 5}
+        out, longer = [words], words
+        for n in BEGINNINGS:
+            longer = [w for w in longer if len(w) > n]
+            out.append({w[:n] for w in longer})
+        return out
 
     return entries
 
@@ -106,7 +112,7 @@ def cast_votes(docs: DataFrame, lexicon: list[tuple[int, bytes]], keep: list[str
         import re
 
         read = entry_reader()
-        number = [{w: i for i, (k, w) in enumerate(lexicon) if k == kind} for kind in range(3)]
+        number = [{w: i for i, (k, w) in enumerate(lexicon) if k == kind} for kind in range(1 + len(BEGINNINGS))]
         lookup = [set(n) for n in number]
         seeds = {w.encode() for w in SEED_INSULTS}
         # only the first pattern ignores case: the second looks for capitals
@@ -116,7 +122,7 @@ def cast_votes(docs: DataFrame, lexicon: list[tuple[int, bytes]], keep: list[str
             for text in pdf["text"]:
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 found = read(raw)
-                hit = sorted(number[k][w] for k in range(3) for w in found[k] & lookup[k])
+                hit = sorted(number[k][w] for k in range(1 + len(BEGINNINGS)) for w in found[k] & lookup[k])
                 vote = 0
                 for i in hit:
                     vote |= 1 << (i % voters)
@@ -188,22 +194,22 @@ def label_model(patterns, rounds: int = 40):
     return dict(zip(masks.tolist(), free.tolist()))
 
 
-def fit_linear(rows, n_features: int, ridge: float = 0.02, rounds: int = 25):
-    """Logistic regression by Newton's method on rows of (hits, target)."""
+def fit_linear(rows, n_features: int, ridge: float = 0.5, rounds: int = 25):
+    """Logistic regression by Newton's method on rows of (hits, target, weight)."""
     import numpy as np
 
     x = np.zeros((len(rows), n_features + 1), np.float32)
     x[:, -1] = 1
-    for i, (hits, _) in enumerate(rows):
+    for i, (hits, _, _) in enumerate(rows):
         x[i, list(hits)] = 1
-    t = np.array([target for _, target in rows], np.float32)
+    t, weight = (np.array([r[k] for r in rows], np.float32) for k in (1, 2))
     w = np.zeros(n_features + 1)
-    penalty = np.full(n_features + 1, ridge * max(1.0, np.sqrt(len(rows)) / 10))
+    penalty = np.full(n_features + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - t) + penalty * w
-        curvature = np.maximum(p * (1 - p), 1e-6).astype(np.float32)
+        gradient = x.T @ (weight * (p - t)) + penalty * w
+        curvature = (weight * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
         step = np.linalg.solve((x * curvature[:, None]).T @ x + np.diag(penalty), gradient)
         step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
         w -= step
@@ -228,7 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_entries: int = MAX_ENTRIES, samp
     total = sum(r["count"] for r in patterns)
     share = F.pmod(F.xxhash64("doc_id", "hits"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / total))
     sample = with_label.where(share).select("votes", "hits", "toxic").limit(2 * sample_rows).collect()
-    rows = [(r["hits"], posterior[r["votes"]] if r["toxic"] is None else float(r["toxic"])) for r in sample]
+    rows = [(r["hits"], posterior[r["votes"]], POSTERIOR_WEIGHT) if r["toxic"] is None else
+            (r["hits"], float(r["toxic"]), 1.0) for r in sample]
     return lexicon, [float(w) for w in fit_linear(rows, len(lexicon) + len(PATTERNS))], voted
 
 
