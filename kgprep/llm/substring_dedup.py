@@ -203,13 +203,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHA
         F.max("h2").alias("b2")).where("n > 1")
     mixed = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     per_anchor = written(per_anchor.select("g", mixed.alias("mixed")), "anchors")
-    runs = runs.join(broadcast_if_small(per_anchor, BROADCAST_BYTES), "g")
+    runs = runs.join(per_anchor, "g")  # a stored table: AQE can split the rows of a hot anchor
     # one run for each content; text keys break the tie, whatever the order of rows
     contents = runs.groupBy("g", "mixed", "h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "t1", "first", "last")).alias("r")).select("g", "mixed", "h1", "h2", "n", "r.*")
     contents = written(contents, "contents")
     copies = contents.where("n > 1").select("g", "h1", "h2")
-    whole = runs.join(broadcast_if_small(copies, BROADCAST_BYTES), ["g", "h1", "h2"], "left_semi").select(
+    whole = runs.join(copies, ["g", "h1", "h2"], "left_semi").select(
         "doc", "t1", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
 
     segments = written(_segments(docs, contents.where("mixed"), length), "segments")
