@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kgprep.session import scratch_path
 
@@ -39,6 +40,29 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
 
 
+def map_texts(docs: DataFrame, carried: Sequence[str], make, added: str) -> DataFrame:
+    """``carried`` columns of every row and the ``added`` ones (a schema string).
+
+    ``make()(texts)`` gives, for the list of a batch's texts, a list of values
+    for each added column.  Carried columns stay Arrow arrays: pandas would
+    turn integers beside a null into floats, which are inexact beyond 2^53.
+    """
+    new = StructType.fromDDL(added)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        values = make()
+        types = [to_arrow_type(f.dataType) for f in new]
+        for batch in batches:
+            more = [pa.array(v, t) for v, t in zip(values(batch.column(len(carried)).to_pylist()), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(carried)], *more], names=[*carried, *new.names])
+
+    schema = StructType([docs.schema[c] for c in carried] + new.fields)
+    return docs.select(*carried, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
     """A broadcast hint for ``df`` if its measured size allows it.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgprep.llm.common import written
+from kgprep.llm.common import map_texts, written
 
 BITS, DIGITS = 128, 32
 RADIUS, BLOCKS = 3, 4
@@ -85,13 +85,11 @@ def term_fingerprints(n: int = 3, chunk: int = 1 << 15, cache_words: int = 1 <<
 
 def fingerprint_documents(docs: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, fp) of every document row; a null text is empty."""
-    def run(batches):
+    def make():
         fingerprint = term_fingerprints(n)
-        for pdf in batches:
-            yield pdf[["doc_id"]].assign(fp=[fingerprint(t) for t in pdf["text"]])
+        return lambda texts: [[fingerprint(t) for t in texts]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp string")
+    return map_texts(docs, ["doc_id"], make, "fp string")
 
 
 def distance(a: str, b: str) -> Column:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kgprep.llm.common import written
 
@@ -74,23 +75,29 @@ def document_pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int =
         import zlib
 
         import numpy as np
+        import pyarrow as pa
 
         encode = encoder(vocabulary, ranks)
         end = np.array([separator], "<u4")
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.concatenate([encode(text or "").astype("<u4"), end])
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     raw = ids[a:b].tobytes()
-                    out.append((doc, i, a, b - a, zlib.crc32(raw), raw)[:6 if keep_ids else 5])
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:6 if keep_ids else 5])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+                    out.append((row, i, a, b - a, zlib.crc32(raw), raw))
+            rows, *made = zip(*out) if out else [()] * 6
+            # ids are taken from the batch as they are: pandas would round them beside a null
+            docs_of = batch.column(0).take(pa.array(rows, pa.int64()))
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [docs_of, *[pa.array(v, t) for v, t in zip(made, types)]][:len(schema)], names=schema.names)
+
+    added = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL(added)])
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def bin_bound(counts, capacity: int = CAPACITY) -> int:

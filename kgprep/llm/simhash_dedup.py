@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgprep.llm.common import written
+from kgprep.llm.common import map_texts, written
 from kgprep.llm.components import component_minimum
 from kgprep.llm.simhash import shingle_fingerprints
 
@@ -36,15 +36,16 @@ SIGNATURE_COST = 4.0  # a signature row costs about as much as this many candida
 
 def with_fingerprint(docs: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, t1, fp): a hash of the text, and the fingerprint as a signed 64-bit integer."""
-    def run(batches):
+    def make():
         fingerprint = shingle_fingerprints(n, seed)
-        for pdf in batches:
-            fps = [fingerprint(t) for t in pdf["text"]]
-            yield pdf[["doc_id", "t1"]].assign(fp=[v - (1 << 64) if v >> 63 else v for v in fps])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t1")).mapInPandas(
-        run, f"doc_id {kind}, t1 long, fp long")
+        def values(texts):
+            return [[v - (1 << 64) if v >> 63 else v for v in map(fingerprint, texts)]]
+
+        return values
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"))
+    return map_texts(rows, ["doc_id", "t1"], make, "fp long")
 
 
 def bit_statistics(fps: DataFrame):

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgprep.llm.common import broadcast_if_small, written
+from kgprep.llm.common import broadcast_if_small, map_texts, written
 
 FOLDS, HELD_OUT_FOLD = 3, 1
 MAX_ENTRIES = 600
@@ -108,7 +108,7 @@ def cast_votes(docs: DataFrame, lexicon: list[tuple[int, bytes]], keep: list[str
     """``keep`` columns with votes (a bit mask of voters) and hits (features: entries, then patterns)."""
     voters = LEXICON_VOTERS
 
-    def run(batches):
+    def make():
         import re
 
         read = entry_reader()
@@ -117,9 +117,10 @@ def cast_votes(docs: DataFrame, lexicon: list[tuple[int, bytes]], keep: list[str
         seeds = {w.encode() for w in SEED_INSULTS}
         # only the first pattern ignores case: the second looks for capitals
         patterns = [re.compile(p, re.I if i == 0 else 0) for i, p in enumerate(PATTERNS)]
-        for pdf in batches:
+
+        def values(texts):
             votes, hits = [], []
-            for text in pdf["text"]:
+            for text in texts:
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 found = read(raw)
                 hit = sorted(number[k][w] for k in range(1 + len(BEGINNINGS)) for w in found[k] & lookup[k])
@@ -134,10 +135,11 @@ def cast_votes(docs: DataFrame, lexicon: list[tuple[int, bytes]], keep: list[str
                         hit.append(len(lexicon) + j)
                 votes.append(vote)
                 hits.append(hit)
-            yield pdf[keep].assign(votes=votes, hits=hits)
+            return votes, hits
+
+        return values
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInPandas(run, f"{kinds}, votes int, hits array<int>")
+    return map_texts(docs, keep, make, "votes int, hits array<int>")
 
 
 def label_model(patterns, rounds: int = 40):

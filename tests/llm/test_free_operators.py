@@ -367,3 +367,20 @@ def test_bounds_and_exchange(spark):
         used[rounds] = placed.select("turn", "part", "bin").distinct().count()
         assert placed.count() == placed.select("rid").distinct().count() == 3000
     assert together <= used[6] < used[1] and used[6] <= 1.04 * together
+
+
+# -- large ids ---------------------------------------------------------------------------------
+
+def test_large_ids_beside_a_null_id_stay_exact(spark):
+    rng = random.Random(9)
+    ids = [(1 << 53) + 1, (1 << 60) + 1, (1 << 62) + 3, -(1 << 61) - 1, None]
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), i) for i in ids]
+    rows += [(i + 2, t, i) for i, t, _ in rows if i is not None]  # a copy with a larger id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other long").coalesce(1)
+    want = Counter(i for i, _, _ in rows)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (near_duplicate_digest(docs), toxicity_digest(docs, labels), pack_documents(docs), fingerprint_documents(docs)):
+        assert Counter(r["doc_id"] for r in out.collect()) == want
+    assert Counter((r["doc_id"], r["other"]) for r in score_documents(docs, labels).collect()) == Counter(
+        (i, o) for i, _, o in rows)
+    same_rows(first_of_each_group(docs).select("doc_id"), [(i,) for i in ids])
