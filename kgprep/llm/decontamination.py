@@ -11,7 +11,8 @@
    starts that all probes share (exact), or that lie within ``slack`` of one
    another (proximity), are candidates.
 5. Candidates go back to their document, where the remaining words are
-   compared.
+   compared.  The distinct sets of items of a document's phrases are then
+   looked up, and each item is listed once.
 
 Postings are stored by the task that reads the document: nothing is shuffled
 by term, so a term that a third of the documents hold is no hot partition.
@@ -37,8 +38,8 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
-def benchmark_phrases(items: DataFrame, n: int = 13) -> DataFrame:
-    """Distinct windows: phrase (words joined by a space), terms, n, item_ids.
+def benchmark_windows(items: DataFrame, n: int = 13) -> DataFrame:
+    """Distinct (item_id, phrase) of all windows; a phrase is its words joined by a space.
 
     An item without words has no window.  A null item_id counts as an item
     whose id is the empty string.
@@ -48,11 +49,19 @@ def benchmark_phrases(items: DataFrame, n: int = 13) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
     grams = words.select("item_id", "w", F.explode(starts).alias("_s"))
     grams = grams.select("item_id", F.slice("w", F.col("_s"), F.lit(n)).alias("terms"))
-    phrase = F.array_join("terms", " ")
-    return (grams.groupBy(phrase.alias("phrase"))
-            .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-            .select("phrase", F.split("phrase", " ").alias("terms"), "item_ids")
-            .withColumn("n", F.size("terms")))
+    return grams.select("item_id", F.array_join("terms", " ").alias("phrase")).distinct()
+
+
+def item_sets(windows: DataFrame) -> DataFrame:
+    """(phrase, n_ids, x1, x2): a key of the phrase's set of items, from sums that combine before the shuffle."""
+    return windows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_ids"), F.bit_xor(F.xxhash64("item_id")).alias("x1"),
+                                         F.bit_xor(F.xxhash64(F.lit("second"), "item_id")).alias("x2"))
+
+
+def benchmark_phrases(windows: DataFrame) -> DataFrame:
+    """Distinct windows: phrase, terms, n."""
+    return windows.select("phrase").distinct().select("phrase", F.split("phrase", " ").alias("terms")).withColumn(
+        "n", F.size("terms"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -110,16 +119,32 @@ def _probe_count(probes: DataFrame) -> int:
 def proximity_matches(docs: DataFrame, items: DataFrame, n: int = 13, probes: int = 3, slack: int = 5) -> DataFrame:
     """Places where a phrase's rarest terms occur in its order up to ``slack``
     inserted or missing words: doc_id, phrase, start."""
-    phrases, chosen = _probes(docs, items, n, probes)
+    chosen = _probes(docs, benchmark_windows(items, n), probes)
     terms = chosen.select("term").distinct()
     return intersect(positional_index(docs, terms), chosen, slack).select("doc_id", "phrase", "start")
 
 
-def _probes(docs: DataFrame, items: DataFrame, n: int, probes: int) -> tuple[DataFrame, DataFrame]:
-    phrases = written(benchmark_phrases(items, n), "phrases")
+def _probes(docs: DataFrame, windows: DataFrame, probes: int) -> DataFrame:
+    phrases = written(benchmark_phrases(windows), "phrases")
     vocabulary = written(phrases.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counts = term_counts(docs, vocabulary)
-    return phrases, written(rarest_terms(phrases, counts, probes), "probes")
+    return written(rarest_terms(phrases, counts, probes), "probes")
+
+
+def items_of(matches: DataFrame, windows: DataFrame) -> DataFrame:
+    """(_d, _t, item_ids) of the documents in distinct (_d, _t, phrase) rows, ids sorted.
+
+    The windows of a template that many items share have one set of items,
+    so a document asks once for the set.  Ids become an array only after
+    they are distinct per document.
+    """
+    key = ["n_ids", "x1", "x2"]
+    sets = written(item_sets(windows), "item-sets")
+    least = written(sets.groupBy(*key).agg(F.min("phrase").alias("phrase")), "set-phrases")
+    members = written(windows.join(broadcast_if_small(least, BROADCAST_BYTES), "phrase").select(*key, "item_id"), "set-members")
+    asked = matches.join(broadcast_if_small(sets, BROADCAST_BYTES), "phrase").select("_d", "_t", *key).distinct()
+    pairs = asked.join(broadcast_if_small(members, BROADCAST_BYTES), key).select("_d", "_t", "item_id").distinct()
+    return pairs.groupBy("_d", "_t").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, probes: int = 2, hit_share: float = 0.05) -> DataFrame:
@@ -131,25 +156,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, probes: int =
     result; names that clash with the added columns are replaced.
     """
     added = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
-    phrases, chosen = _probes(docs, items, n, probes)
+    windows = written(benchmark_windows(items, n), "windows")
+    chosen = _probes(docs, windows, probes)
     index = positional_index(docs, chosen.select("term").distinct())
-    found = intersect(index, chosen).join(
-        broadcast_if_small(phrases.select("phrase", "item_ids"), BROADCAST_BYTES), "phrase")
-    found = found.groupBy(F.col("doc_id").alias("_d"), F.col("t1").alias("_t")).agg(
-        F.collect_list(F.struct("start", "n", "phrase", "item_ids")).alias("_c"))
-    carried = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*carried).alias("_row"), F.col("doc_id").alias("_id"),
-                       F.xxhash64("text").alias("_key"))
-    rows = rows.join(found, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
-    rows = rows.select("_row", "_c", raw_words(F.col("_row.text")).alias("_w"))
+    found = intersect(index, chosen).groupBy(F.col("doc_id").alias("_d"), F.col("t1").alias("_t")).agg(
+        F.collect_list(F.struct("start", "n", "phrase")).alias("_c"))
+    texts = docs.select("text", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    texts = texts.join(found, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")))
+    texts = texts.select("_d", "_t", "_c", raw_words(F.col("text")).alias("_w"))
 
     def occurs(c: Column) -> Column:
         here = F.transform(F.slice("_w", c["start"] + 1, c["n"]), ascii_lower)
         return F.array_join(here, " ") == c["phrase"]
 
-    rows = rows.select("_row", F.size("_w").cast("bigint").alias("n_words"),
-                       F.array_sort(F.coalesce(F.filter("_c", occurs), F.array().cast(rows.schema["_c"].dataType)))
-                       .alias("_m"))
+    texts = texts.select("_d", "_t", F.array_sort(F.filter("_c", occurs)).alias("_m"))
     begin = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("end"))
 
     def cover(acc: Column, m: Column) -> Column:
@@ -158,8 +178,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 13, probes: int =
         fresh = F.greatest(F.lit(0).cast("bigint"), end - F.greatest(acc["end"], m["start"].cast("bigint")))
         return F.struct((acc["hit"] + fresh).alias("hit"), F.greatest(acc["end"], end).alias("end"))
 
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("_m", lambda m: m["item_ids"]))))
-    rows = rows.select("_row", "n_words", F.aggregate("_m", begin, cover)["hit"].alias("n_hit"), ids.alias("item_ids"))
+    texts = texts.select("_d", "_t", F.aggregate("_m", begin, cover)["hit"].alias("n_hit"),
+                         F.array_distinct(F.col("_m.phrase")).alias("_p"))
+    # rows repeated exactly have the same matches
+    matched = written(texts.where("n_hit > 0").dropDuplicates(["_d", "_t"]), "matched")
+    ids = items_of(matched.select("_d", "_t", F.explode("_p").alias("phrase")), windows)
+    ids = ids.select(F.col("_d").alias("_d2"), F.col("_t").alias("_t2"), "item_ids")
+    hits = matched.select("_d", "_t", "n_hit").join(
+        ids, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2"))).select("_d", "_t", "n_hit", "item_ids")
+    carried = [c for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*carried).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"),
+                       F.size(raw_words(F.col("text"))).cast("bigint").alias("n_words"))
+    rows = rows.join(hits, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
+    rows = rows.select("_row", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+                       F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     hit = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(hit_share))
     return rows.select(*[F.col("_row")[c].alias(c) for c in carried], "n_words", "n_hit",
                        F.size("item_ids").cast("bigint").alias("n_items"), "item_ids", hit.alias("contaminated"))

@@ -135,6 +135,29 @@ def test_decontamination(spark, docs, rows, empty):
         "n_words", "n_hit", "n_items", "item_ids", "contaminated"]
 
 
+def test_items_of_a_shared_template_are_gathered_once(spark, monkeypatch):
+    from kgprep.llm import decontamination
+
+    template = [f"t{i}" for i in range(40)]
+    items = [(f"i{k}", " ".join([*template, f"own{k}"])) for k in range(60)] + [("other", " ".join(template[:20]))]
+    rows = [(1, " ".join(template * 5)), (2, " ".join([*template, "own7"])), (3, "nothing"), (None, " ".join(template))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    plans, store = [], decontamination.written
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(decontamination, "written", recorded)
+    out = contamination_digest(docs, bench)
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    # no id array of a phrase, and none beside each occurrence
+    gathered = [line for plan in plans for line in plan.splitlines() if re.search(r"collect_(set|list)\(", line)]
+    assert gathered and not any("collect_set(item_id" in g or re.search(r"collect_list\([^)]*item_ids", g) for g in gathered)
+    same_rows(out, contamination_rows(rows, items))
+
+
 def test_proximity_allows_inserted_words(spark):
     docs = spark.createDataFrame([(1, "red green blue white black"), (2, "red so green and blue so white and black"),
                                   (3, "black white blue green red")], "doc_id long, text string")
