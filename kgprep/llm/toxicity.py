@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from kgprep.llm.common import broadcast_if_small, map_texts, written
 
 FOLDS, HELD_OUT_FOLD = 3, 1
-MAX_ENTRIES = 600
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEXICON_VOTERS = 8
 SAMPLE_ROWS = 30_000  # bound of the sample that the classifier is fitted on
@@ -67,10 +66,12 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
 
 
-def induced_lexicon(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> list[tuple[int, bytes]]:
-    """The (kind, entry) pairs with the surest association with the label, best first.
+def induced_lexicon(labelled: DataFrame) -> list[tuple[int, bytes]]:
+    """All (kind, entry) pairs that are surely associated with the label, best first.
 
     ``labelled`` has text and toxic.  Counts are documents; they cover every labelled row.
+    A beginning stays beside its word also where both are in the same
+    labelled documents: elsewhere it finds forms that no label shows.
     """
     def run(batches):
         read, counts = entry_reader(), {}
@@ -100,7 +101,7 @@ def induced_lexicon(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> list
         (F.col("c") + 0.5) / (n0 + 1 - F.col("c") + 0.5))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     rows = rows.where("t >= 3").withColumn("sure", odds - 2 * error).where(F.col("sure") > 0.7)
-    best = rows.orderBy(F.col("sure").desc(), "kind", "entry").limit(max_entries).collect()
+    best = rows.orderBy(F.col("sure").desc(), "kind", "entry").collect()
     return [(r["kind"], bytes(r["entry"])) for r in best]
 
 
@@ -197,22 +198,48 @@ def label_model(patterns, rounds: int = 40):
 
 
 def fit_linear(rows, n_features: int, ridge: float = 0.5, rounds: int = 25):
-    """Logistic regression by Newton's method on rows of (hits, target, weight)."""
+    """Logistic regression by Newton's method on rows of (hits, target, weight).
+
+    Only the hits are stored, and a step is solved by conjugate gradients, so
+    memory grows with the hits and not with rows times features.
+    """
     import numpy as np
 
-    x = np.zeros((len(rows), n_features + 1), np.float32)
-    x[:, -1] = 1
-    for i, (hits, _, _) in enumerate(rows):
-        x[i, list(hits)] = 1
-    t, weight = (np.array([r[k] for r in rows], np.float32) for k in (1, 2))
+    lengths = [len(r[0]) for r in rows]
+    at = np.repeat(np.arange(len(rows)), lengths)
+    cols = np.fromiter((c for r in rows for c in r[0]), np.int64, sum(lengths))
+    t, weight = (np.array([r[k] for r in rows], float) for k in (1, 2))
+
+    def forward(w):
+        return np.bincount(at, weights=w[cols], minlength=len(rows)) + w[-1]
+
+    def back(v):
+        out = np.bincount(cols, weights=v[at], minlength=n_features + 1)
+        out[-1] += v.sum()
+        return out
+
     w = np.zeros(n_features + 1)
     penalty = np.full(n_features + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - t)) + penalty * w
-        curvature = (weight * np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
-        step = np.linalg.solve((x * curvature[:, None]).T @ x + np.diag(penalty), gradient)
+        p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
+        gradient = back(weight * (p - t)) + penalty * w
+        curvature = weight * np.maximum(p * (1 - p), 1e-6)
+        scale = 1 / (back(curvature) + penalty)
+        step, rest = np.zeros_like(w), gradient.copy()
+        z = scale * rest
+        along, size = z, rest @ z
+        least = 1e-12 * size
+        for _ in range(500):
+            if size <= least:
+                break
+            bent = back(curvature * forward(along)) + penalty * along
+            move = size / (along @ bent)
+            step += move * along
+            rest -= move * bent
+            z = scale * rest
+            size, last = rest @ z, size
+            along = z + size / last * along
         step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -220,12 +247,12 @@ def fit_linear(rows, n_features: int, ridge: float = 0.5, rounds: int = 25):
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_entries: int = MAX_ENTRIES, sample_rows: int = SAMPLE_ROWS):
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """(lexicon, weights, votes): what scoring needs, and the stored votes (doc_id, votes, hits) of all rows."""
     known = written(training_labels(labels).withColumnRenamed("doc_id", "_id"), "labels")
     known = broadcast_if_small(known, LABEL_BYTES)
     narrow = docs.select("doc_id", "text")
-    lexicon = induced_lexicon(narrow.join(known, F.col("doc_id") == F.col("_id")), max_entries)
+    lexicon = induced_lexicon(narrow.join(known, F.col("doc_id") == F.col("_id")))
     voted = written(cast_votes(narrow, lexicon, ["doc_id"]), "votes")
     with_label = voted.join(known, F.col("doc_id") == F.col("_id"), "left")
     # at most 2 ** voters masks with three kinds of label
@@ -243,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_entries: int = MAX_ENTRIES, samp
 
 def with_score(voted: DataFrame, weights: list[float]) -> DataFrame:
     """``voted`` with held_out, score and predicted in the place of votes and hits."""
-    table = F.array(*[F.lit(w) for w in weights[:-1]])
+    # one literal, however long the lexicon is
+    table = F.split(F.lit(",".join(map(repr, weights[:-1]))), ",").cast("array<double>")
     logit = F.aggregate(F.transform("hits", lambda i: F.get(table, i)), F.lit(weights[-1]), lambda a, w: a + w)
     scored = voted.select("*", held_out(F.col("doc_id")).alias("held_out"),
                           (1 / (1 + F.exp(-logit))).alias("score")).drop("votes", "hits")

@@ -19,7 +19,7 @@ from kgprep.llm.scoring import model_code, packed_counts, score_texts
 from kgprep.llm.simhash_dedup import allocate, first_of_each_group, links, near_duplicate_digest
 from kgprep.llm.substring_dedup import remove_repeats, repeats_digest
 from kgprep.llm.suffix_arrays import permuted_common_prefixes, suffix_array
-from kgprep.llm.toxicity import label_model, score_documents, toxicity_digest
+from kgprep.llm.toxicity import fit_linear, induced_lexicon, label_model, score_documents, toxicity_digest
 from edge_data import same_rows
 
 
@@ -294,6 +294,25 @@ def test_toxicity_edge_cases(spark, docs, rows, empty):
     assert toxicity_digest(empty, labels).count() == 0
 
 
+def test_every_sure_entry_is_in_the_lexicon(spark):
+    rng = random.Random(12)
+    bad = [f"{i:03d}" for i in range(900)]
+    deal = [w for _ in range(6) for w in rng.sample(bad, 900)]
+    rows = [(" ".join(["ok", *deal[18 * i:18 * i + 18]]), 1) for i in range(300)] + [("ok fine", 0)] * 3000
+    found = induced_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {w.decode() for kind, w in found if kind == 0} == set(bad)
+
+
+def test_sparse_fit_meets_the_optimum():
+    rng = np.random.default_rng(3)
+    x = (rng.random((400, 30)) < 0.2).astype(float)
+    t = (x[:, 0] + x[:, 1] > 0).astype(float)
+    w = fit_linear([(np.nonzero(v)[0].tolist(), y, 0.5) for v, y in zip(x, t)], 30)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    gradient = np.append(x.T @ (0.5 * (p - t)) + 0.5 * w[:-1], (0.5 * (p - t)).sum() + 1e-3 * w[-1])
+    assert np.abs(gradient).max() < 1e-4
+
+
 def test_label_model_discounts_correlated_voters():
     rng = random.Random(2)
     seen = Counter()
