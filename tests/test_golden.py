@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REFERENCE
+from helpers import REFERENCE
 from kgprep.operators import encode_literal, encode_uri, entity_dictionary, literal_triples, relation_dictionary, uri_triples
 from kgprep.plans.jobs import encode_graph
 from kgprep.sinks.text import readable_text

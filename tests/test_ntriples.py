@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import lines_df
+from helpers import lines_df
 from kgprep.operators import blank_triples, entity_dictionary, literal_triples, uri_triples
 from kgprep.sources import parse_ntriples, read_ntriples
 
