@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from kgprep.llm.common import table
 from kgprep.llm.decontamination import contamination_digest
 from kgprep.llm.fingerprints import fingerprint_digest
+from kgprep.llm.hard_negatives import mine_hard_negatives
+from kgprep.llm.jaccard_join import jaccard_components
 from kgprep.llm.line_dedup import line_dedup_digest
 from kgprep.llm.packing import pack_documents
 from kgprep.llm.scoring import score_texts
@@ -16,6 +18,7 @@ from kgprep.llm.secrets import secrets_digest
 from kgprep.llm.sharding import shard_documents
 from kgprep.llm.simhash_dedup import near_duplicate_digest
 from kgprep.llm.substring_dedup import repeats_digest
+from kgprep.llm.token_alignment import align_tokenizers
 from kgprep.llm.toxicity import toxicity_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +64,18 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(table(spark, sf, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_hard_negatives(table(spark, sf, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf, "documents").select("doc_id", "text"), digest=True)
+
+
+def op13_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -123,4 +141,29 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE lost))::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op11_hard_negatives": r"""
+        WITH r AS (
+            SELECT row_number() OVER () AS k, vec_id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.k, a.vec_id AS anchor_id, a.label = c.label AS same, c.k AS other, c.vec_id,
+                   CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM r a JOIN r c ON a.k <> c.k WHERE a.vec_id % 100 = 0
+        ), positive AS (
+            SELECT k, anchor_id, vec_id AS positive_id, score AS positive_score, other,
+                   row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS place
+            FROM scored WHERE same
+        ), ranked AS (
+            SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.k, p.place ORDER BY n.score DESC, n.vec_id) AS rank
+            FROM positive p JOIN scored n ON p.k = n.k
+            WHERE p.place <= 5 AND NOT n.same
+              AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM ranked WHERE rank <= 5""",
 }
