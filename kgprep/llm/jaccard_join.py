@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct word n-grams.  Two sets
 with Jaccard similarity t or more share one of the first
 n - ceil(t n) + 1 members (the prefix) of either in any one order of all members.
 
-1. Members held by many documents come last in the order, the others first
-   by hash, so prefixes hold rare members.  The many are counted over all documents.
+1. Members held by few documents come first in the order, by hash; the others follow by
+   frequency, so prefixes hold rare members.  They are counted over all documents.
 2. Documents with equal sets are a class.  Classes with identical prefixes and size are
    collapsed into one group, and only groups are listed under the members of their prefix.
 3. Classes that agree in the smallest members of a seeded order are first compared
@@ -36,8 +36,8 @@ from kgprep.llm.components import component_minimum
 
 NGRAM = 3
 PERCENT = 90
-COMMON = 64  # documents that hold a member which comes last in the order, at least
-COMMON_ROWS = 1 << 20  # such members, at most; beyond it, the least number of documents rises
+COMMON = 8  # documents that hold a member which does not come first in the order, at least
+COMMON_ROWS = 1 << 20  # such members, at most
 STARS = 4  # seeded orders
 STAR_MEMBERS = 4  # smallest members that must agree
 BROADCAST_BYTES = 32 << 20
@@ -86,46 +86,48 @@ def _arrow_rows(frame: DataFrame, make, added: str) -> DataFrame:
 
 
 def common_members(docs: DataFrame, ngram: int, common: int, common_rows: int):
-    """Sorted hashes, below a quarter of the range, that at least ``common`` documents hold: at most ``common_rows``.
+    """(hashes, ranks): sorted hashes, below a quarter of the range, that at least ``common`` documents hold.
 
-    Prefixes hold the smallest tenth of a set, or what follows members that come last, so
-    the frequencies of the other hashes hardly matter.  They would only change the order, never the result.
+    A rank is the number of binary digits of the number of documents.  There are at most ``common_rows``; beyond
+    it, ``common`` rises.  Prefixes hold the smallest tenth of a set, or what follows common members, so the
+    frequencies of the other hashes hardly matter.  They would change the order, never the result.
     """
     def count(batches):
         import pyarrow as pa
 
         members = shingle_set(ngram)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                found = [members(t) for t in batch.column(0).slice(at, 1024).to_pylist()]
-                low = [m[:np.searchsorted(m, np.uint64(1 << 62))] for m in found]
-                hashes, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint64),) * 2
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["m", "n"])
+            found = [members(t) for t in batch.column(0).to_pylist()]
+            low = [m[:np.searchsorted(m, np.uint64(1 << 62))] for m in found]
+            hashes, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["m", "n"])
 
     counts = docs.select("text").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
     counts = written(counts.where(F.col("n") >= common), "common")
     if counts.count() > common_rows:
         total = counts.agg(F.sum("n")).first()[0]
         counts = counts.where(F.col("n") >= -(-total // common_rows))
-    return np.sort(counts.select("m").toPandas()["m"].to_numpy(np.int64)).astype(np.uint64)
+    top = counts.toPandas().sort_values("m")
+    return top["m"].to_numpy(np.int64).astype(np.uint64), np.log2(top["n"].to_numpy(np.float64) + 0.5).astype(np.uint8)
 
 
 def _text_key():
     t1, t2 = text_key(F.col("text"))
-    return F.struct(t1.alias("t1"), t2.alias("t2"))
+    return F.struct(F.col("doc_id"), t1.alias("t1"), t2.alias("t2"))
 
 
 def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
-    """Stored (doc_id, text key, cls, n, grp, prefix, stars) of every row; cls is null for an empty set.
+    """Stored (doc_id, t, cls, n, grp, prefix, stars) of every row; cls is null for an empty set.
 
-    ``cls`` and ``grp`` are 128-bit hashes of the set, and of the prefix and the size.
+    ``cls`` and ``grp`` are 128-bit hashes of the set, and of the prefix and the size; ``t`` is the id
+    and a 128-bit hash of the text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
         import xxhash
 
-        members, common = shingle_set(ngram), shared.value
+        members, (common, ranks) = shingle_set(ngram), shared.value
         seeds = np.random.default_rng(11).integers(1, 1 << 62, 2 * STARS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
         def row(text):
@@ -133,13 +135,11 @@ def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
             n = len(m)
             if not n:
                 return None, 0, None, None, None
+            order = m
             if len(common):
-                last = common[np.minimum(np.searchsorted(common, m), len(common) - 1)] == m
-            else:
-                last = np.zeros(n, bool)
-            size = n - (-(-percent * n // 100)) + 1
-            order = np.concatenate([m[~last], m[last]])[:size]
-            prefix = (order >> np.uint64(1)) | (np.arange(size) >= n - int(last.sum())).astype(np.uint64) << np.uint64(63)
+                at = np.minimum(np.searchsorted(common, m), len(common) - 1)
+                order = m[np.argsort(np.where(common[at] == m, ranks[at] + 1, 0), kind="stable")]
+            prefix = order[:n - (-(-percent * n // 100)) + 1]
             stars = []
             with np.errstate(over="ignore"):
                 for r in range(STARS):
@@ -147,34 +147,45 @@ def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
                     mixed = (mixed ^ (mixed >> np.uint64(31))) * seeds[2 * r + 1]
                     least = np.sort(np.partition(mixed, STAR_MEMBERS - 1)[:STAR_MEMBERS]) if n > STAR_MEMBERS else np.sort(mixed)
                     stars.append(xxhash.xxh64_intdigest(least.tobytes(), r) - (1 << 63))
-            raw = prefix.tobytes()
-            return xxhash.xxh128_digest(m.tobytes()), n, xxhash.xxh128_digest(raw, n & 0xFFFFFFFF), prefix.view(np.int64), stars
+            name = xxhash.xxh128_digest(prefix.tobytes(), n & 0xFFFFFFFF)
+            return xxhash.xxh128_digest(m.tobytes()), n, name, prefix.view(np.int64), stars
 
         return row
 
     rows = _arrow_rows(docs.select("doc_id", _text_key().alias("t"), "text"), make,
-                       "cls binary, n long, grp binary, prefix array<long>, stars array<long>")
+                       "cls binary, n int, grp binary, prefix array<long>, stars array<long>")
     return written(rows, "signatures")
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, ngram: int) -> DataFrame:
-    """Stored (cls, members) of the ``wanted`` classes (column cls), read from one text of each."""
-    texts = written(classes.join(wanted, "cls", "left_semi").select("t.t1", "t.t2").distinct(), "wanted")
-    rows = docs.select(_text_key().alias("t"), "text").select("t.*", "text")
-    rows = rows.join(broadcast_if_small(texts, BROADCAST_BYTES), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
-
-    def make():
+    """Stored (cls, members) of the ``wanted`` classes (column cls), read from one row of each."""
+    texts = written(classes.join(wanted.distinct(), "cls", "left_semi").select(F.xxhash64("t").alias("h"), "t.*"), "wanted")
+    texts = broadcast_if_small(texts.withColumnRenamed("doc_id", "_id"), BROADCAST_BYTES)
+    rows = docs.select(_text_key().alias("t"), "text").select(F.xxhash64("t").alias("h"), "t.*", "text")
+    # ids can be null, so the hash of the whole key is what the rows are dealt by
+    rows = rows.join(texts.withColumnsRenamed({"t1": "_1", "t2": "_2", "h": "_h"}), (F.col("h") == F.col("_h")) & (
+        F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def read(batches):
+        import pyarrow as pa
         import xxhash
 
-        members = shingle_set(ngram)
-
-        def row(text):
-            m = members(text)
-            return xxhash.xxh128_digest(m.tobytes()), m.view(np.int64)
-
-        return row
+        members, seen = shingle_set(ngram), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                found = {}
+                for text in batch.column(0).slice(at, 1024).to_pylist():
+                    m = members(text)
+                    found[xxhash.xxh128_digest(m.tobytes())] = m.view(np.int64)
+                new = [c for c in found if c not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([found[c] for c in new], pa.list_(pa.int64()))],
+                                                 names=["cls", "members"])
 
-    return written(_arrow_rows(rows, make, "cls binary, members array<long>").select("cls", "members"), "sets")
+    sets = written(rows.select("text").mapInArrow(read, "cls binary, members array<long>"), "sets")
+    # rows with the same id and text that different tasks read
+    again = sets.groupBy("cls").count().where("count > 1")
+    return sets if again.isEmpty() else written(sets.dropDuplicates(["cls"]), "sets")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,21 +220,24 @@ def _least_shared(percent, x, y):
 def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """Distinct (x, y): groups that share a prefix member at places that allow a link, unless both are of one component.
 
-    ``groups`` has grp, n, prefix and comp, which is null if its classes are of several.
+    ``groups`` has g, n, prefix and comp, which is null if its classes are of several.
     """
-    listed = groups.select("grp", "n", "comp", F.posexplode("prefix").alias("place", "member"))
+    listed = groups.select("g", "n", "comp", F.posexplode("prefix").alias("place", "member"))
     # what stands at a later place cannot be the first shared member of any link
     listed = listed.where(F.col("place") <= F.col("n") - _least_shared(percent, F.col("n"), F.floor((F.col("n") * percent + 99) / 100)))
+    # most members are listed once: their rows go no further
+    shared = written(listed.groupBy("member").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("member"), "shared")
+    listed = written(listed.join(broadcast_if_small(shared, BROADCAST_BYTES), "member", "left_semi"), "postings")
     many = listed.groupBy("member").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                         F.count("comp").alias("whole"))
-    # a member of one group, or of one component, gives nothing
-    many = written(many.where((F.col("k") > 1) & ((F.col("whole") < F.col("k")) | (F.col("lo") != F.col("hi")))).select("member"), "listed")
+    # a member whose groups are all of one component gives nothing
+    many = written(many.where((F.col("whole") < F.col("k")) | (F.col("lo") != F.col("hi"))).select("member"), "listed")
     listed = written(listed.join(many, "member", "left_semi"), "postings")
     main = listed.where("comp IS NOT NULL").groupBy("member", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = written(main.groupBy("member").agg(F.max(F.struct("k", "comp")).alias("m")).select("member", F.col("m.comp").alias("main")), "main")
     others = written(listed.join(main, "member", "left").where(F.col("comp").isNull() | (F.col("comp") != F.col("main"))).drop("main"), "others")
-    x = others.withColumnsRenamed({"grp": "x", "n": "nx", "comp": "cx", "place": "px"})
-    y = listed.withColumnsRenamed({"grp": "y", "n": "ny", "comp": "cy", "place": "py"})
+    x = others.withColumnsRenamed({"g": "x", "n": "nx", "comp": "cx", "place": "px"})
+    y = listed.withColumnsRenamed({"g": "y", "n": "ny", "comp": "cy", "place": "py"})
     need = _least_shared(percent, F.col("nx"), F.col("ny"))
     fits = ((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("x") != F.col("y"))
             & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need)
@@ -245,27 +259,29 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     docs = docs.select("doc_id", "text")
     rows = signatures(docs, ngram, percent, common_members(docs, ngram, common, common_rows))
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("prefix").alias("prefix"),
-        F.first("stars").alias("stars"), F.min("t").alias("t"), F.count(F.lit(1)).alias("copies"))
+        F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("stars").alias("stars"), F.min("t").alias("t"),
+        F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
 
     pairs = star_pairs(classes)
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     found = linked(pairs, member_sets(docs, nodes, classes, ngram), percent)
-    known = _with_component(classes, found)
-
-    grouped = known.groupBy("grp").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("k"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    groups = written(grouped.select("grp", "n", "prefix", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("comp"), "k"), "groups")
-    # classes of one group have one size: with two of its n members different they are still linked from n = 2 t / (1 - t) on
+    known = _with_component(classes.select("cls", "n", "grp"), found)
+
+    # groups go by 64 bits of their name: two that agree in them would only bring more pairs to compare
+    short = F.xxhash64("grp")
+    comps = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    comps = comps.select("grp", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).alias("comp"))
+    prefixes = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = written(prefixes.join(comps, "grp").select(short.alias("g"), "n", "prefix", "comp"), "groups")
+    # classes of one group have one size n, so at least one member of each is not in the other
     inside = groups.where(F.col("comp").isNull() & (100 * (F.col("n") - 1) >= percent * (F.col("n") + 1)))
-    met = written(group_pairs(groups, percent).unionByName(inside.select(F.col("grp").alias("x"), F.col("grp").alias("y"))), "group-pairs")
+    met = written(group_pairs(groups, percent).unionByName(inside.select(F.col("g").alias("x"), F.col("g").alias("y"))), "group-pairs")
 
     # expand: classes of two groups, or of one, that are not yet of one component
-    members = known.select("grp", "cls", "comp")
-    first = members.withColumnsRenamed({"grp": "x", "cls": "a", "comp": "ca"})
-    second = members.withColumnsRenamed({"grp": "y", "cls": "b", "comp": "cb"})
+    members = known.select(short.alias("g"), "cls", "comp")
+    first = members.withColumnsRenamed({"g": "x", "cls": "a", "comp": "ca"})
+    second = members.withColumnsRenamed({"g": "y", "cls": "b", "comp": "cb"})
     opened = written(met.join(first, "x"), "opened")
     pairs = written(opened.join(second, (opened["y"] == second["y"]) & (F.col("ca") != F.col("cb")) & (
         (opened["x"] != opened["y"]) | (F.col("a") < F.col("b")))).select("a", "b"), "class-pairs")
