@@ -86,11 +86,12 @@ def _arrow_rows(frame: DataFrame, make, added: str) -> DataFrame:
 
 
 def common_members(docs: DataFrame, ngram: int, common: int, common_rows: int):
-    """(hashes, ranks): sorted hashes, below a quarter of the range, that at least ``common`` documents hold.
+    """(hashes, ranks): sorted hashes that at least ``common`` documents hold; a rank is the logarithm of their number.
 
-    A rank is the number of binary digits of the number of documents.  There are at most ``common_rows``; beyond
-    it, ``common`` rises.  Prefixes hold the smallest tenth of a set, or what follows common members, so the
-    frequencies of the other hashes hardly matter.  They would change the order, never the result.
+    There are at most ``common_rows``; beyond it, ``common`` rises.  A batch of documents passes on
+    the hashes that two or more of its documents hold.  So a number is a lower bound, short by at most one for each
+    batch, and a hash that more documents hold than there are batches is never missed.  The
+    numbers make the order, which spares work and never changes the result.
     """
     def count(batches):
         import pyarrow as pa
@@ -98,8 +99,8 @@ def common_members(docs: DataFrame, ngram: int, common: int, common_rows: int):
         members = shingle_set(ngram)
         for batch in batches:
             found = [members(t) for t in batch.column(0).to_pylist()]
-            low = [m[:np.searchsorted(m, np.uint64(1 << 62))] for m in found]
-            hashes, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint64),) * 2
+            hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            hashes, n = hashes[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["m", "n"])
 
     counts = docs.select("text").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
