@@ -14,7 +14,7 @@ A null scope is a scope of its own.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +90,10 @@ def _lookup_join(x: DataFrame, side: DataFrame, sc: list[str], col: str, how: st
     """
     if hot is None:
         return _scoped_join(x, side, sc, col, how)
-    hot_side = bounded_broadcast(_scoped_join(side, F.broadcast(hot), sc, col, "left_semi"))
-    mark = hot.withColumn("_hot", F.lit(True))
-    marked = _scoped_join(x, F.broadcast(mark), sc, col, "left")
+    # a bounded number of keys, but of any length: their bytes are checked too
+    hot = bounded_broadcast(hot)
+    hot_side = bounded_broadcast(_scoped_join(side, hot, sc, col, "left_semi"))
+    marked = _scoped_join(x, bounded_broadcast(hot.withColumn("_hot", F.lit(True))), sc, col, "left")
     hot_rows = _scoped_join(marked.where("_hot").drop("_hot"), hot_side, sc, col, how)
     cold_rows = _scoped_join(marked.where("_hot IS NULL").drop("_hot"), side, sc, col, how)
     return hot_rows.unionByName(cold_rows)
@@ -172,6 +173,57 @@ def encode_strict(df: DataFrame, ent: DataFrame, rel: DataFrame, on_missing: str
                     F.col("_o_id").alias("o"))
 
 
+def id_table(dictionaries: Mapping[str, DataFrame], key: str = "entity") -> DataFrame:
+    """One stored row per key with its id in each of the named dictionaries, null where it has none.
+
+    One aggregate over the union, instead of an outer join for each dictionary.  A key that a
+    dictionary repeats keeps its largest id (D7).
+    """
+    if not dictionaries:
+        raise ValueError("id_table needs at least one dictionary")
+    rows = None
+    for name in dictionaries:
+        part = dictionaries[name].select(F.col(key), *[
+            (F.col("id") if other == name else F.lit(None)).cast("long").alias(other) for other in dictionaries])
+        rows = part if rows is None else rows.unionByName(part)
+    out = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(name).alias(name) for name in dictionaries])
+    checkpoint_dir(out.sparkSession)
+    return out.checkpoint()
+
+
+def encode_many(df: DataFrame, entity_ids: DataFrame, relation_ids: DataFrame, keep: Sequence[str] = (),
+                broadcast_relations: bool | str = "auto", skew_share: float | None = None) -> DataFrame:
+    """J8/A7/A8 under many dictionaries at once: ``keep``, s, p, o and ``<entity ids>_s``, ``<relation ids>_p``, ``<entity ids>_o``.
+
+    ``entity_ids`` and ``relation_ids`` are ``id_table``s.  The rows meet each of
+    them once, whatever the number of dictionaries, parts and languages that are encoded; ``encoded`` takes
+    one output from the result, which should be persisted.
+    """
+    keep = list(dict.fromkeys(c for c in keep if c not in ("s", "p", "o")))
+    x = df.select(*keep, "s", "p", "o")
+    hot = _hot(x, ["s", "o"], [], skew_share)
+    relations = bounded_broadcast(relation_ids) if broadcast_relations else relation_ids
+    for col, side, split_off in (("p", relations, None), ("s", entity_ids, hot["s"]), ("o", entity_ids, hot["o"])):
+        key, *names = side.columns
+        ids = side.select(F.col(key).alias(col), *[F.col(n).alias(f"{n}_{col}") for n in names])
+        x = _lookup_join(x, ids, [], col, "left", split_off)
+    return x
+
+
+def encoded(many: DataFrame, entity: str, relation: str, on_missing: str = "error", keep: Sequence[str] = ()) -> DataFrame:
+    """(s, p, o) ids under one entity and one relation dictionary, from the result of ``encode_many``."""
+    if on_missing not in ("error", "drop", "null"):
+        raise ValueError(f"on_missing must be error, drop or null, not {on_missing!r}")
+    s, p, o = F.col(f"{entity}_s"), F.col(f"{relation}_p"), F.col(f"{entity}_o")
+    known = s.isNotNull() & p.isNotNull() & o.isNotNull()
+    if on_missing == "drop":
+        many = many.where(known)
+    elif on_missing == "error":
+        many = many.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat_ws(
+            " ", F.lit("unmapped triple:"), F.col("s"), F.col("p"), F.col("o")))))
+    return many.select(*keep, s.alias("s"), p.alias("p"), o.alias("o"))
+
+
 def unmapped(df: DataFrame, ent: DataFrame, rel: DataFrame, scope: str | Sequence[str] | None = None,
              broadcast_relations: bool | str = "auto") -> DataFrame:
     """J8 report: triples with an unknown subject, predicate or object, with flags."""

@@ -1,10 +1,11 @@
 """Dictionaries: distinct entities / relations and dense ids.
 
 Dense ids (D3) without a single-partition sort.  Each key gets
-``h = md5(key)``; a bucket is the first ``k`` hex digits of ``h``.  The
-bucket table (at most 16^k rows per scope) is small, so a running sum over
-it gives each bucket's offset; inside a bucket ``row_number`` ordered by
-``(h, key)`` finishes the id.  The result equals
+``h = md5(key)``; a bucket is the first ``k`` hex digits of ``h``.  A running
+sum over the bucket table (at most 16^k rows per scope) gives each bucket's
+offset.  It has two levels, so that no task holds the table: sums by the first
+``TOP_DIGITS`` digits are added up in order, then those inside each of these.  Inside a bucket
+``row_number`` ordered by ``(h, key)`` finishes the id.  The result equals
 ``row_number() over (partition by scope order by md5(key), key) - 1``: a
 pure function of the data, stable under recomputation, retries, any
 partitioning and any ``k``, and buckets are uniform by construction, so no
@@ -25,6 +26,7 @@ from kgprep.schema import URI
 from kgprep.session import checkpoint_dir
 
 MIN_BUCKET_DIGITS, MAX_BUCKET_DIGITS = 4, 7
+TOP_DIGITS = 2
 
 
 def bucket_digits_for(df: DataFrame) -> int:
@@ -72,6 +74,24 @@ def relations(df: DataFrame, scope: str | Sequence[str] | None = None) -> DataFr
     return df.select(*sc, F.col("p").alias("relation")).where(F.col("relation").isNotNull()).distinct()
 
 
+def bucket_offsets(buckets: DataFrame, scope: Sequence[str], count: str, total: str | None = None) -> DataFrame:
+    """``(scope, _b, _off)`` of a table of bucket counts: the rows in all buckets before ``_b``, in two levels.
+
+    ``total`` names a column for the rows of the whole scope.
+    """
+    def before(keys, order):
+        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    sc, zero = list(scope), F.lit(0)
+    buckets = buckets.withColumn("_t", F.substring("_b", 1, TOP_DIGITS))
+    top = buckets.groupBy(*sc, "_t").agg(F.sum(count).alias("_tn"))
+    whole = [F.sum("_tn").over(Window.partitionBy(*sc)).alias(total)] if total else []
+    top = top.select(*sc, "_t", F.coalesce(F.sum("_tn").over(before(sc, "_t")), zero).alias("_toff"), *whole)
+    inner = buckets.withColumn("_ioff", F.coalesce(F.sum(count).over(before([*sc, "_t"], "_b")), zero))
+    return join_null_safe(inner, top, [*sc, "_t"]).select(
+        *sc, "_b", (F.col("_toff") + F.col("_ioff")).alias("_off"), *([total] if total else []))
+
+
 def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = None, id_col: str = "id",
               bucket_digits: int | None = None) -> DataFrame:
     """D3: ids 0..n-1 (per scope) for a DataFrame of distinct keys; a null key gets none."""
@@ -83,8 +103,7 @@ def dense_ids(keys: DataFrame, key: str, scope: str | Sequence[str] | None = Non
     # Bucket counts combine map-side, so only the ranking branch shuffles
     # and sorts the keys; the exchange of the distinct keys feeds both.
     counts = keyed.groupBy(*sc, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*sc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*sc, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = bucket_offsets(counts, sc, "_n")
     inside = Window.partitionBy(*sc, "_b").orderBy("_h", key)
     ranked = keyed.withColumn("_r", F.row_number().over(inside))
     # left join: every bucket has an offset
@@ -139,3 +158,34 @@ def append_relation(dictionary: DataFrame, uri: str, key: str = "relation", chec
     extra = (stats.where(F.coalesce("_known", F.lit(0)) == 0)
              .select(F.lit(uri).alias(key), new_id.cast("long").alias("id")))
     return dictionary.select(key, "id").unionByName(extra)
+
+
+def grow_dictionary(known: DataFrame, keys: DataFrame, key: str = "entity", scope: str | Sequence[str] | None = None,
+                    check_dense: bool = True) -> DataFrame:
+    """D3-D6 for data that arrives in batches: ``known`` and the new ones of ``keys`` with the next ids.
+
+    Old ids stay.  Keys that ``known`` lacks get dense ids among themselves, after the
+    ids of their scope, so the result is dense again and a pure function of the batches and
+    their order.  Only new keys are ranked; the known ones are met by one anti-join, which AQE splits if
+    ``known`` is stored.  Repeated and null keys in a batch are harmless.  With ``check_dense`` a dictionary
+    whose ids are not 0..n-1 raises when it runs.
+    """
+    sc = _scope_list(scope)
+    fresh = keys.select(*sc, key).where(F.col(key).isNotNull()).distinct()
+    side = known.select(*sc, key).withColumnsRenamed({c: f"_r_{c}" for c in [*sc, key]})
+    on = F.col(key) == F.col(f"_r_{key}")
+    for c in sc:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    fresh = dense_ids(fresh.join(side, on, "left_anti"), key, scope)
+    size = known.groupBy(*sc).agg(F.count(F.lit(1)).alias("_n"), F.max("id").alias("_max"))
+    start = F.col("_n")
+    if check_dense:
+        start = F.when(F.coalesce("_max", F.lit(-1)) == F.col("_n") - 1, F.col("_n")).otherwise(
+            F.raise_error(F.lit("grow_dictionary needs a dense dictionary (ids 0..n-1)")).cast("long"))
+    size = size.select(*sc, start.alias("_start"))
+    if sc:
+        fresh = join_null_safe(fresh, size, sc)
+    else:
+        fresh = fresh.join(F.broadcast(size))  # one row
+    fresh = fresh.select(*sc, key, (F.col("id") + F.coalesce("_start", F.lit(0))).alias("id"))
+    return known.select(*sc, key, "id").unionByName(fresh)

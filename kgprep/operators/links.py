@@ -24,9 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgprep.operators.encode import encode_uri
+from kgprep.operators.encode import bounded_broadcast, encode_uri
 from kgprep.schema import OWL_SAME_AS
-from kgprep.session import checkpoint_dir
+from kgprep.session import checkpoint_dir, scratch_path
 
 FOLD_BLOCK = 1 << 16  # links of one component that a task folds in a round
 
@@ -108,6 +108,31 @@ def component_labels(pairs: DataFrame, max_rounds: int | None = None) -> DataFra
             .unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("label"))).distinct())
 
 
+def grow_components(labels: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """A5 for links that arrive in batches: ``(node, label)`` after ``links``, ``(a, b)`` pairs, are added to ``labels``.
+
+    The new links are contracted onto the stored labels, so the rounds work on
+    at most as many edges as there are new links between different components, whatever the size of
+    the old graph.  One lookup join finds the ends' labels and one relabels the nodes.  Labels stay the smallest
+    node of their component; ``labels`` holds each node once (``component_labels``).
+    """
+    stored = _checkpoint(labels.select("node", "label"))
+    pairs = _checkpoint(links.select("a", "b").distinct())
+    ends = pairs
+    for end in ("a", "b"):
+        now = stored.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        ends = ends.join(now, end, "left")
+    ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    moved = _checkpoint(component_labels(_checkpoint(ends), max_rounds))
+    # labels that moved are few beside the nodes: broadcast if measured small
+    moved_to = bounded_broadcast(moved.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("_to")))
+    old = stored.join(moved_to, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    # nodes that only the new links have, loops included
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(stored, "node", "left_anti")
+    new = nodes.join(moved, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return _checkpoint(old.unionByName(new))
+
+
 def _numbered(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``rank``: 0, 1, 2, ... within ``comp`` in the order of ``keys``.
 
@@ -166,7 +191,8 @@ def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], block: int = FOL
     ranked = _checkpoint(ranked)
     last = _checkpoint(ranked.groupBy("comp").agg(F.max("blk").alias("last")))
     rounds = (last.agg(F.max("last")).first()[0] if not last.isEmpty() else -1) + 1
-    finished, state = [], None
+    # finished components are appended to one table, so the plan does not grow with the rounds
+    state, path = None, scratch_path(pairs.sparkSession, "folded")
     for r in range(rounds):
         cur = ranked.where(F.col("blk") == r)
         if state is None:
@@ -182,14 +208,11 @@ def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], block: int = FOL
             folded = folded.unionByName(state.join(folded, "node", "left_anti").select("comp", "node", "label"))
         # components whose last block this was are done; only the others are carried on
         folded = _checkpoint(folded.join(last, "comp"))
-        finished.append(folded.where(F.col("last") == r).select("node", "label"))
+        folded.where(F.col("last") == r).select("node", "label").write.mode("append").parquet(path)
         state = folded.where(F.col("last") > r).select("comp", "node", "label")
-    if not finished:
+    if not rounds:
         return comp.select("node", "label").limit(0)
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionByName(more)
-    return out
+    return pairs.sparkSession.read.schema("node long, label long").parquet(path)
 
 
 def merge_ids(ent: DataFrame, links: DataFrame, mode: str = "component",

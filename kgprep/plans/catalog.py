@@ -26,6 +26,8 @@ from kgprep.sinks import text as K
 from kgprep.sources import ntriples as S
 from kgprep.sources import tsv as T
 
+BATCH_DATE = "1998-01-01"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -273,10 +275,10 @@ def _w4(spark, sf, mode="component"):
     return _outputs(spark, out, W4_OUTPUTS)
 
 
-def _w5(spark, sf):
+def _w5(spark, sf, mode="component"):
     from kgprep.plans.jobs import prepare_three_tasks
     out = scratch_path(spark, "w5")
-    prepare_three_tasks(spark, _export(spark, sf, "w5-input", "es"), out, language="es", seed=dv.SEED)
+    prepare_three_tasks(spark, _export(spark, sf, "w5-input", "es"), out, language="es", seed=dv.SEED, merge_mode=mode)
     return _outputs(spark, out, W5_OUTPUTS)
 
 
@@ -322,6 +324,51 @@ def _k1_literals_back(spark, sf):
     return T.read_literal_mappings(spark, path)
 
 
+def _customers_of(orders):
+    return orders.select(dv.uri("customer", "o_custkey").alias("entity"))
+
+
+def _d3_grow(spark, sf):
+    """Customers in the order in which they first order: one batch before a date, one from it on."""
+    o = dv.table(spark, sf, "orders")
+    early = F.col("o_orderdate") < F.lit(BATCH_DATE).cast("timestamp")
+    first = D.dense_ids(_customers_of(o.where(early)).distinct(), "entity")
+    return D.grow_dictionary(first, _customers_of(o.where(~early)))
+
+
+def _a5_grow(spark, sf):
+    """Chain links in two batches, by the date of the order that a link leaves: the second grows the first's components."""
+    ent = _ent_g(spark, sf).checkpoint()
+    o = dv.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), "o_orderdate")
+    links = dv.chain_links(spark, sf).join(o, "seq")
+    early = F.col("o_orderdate") < F.lit(BATCH_DATE).cast("timestamp")
+    labels = A.component_labels(A.link_id_pairs(links.where(early), ent))
+    labels = A.grow_components(labels, A.link_id_pairs(links.where(~early), ent))
+    return ent.join(labels, ent["id"] == labels["node"], "left").select("entity", F.coalesce("label", "id").alias("id"))
+
+
+def _x4_repeated(spark, sf):
+    """Order lines reduced to few different rows, most of them repeated often."""
+    rows = dv.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").cast("string").alias("s"), F.lit("p").alias("p"), F.col("l_linestatus").alias("o"),
+        F.col("l_returnflag").alias("language"))
+    return X.split(rows, "language", X.TRAIN_VALID_TEST, seed=dv.SEED)
+
+
+def _j8_many(spark, sf):
+    """Every quad under all dictionaries at once; Spanish ones also under their own."""
+    q = dv.quads(spark, sf)
+    own = Fl.language_rows(q, "es")
+    many = J.encode_many(
+        q, J.id_table({"given": _ent_q(spark, sf), "merged": _merged_star(spark, sf), "own": D.entity_dictionary(own)}),
+        J.id_table({"given": _rel_qs(spark, sf), "own": D.relation_dictionary(own)}, "relation"), keep=["language"])
+    spanish = many.where("language = 'es'")
+    parts = [J.encoded(many, "given", "given", keep=["language"]), J.encoded(many, "merged", "given", keep=["language"]),
+             J.encoded(spanish, "own", "own", keep=["language"])]
+    parts = [x.select(F.lit(name).alias("dictionary"), "*") for name, x in zip(("given", "merged", "own"), parts)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 QUERIES: dict[str, Query] = {
     "s1_parse_ntriples": lambda sp, sf: _parsed(sp, sf),
     "s2_read_bz2_ntriples": _s2,
@@ -390,6 +437,7 @@ QUERIES: dict[str, Query] = {
     "w4_two_way": _w4,
     "w4_two_way_ordered": lambda sp, sf: _w4(sp, sf, mode="ordered"),
     "w5_three_tasks": _w5,
+    "w5_three_tasks_ordered": lambda sp, sf: _w5(sp, sf, mode="ordered"),
     "s1_long_literals": lambda sp, sf: _s1_text(sp, sf, escape_literal),
     "s1_escapes": lambda sp, sf: _s1_text(sp, sf, _escaped),
     "s1_escaped_iris": _s1_escaped_iris,
@@ -402,4 +450,8 @@ QUERIES: dict[str, Query] = {
                                                              order_by=["seq"], block=8),
     "a5_merge_hub": lambda sp, sf: A.merge_ids(_ent_g(sp, sf), _hub_links(sp, sf), mode="component"),
     "k1_read_literals_back": _k1_literals_back,
+    "d3_grow_dictionary": _d3_grow,
+    "a5_grow_components": _a5_grow,
+    "x4_split_repeated_rows": _x4_repeated,
+    "j8_encode_many": _j8_many,
 }

@@ -357,4 +357,23 @@ ORACLES |= {
         f"(SELECT min(id) FROM ent_g WHERE entity = '{BASE}region/0' OR starts_with(entity, '{BASE}order/')) "
         "ELSE id END AS id FROM ent_g", "ent_g"),
     "k1_read_literals_back": with_ctes(_ENC_LIT.format(o="g.o, g.o_lang, g.o_datatype"), "graph", "ent_g", "rel_g"),
+    "d3_grow_dictionary": (
+        "WITH c AS (SELECT DISTINCT " + _u("customer", "o_custkey") + " AS entity, o_orderdate < TIMESTAMP '1998-01-01' AS early "
+        "FROM orders), first AS (SELECT entity, row_number() OVER (ORDER BY md5(entity), entity) - 1 AS id FROM c WHERE early) "
+        "SELECT * FROM first UNION ALL SELECT entity, row_number() OVER (ORDER BY md5(entity), entity) - 1 + "
+        "(SELECT count(*) FROM first) AS id FROM c WHERE NOT early AND entity NOT IN (SELECT entity FROM first)"),
+    "x4_split_repeated_rows": (
+        "WITH l AS (SELECT CAST(l_linenumber AS VARCHAR) AS s, 'p' AS p, l_linestatus AS o, l_returnflag AS language FROM lineitem), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY md5(concat_ws(chr(9), '{SEED}', s, p, o)), s, p, o) - 1 "
+        "AS rank, count(*) OVER (PARTITION BY language) AS n FROM l) "
+        "SELECT s, p, o, language, CASE WHEN rank < floor(0.7::DOUBLE * n) THEN 'train' "
+        "WHEN rank < floor(0.85::DOUBLE * n) THEN 'valid' ELSE 'test' END AS part FROM r"),
+    "j8_encode_many": with_ctes(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS dictionary, q.language, es.id AS s, r.id AS p, eo.id AS o FROM quads q "
+            f"JOIN {ent} es ON es.entity = q.s JOIN {rel} r ON r.relation = q.p JOIN {ent} eo ON eo.entity = q.o"
+            + (" WHERE q.language = 'es'" if name == "own" else "")
+            for name, ent, rel in (("given", "ent_q", "rel_qs"), ("merged", "merged_star", "rel_qs"), ("own", "ent_es", "rel_es"))),
+        "quads", "ent_q", "rel_qs", "merged_star", "ent_es", "rel_es"),
 }
+ORACLES["a5_grow_components"] = ORACLES["a5_merge_components"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgprep.operators import (as_lookup, component_labels, dense_ids, encode_strict, encode_uri, entity_dictionary,
-                              relation_dictionary, split)
+                              relation_dictionary, shuffle_rank)
 from kgprep.sources import parse_ntriples
 
 AQE_SMALL = {
@@ -59,7 +59,7 @@ def test_persisted_relations_are_broadcast(spark):
 
 def test_ranking_sorts_once_and_never_by_group_alone(spark):
     q = spark.range(1000).selectExpr("concat('s', id) AS s", "'p' AS p", "'o' AS o", "IF(id % 2 = 0, 'a', 'b') AS language")
-    for df in (split(q, seed="1"), dense_ids(q.select("s", "language").distinct(), "s", "language")):
+    for df in (shuffle_rank(q, seed="1"), dense_ids(q.select("s", "language").distinct(), "s", "language")):
         plan = re.sub(r"#\d+L?", "", _final_plan(df)).split("== Initial Plan ==")[0]
         # rows meet by group and bucket; by group alone only the bucket table does
         assert "hashpartitioning(language, _b" in plan and "ReusedExchange" in plan
