@@ -1,8 +1,8 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set holds the hashes of its distinct word n-grams.  Two sets
-with Jaccard similarity t or more share one of the first
-n - ceil(t n) + 1 members (the prefix) of either in any one order of all members.
+with Jaccard similarity t or more share k of the first
+n - ceil(t n) + k members (the prefix) of either in any one order of all members.
 
 1. Members held by few documents come first in the order, by hash; the others follow by
    frequency, so prefixes hold rare members.  They are counted over all documents.
@@ -13,7 +13,8 @@ n - ceil(t n) + 1 members (the prefix) of either in any one order of all members
    between different components can change the result from here on, so a group whose classes are
    all in one component is skipped beside groups of the same.
 4. Listed groups meet by prefix member.  A pair is kept if sizes and places
-   in the prefixes allow it.  Under a member, the groups of the component that
+   in the prefixes allow it, and if the groups share as many members as k asks for; k grows with the size, so that
+   long documents are not compared for one passage.  Under a member, the groups of the component that
    most groups have meet only the others; pairs of groups are then
    expanded to pairs of classes, whose sets are compared.
 5. Components of all links are found by randomised contraction.
@@ -36,6 +37,7 @@ from kgprep.llm.components import component_minimum
 
 NGRAM = 3
 PERCENT = 90
+MORE_EVERY = 50  # k is 1 and one more for so many members
 COMMON = 8  # documents that hold a member which does not come first in the order, at least
 COMMON_ROWS = 1 << 20  # such members, at most
 STARS = 4  # seeded orders
@@ -140,7 +142,7 @@ def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
             if len(common):
                 at = np.minimum(np.searchsorted(common, m), len(common) - 1)
                 order = m[np.argsort(np.where(common[at] == m, ranks[at] + 1, 0), kind="stable")]
-            prefix = order[:n - (-(-percent * n // 100)) + 1]
+            prefix = order[:n - (-(-percent * n // 100)) + 1 + n // MORE_EVERY]
             stars = []
             with np.errstate(over="ignore"):
                 for r in range(STARS):
@@ -219,13 +221,11 @@ def _least_shared(percent, x, y):
 
 
 def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y): groups that share a prefix member at places that allow a link, unless both are of one component.
+    """(x, y): groups that share enough prefix members at places that allow a link, unless both are of one component.
 
     ``groups`` has g, n, prefix and comp, which is null if its classes are of several.
     """
     listed = groups.select("g", "n", "comp", F.posexplode("prefix").alias("place", "member"))
-    # what stands at a later place cannot be the first shared member of any link
-    listed = listed.where(F.col("place") <= F.col("n") - _least_shared(percent, F.col("n"), F.floor((F.col("n") * percent + 99) / 100)))
     # most members are listed once: their rows go no further
     shared = written(listed.groupBy("member").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("member"), "shared")
     listed = written(listed.join(broadcast_if_small(shared, BROADCAST_BYTES), "member", "left_semi"), "postings")
@@ -236,15 +236,19 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     listed = written(listed.join(many, "member", "left_semi"), "postings")
     main = listed.where("comp IS NOT NULL").groupBy("member", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = written(main.groupBy("member").agg(F.max(F.struct("k", "comp")).alias("m")).select("member", F.col("m.comp").alias("main")), "main")
-    others = written(listed.join(main, "member", "left").where(F.col("comp").isNull() | (F.col("comp") != F.col("main"))).drop("main"), "others")
-    x = others.withColumnsRenamed({"g": "x", "n": "nx", "comp": "cx", "place": "px"})
+    other = F.col("main").isNull() | F.col("comp").isNull() | (F.col("comp") != F.col("main"))
+    listed = written(listed.join(main, "member", "left").select("member", "g", "n", "comp", "place", other.alias("other")), "postings")
+    x = listed.where("other").drop("other").withColumnsRenamed({"g": "x", "n": "nx", "comp": "cx", "place": "px"})
     y = listed.withColumnsRenamed({"g": "y", "n": "ny", "comp": "cy", "place": "py"})
+    more = F.floor(F.least("nx", "ny") / MORE_EVERY)
     need = _least_shared(percent, F.col("nx"), F.col("ny"))
-    fits = ((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("x") != F.col("y"))
-            & (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need)
+    fits = ((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+            & F.when(F.col("other"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+            & (F.col("px") <= F.col("nx") - need + more) & (F.col("py") <= F.col("ny") - need + more)
             & (F.col("cx").isNull() | F.col("cy").isNull() | (F.col("cx") != F.col("cy"))))
-    met = x.join(y, (x["member"] == y["member"]) & fits)
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = x.join(y, (x["member"] == y["member"]) & fits).select(
+        F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), more.alias("more"))
+    return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more")).where("k > more").select("x", "y")
 
 
 def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, common: int = COMMON,
