@@ -142,11 +142,13 @@ def _id_buckets(docs: DataFrame, buckets: int):
 
     ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
     cuts = ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []
-    bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
+    bounds = np.array(sorted({min(int(c), (1 << 63) - 1) for c in cuts}), np.int64)
 
     def bucket_of(values):
-        known = values.notna()
-        at = len(bounds) - np.searchsorted(bounds, values.fillna(0).astype("int64").to_numpy(), side="right")
+        # ids as text: pandas would round integers beside a null
+        known = values.notna().to_numpy()
+        ids = np.array([int(v) if k else 0 for v, k in zip(values, known)], np.int64)
+        at = len(bounds) - np.searchsorted(bounds, ids, side="right")
         return np.where(known, at, len(bounds) + 1)  # rows without an id come last
 
     return bounds, bucket_of
@@ -169,7 +171,7 @@ def beside_next(docs: DataFrame, make, columns: str, buckets: int | None = None)
 
     order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
     keys = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    keys = keys.select("doc_id", "h", bucket("doc_id").alias("b"))
+    keys = keys.select("doc_id", "h", bucket(F.col("doc_id").cast("string")).alias("b"))
     firsts = {r["b"]: (r["i"], r["h"]) for r in keys.groupBy("b").agg(F.max("doc_id").alias("i")).join(
         keys.groupBy("b", "doc_id").agg(F.min("h").alias("h")).withColumnRenamed("b", "b2"),
         (F.col("b") == F.col("b2")) & F.col("i").eqNullSafe(F.col("doc_id"))).select("b", "i", "h").collect()}
@@ -185,7 +187,7 @@ def beside_next(docs: DataFrame, make, columns: str, buckets: int | None = None)
         return pd.Series([guest_of.get(k, []) for k in keys])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = rows.withColumn("_own", bucket("doc_id")).withColumn("_to", goes_to("doc_id", "h"))
+    rows = rows.withColumn("_own", bucket(F.col("doc_id").cast("string"))).withColumn("_to", goes_to(F.col("doc_id").cast("string"), "h"))
     own = F.array(F.struct(F.col("_own").alias("b"), F.lit(0).alias("guest")))
     places = F.concat(own, F.transform("_to", lambda b: F.struct(b.alias("b"), F.lit(1).alias("guest"))))
     rows = rows.select("doc_id", "text", "h", F.explode(places).alias("p")).select("p.b", "p.guest", "doc_id", "text", "h")

@@ -403,3 +403,18 @@ def test_large_ids_beside_a_null_id_stay_exact(spark):
     assert Counter((r["doc_id"], r["other"]) for r in score_documents(docs, labels).collect()) == Counter(
         (i, o) for i, _, o in rows)
     same_rows(first_of_each_group(docs).select("doc_id"), [(i,) for i in ids])
+
+
+def test_large_ids_beside_null_ids_have_their_own_neighbours(spark):
+    rng = random.Random(4)
+    rows = [((1 << 60) + 7 * k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))) for k in range(60)]
+    rows += [(None, "first without an id"), (None, "second without an id"), ((1 << 63) - 1, "largest"), (-(1 << 63), "smallest")]
+    hashes = {t: xxhash.xxh64_intdigest(raw(t), 42) for _, t in rows}
+    hashes = {t: v - (1 << 64) if v >> 63 else v for t, v in hashes.items()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    expected = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        expected.append((i, len(t), hashlib.sha256(raw(t[:len(t) - half] + after[:half])).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    same_rows(fingerprint_digest(docs).select("doc_id", "n_chars", "edited_sha256"), expected)
