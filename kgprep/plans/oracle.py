@@ -275,7 +275,7 @@ def _two_way(merged: str) -> str:
     }, "split2", merged, "rel_q")
 
 
-def _three_tasks() -> str:
+def _three_tasks(merged: str = "merged_star") -> str:
     names = ("train", "valid", "test")
     joint = {p: _part("split3", p) for p in names}
     own = {p: _part("split3", p, "es") for p in names}
@@ -284,11 +284,11 @@ def _three_tasks() -> str:
         "entity2id": _counted(_tsv_of("SELECT entity, id FROM ent_q", "entity", "id")),
         "relation2id": _counted(_tsv_of("SELECT relation, id FROM rel_qs", "relation", "id")),
         "sameAs_URI": _tsv_of("SELECT * FROM star"),
-        "modified_entity2id": _counted(_tsv_of("SELECT entity, id FROM merged_star", "entity", "id")),
+        "modified_entity2id": _counted(_tsv_of(f"SELECT entity, id FROM {merged}", "entity", "id")),
         "triple2id_ex1": _counted(_tsv_of(_enc(joint["train"], "ent_q", "rel_qs") + " UNION ALL " + links)),
-        "triple2id_ex2": _counted(_tsv_of(_enc(joint["train"], "merged_star", "rel_qs"))),
+        "triple2id_ex2": _counted(_tsv_of(_enc(joint["train"], merged, "rel_qs"))),
         "es_test_original_mappings": _tsv_of(_enc(own["test"], "ent_q", "rel_qs")),
-        "es_test_new_mappings": _tsv_of(_enc(own["test"], "merged_star", "rel_qs")),
+        "es_test_new_mappings": _tsv_of(_enc(own["test"], merged, "rel_qs")),
         "es_entity2id": _counted(_tsv_of("SELECT entity, id FROM ent_es", "entity", "id")),
         "es_relation2id": _counted(_tsv_of("SELECT relation, id FROM rel_es", "relation", "id")),
         "es_train": _counted(_tsv_of(_enc(own["train"], "ent_es", "rel_es"))),
@@ -298,9 +298,9 @@ def _three_tasks() -> str:
         outputs[f"es_{p}_URI"] = _tsv_of(f"SELECT * FROM {own[p]}")
     for p in ("valid", "test"):
         outputs[f"{p}2id_ex1"] = _tsv_of(_enc(joint[p], "ent_q", "rel_qs"))
-        outputs[f"{p}2id_ex2"] = _tsv_of(_enc(joint[p], "merged_star", "rel_qs"))
+        outputs[f"{p}2id_ex2"] = _tsv_of(_enc(joint[p], merged, "rel_qs"))
         outputs[f"es_{p}"] = _tsv_of(_enc(own[p], "ent_es", "rel_es"))
-    return _job(outputs, "split3", "star", "merged_star", "rel_qs", "ent_es", "rel_es")
+    return _job(outputs, "split3", "star", merged, "rel_qs", "ent_es", "rel_es")
 
 
 _LITERAL = ("'\"' || g.o || '\"' || CASE WHEN g.o_lang IS NOT NULL THEN '@' || g.o_lang "
@@ -336,6 +336,7 @@ ORACLES |= {
     "w4_two_way": _two_way("merged_star"),
     "w4_two_way_ordered": _two_way("merged_star_ordered"),
     "w5_three_tasks": _three_tasks(),
+    "w5_three_tasks_ordered": _three_tasks("merged_star_ordered"),
     "s1_long_literals": f"SELECT '{BASE}doc/' || CAST(doc_id AS VARCHAR) AS s, text AS o, lang AS o_lang FROM documents",
     "s1_escapes": f"SELECT '{BASE}doc/' || CAST(doc_id AS VARCHAR) AS s, text AS o, lang AS o_lang FROM documents",
     "s1_escaped_iris": f"SELECT '{BASE}o' AS entity UNION SELECT DISTINCT '{BASE}é-' || lang || '-' || source FROM documents",
