@@ -8,7 +8,8 @@ suffix array is only needed where an anchor occurs more than once:
    A run's bytes, from its first window to the end of its last, are its
    content.  Runs are stored with 128 bits of their content's hash.
 2. Anchors that occur once are done: their windows are unique.  A run with
-   the same content as another is repeated as a whole.
+   the same content as another is repeated as a whole.  Rows of an anchor or content that
+   holds a large share of all are spread over several tasks.
 3. Of anchors with different contents, one run for each content is
    brought together with the others in a shard, whose suffix array is built by
    induced sorting; windows whose permuted common prefix reaches ``length``
@@ -23,7 +24,7 @@ counted by 128-bit hash, one row a window, combined before the shuffle.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgprep.llm.common import broadcast_if_small, written
@@ -34,6 +35,8 @@ GRAM = 128
 SHARD_BYTES = 2 << 20
 CHUNK = 1 << 18  # windows of a long text are cut into runs this many at a time
 BROADCAST_BYTES = 32 << 20
+HEAVY = 256  # a key with more than this share of the rows is spread
+SALTS = 64
 
 
 def rolling_hashes(seed: int):
@@ -133,6 +136,22 @@ def run_table(docs: DataFrame, length: int) -> DataFrame:
     return written(rows.mapInPandas(run, "doc string, t1 long, g long, h1 long, h2 long, first long, last long"), "runs")
 
 
+def semi_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The ``rows`` (doc and first among their columns) whose key is in ``keys``, which has the number of rows of each as n.
+
+    Keys that hold more than one row in ``HEAVY`` are fewer than ``HEAVY``, so they are broadcast;
+    their rows are spread over ``SALTS`` parts.  All others meet by a shuffle.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > total
+    salts = F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    keys = keys.select(*on, "n", F.explode(salts).alias("salt"))
+    spread = F.broadcast(keys.where(heavy & (F.col("salt") == 0)).select(*on, F.lit(SALTS).alias("parts")))
+    rows = rows.join(spread, on, "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("doc", "first"), F.col("parts")), F.lit(0)).cast("int"))
+    return rows.join(keys, [*on, "salt"], "left_semi").drop("parts", "salt")
+
+
 def repeated_windows(length: int = LENGTH):
     """``repeated(segments)`` -> for each segment a boolean per window: does it occur elsewhere in the segments."""
     import numpy as np
@@ -197,22 +216,20 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, t1, start, stop): byte ranges that cover all repeated windows."""
     runs = run_table(docs, length)
-    # contents of each anchor that occurs more than once
-    per_anchor = runs.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"),
-        F.max("h2").alias("b2")).where("n > 1")
-    mixed = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    per_anchor = written(per_anchor.select("g", mixed.alias("mixed")), "anchors")
-    runs = runs.join(per_anchor, "g")  # a stored table: AQE can split the rows of a hot anchor
-    # one run for each content; text keys break the tie, whatever the order of rows
-    contents = runs.groupBy("g", "mixed", "h1", "h2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "t1", "first", "last")).alias("r")).select("g", "mixed", "h1", "h2", "n", "r.*")
+    # most anchors occur once: their runs go no further
+    anchors = written(runs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
+    runs = written(semi_join(runs, anchors, ["g"]), "shared-runs")
+    # one run for each content, combined before the shuffle; text keys break the tie, whatever the order of rows
+    contents = runs.groupBy("g", "h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "t1", "first", "last")).alias("r")).select("g", "h1", "h2", "n", "r.*")
     contents = written(contents, "contents")
-    copies = contents.where("n > 1").select("g", "h1", "h2")
-    whole = runs.join(copies, ["g", "h1", "h2"], "left_semi").select(
+    copies = contents.where("n > 1").select("g", "h1", "h2", "n")
+    whole = semi_join(runs, copies, ["g", "h1", "h2"]).select(
         "doc", "t1", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    mixed = contents.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+    mixed = contents.join(written(mixed, "mixed"), "g", "left_semi")
 
-    segments = written(_segments(docs, contents.where("mixed"), length), "segments")
+    segments = written(_segments(docs, mixed, length), "segments")
     sizes = segments.groupBy("g").agg(F.sum(F.octet_length("seg")).alias("size"))
     sizes = written(sizes, "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
@@ -262,8 +279,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     added = ("n_bytes", "n_removed", "n_spans", "kept")
     carried = [c for c in docs.columns if c not in added]
     spans = written(repeated_spans(docs.select("doc_id", "text"), length), "spans")
+    # spans that touch become one before a document's are collected: a periodic text has one a byte
+    spans = spans.groupBy("doc", "t1", "start").agg(F.max("stop").alias("stop"))
+    order = Window.partitionBy("doc", "t1").orderBy("start")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("apart", (F.col("start") > F.coalesce(before, F.lit(-1))).cast("long"))
+    spans = spans.withColumn("run", F.sum("apart").over(order))
+    spans = spans.groupBy("doc", "t1", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     merged = spans.groupBy(F.col("doc").alias("_d"), F.col("t1").alias("_t")).agg(
-        F.collect_set(F.struct("start", "stop")).alias("_spans"))
+        F.collect_list(F.struct("start", "stop")).alias("_spans"))
     merged = written(merged, "merged")
     rows = docs.select(F.struct(*carried).alias("_row"), F.col("doc_id").cast("string").alias("_doc"),
                        F.xxhash64("text").alias("_key"))
