@@ -5,6 +5,7 @@ import os
 import sys
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -63,3 +64,19 @@ def test_edge_rows_and_an_empty_table_go_through(spark, docs, empty):
                 assert out.columns == given.columns
             current = out
         assert (current.count() > 0) == (given is docs)
+
+
+def test_callers_columns_keep_their_values(spark, docs):
+    """Names that the operators add or use inside, with values that no operator gives."""
+    names = ["score", "predicted", "held_out", "votes", "hits", "n_words", "n_hit", "n_items", "item_ids", "contaminated",
+             "n_lines", "n_dropped", "kept_text", "t1", "fp", "label", "_row", "_r", "_k", "row", "component_id"]
+    given = docs.select("doc_id", "text", "n_chars", *[F.lit(-5).alias(n) for n in names])
+    ids = {r["doc_id"] for r in given.collect()}
+    for current in (given, docs.select("doc_id", "text")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, current, SF), name)
+            assert out.columns == current.columns
+            rows = out.collect()
+            assert rows and {r["doc_id"] for r in rows} <= ids
+            assert all(r[n] == -5 for r in rows for n in names if n in out.columns)
+            current = out
