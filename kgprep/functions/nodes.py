@@ -23,6 +23,10 @@ NT_STATEMENT = (
     r'(<[^>]*+>|_:\S+|"' + _QUOTED + r'"(?:@[A-Za-z0-9-]++|\^\^<[^>]*+>)?)'
     r'\s*\.\s*+(?:#.*+)?$'
 )
+# How far a malformed line is well-formed.
+SUBJECT_START = r'(?s)^\s*+(?:<[^>]*+>|_:\S+)\s++'
+PREDICATE_START = SUBJECT_START + r'<[^>]*+>\s++'
+OBJECT_START = PREDICATE_START + r'(?:<[^>]*+>|_:\S|"' + _QUOTED + r'")'
 
 # A literal's raw form: group 1 lexical form (escapes included), group 2
 # language tag, group 3 datatype IRI.

@@ -24,6 +24,7 @@ from kgprep.schema import OWL_SAME_AS
 from kgprep.session import scratch_path
 from kgprep.sinks import text as K
 from kgprep.sources import ntriples as S
+from kgprep.sources import quarantine as Q
 from kgprep.sources import tsv as T
 
 BATCH_DATE = "1998-01-01"
@@ -297,6 +298,25 @@ def _s1_text(spark, sf, render):
     return S.parse_ntriples(lines).select("s", "o", "o_lang")
 
 
+def _spoiled(spark, sf):
+    """Orders as N-Triples files, some lines malformed in each way, empty or a comment; scanned with a quarantine."""
+    key = F.col("o_orderkey").cast("string")
+    s, p, o = F.concat(F.lit(f"<{dv.BASE}order/"), key, F.lit(">")), F.lit(f" <{dv.BASE}p> "), F.lit(f"<{dv.BASE}o>")
+    line = F.concat(s, p, o)
+    spoiled = [line, F.concat(key, p, o, F.lit(" .")), F.concat(s, F.lit(" _:p "), o, F.lit(" .")),
+               F.concat(s, p, key, F.lit(" .")), F.concat(s, p, F.lit('"\\q" .')), F.concat(F.lit("# "), key), F.lit("")]
+    value = F.concat(line, F.lit(" ."))
+    for i, bad in enumerate(spoiled):
+        value = F.when(F.col("o_orderkey") % 50 == i, bad).otherwise(value)
+    path = scratch_path(spark, "spoiled")
+    dv.table(spark, sf, "orders").select(value.alias("value")).write.option("compression", "bzip2").text(path)
+    return Q.read_with_quarantine(spark, f"{path}/*.bz2")
+
+
+def _s1_line_counts(spark, sf):
+    return _spoiled(spark, sf).counts.agg(*[F.sum(c).alias(c) for c in ("lines", "triples", "rejected", "skipped")])
+
+
 def _s1_escaped_iris(spark, sf):
     """Sources named in two spellings, with and without escapes: one entity for both."""
     d = dv.table(spark, sf, "documents").select(F.concat(F.lit("é-"), "lang", F.lit("-"), "source").alias("n"))
@@ -441,6 +461,8 @@ QUERIES: dict[str, Query] = {
     "s1_long_literals": lambda sp, sf: _s1_text(sp, sf, escape_literal),
     "s1_escapes": lambda sp, sf: _s1_text(sp, sf, _escaped),
     "s1_escaped_iris": _s1_escaped_iris,
+    "s1_quarantine": lambda sp, sf: _spoiled(sp, sf).rejected.select("line", "reason"),
+    "s1_line_counts": _s1_line_counts,
     "d5_dense_ids_null_scope": lambda sp, sf: D.entity_dictionary(_some_null(sp, sf), scope="language"),
     "j6_encode_null_scope": lambda sp, sf: J.encode_uri(
         _some_null(sp, sf), D.entity_dictionary(_some_null(sp, sf), scope="language"),

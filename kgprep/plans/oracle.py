@@ -340,6 +340,18 @@ ORACLES |= {
     "s1_long_literals": f"SELECT '{BASE}doc/' || CAST(doc_id AS VARCHAR) AS s, text AS o, lang AS o_lang FROM documents",
     "s1_escapes": f"SELECT '{BASE}doc/' || CAST(doc_id AS VARCHAR) AS s, text AS o, lang AS o_lang FROM documents",
     "s1_escaped_iris": f"SELECT '{BASE}o' AS entity UNION SELECT DISTINCT '{BASE}é-' || lang || '-' || source FROM documents",
+    "s1_quarantine": (
+        "SELECT CASE o_orderkey % 50 "
+        f"WHEN 0 THEN '<{BASE}order/' || o_orderkey || '> <{BASE}p> <{BASE}o>' "
+        f"WHEN 1 THEN o_orderkey || ' <{BASE}p> <{BASE}o> .' "
+        f"WHEN 2 THEN '<{BASE}order/' || o_orderkey || '> _:p <{BASE}o> .' "
+        f"WHEN 3 THEN '<{BASE}order/' || o_orderkey || '> <{BASE}p> ' || o_orderkey || ' .' "
+        f"ELSE '<{BASE}order/' || o_orderkey || '> <{BASE}p> \"\\q\" .' END AS line, "
+        "CASE o_orderkey % 50 WHEN 0 THEN 'end' WHEN 1 THEN 'subject' WHEN 2 THEN 'predicate' WHEN 3 THEN 'object' "
+        "ELSE 'escape' END AS reason FROM orders WHERE o_orderkey % 50 < 5"),
+    "s1_line_counts": (
+        "SELECT count(*) AS lines, count(*) FILTER (o_orderkey % 50 > 6) AS triples, "
+        "count(*) FILTER (o_orderkey % 50 < 5) AS rejected, count(*) FILTER (o_orderkey % 50 IN (5, 6)) AS skipped FROM orders"),
     "d5_dense_ids_null_scope": with_ctes("SELECT language, entity, id FROM ent_qn", "ent_qn"),
     "j6_encode_null_scope": with_ctes(
         "SELECT x.language, es.id AS s, r.id AS p, eo.id AS o FROM quads_null x "

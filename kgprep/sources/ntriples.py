@@ -24,7 +24,7 @@ TRIPLE_COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_lang", "o_datatype"]
 
 def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bool = False,
                    value_col: str = "value", keep: Sequence[str] = (),
-                   blank_scope: Column | None = None) -> DataFrame:
+                   blank_scope: Column | None = None, keep_skipped: bool = False) -> DataFrame:
     """Parse a DataFrame of N-Triples lines into the TRIPLE layout.
 
     ``mode``: FAILFAST raises on the first malformed line, DROPMALFORMED drops
@@ -35,7 +35,8 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
     (drops comments and blank-node subjects).  ``blank_scope`` (a string
     column, e.g. the file path) is folded into blank labels, as a hash, so
     equal labels from different files stay different nodes.  ``keep`` columns
-    are carried through unchanged.
+    are carried through unchanged.  ``keep_skipped`` (PERMISSIVE only) keeps empty and
+    comment lines too, as rows of nulls.
     """
     mode = mode.upper()
     if mode not in (FAILFAST, DROPMALFORMED, PERMISSIVE):
@@ -62,7 +63,8 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
     elif mode == DROPMALFORMED:
         kept = F.when(drop | ~ok, F.lit(None)).otherwise(parts)
     else:
-        kept = F.when(drop, F.lit(None)).when(ok, parts).otherwise(F.array(text))
+        skipped = F.array().cast("array<string>") if keep_skipped else F.lit(None)
+        kept = F.when(drop, skipped).when(ok, parts).otherwise(F.array(text))
     one = F.when(kept.isNotNull(), F.array(kept)).otherwise(F.array().cast("array<array<string>>"))
     df = df.select(*keep, *(["_bscope"] if extra else []), "_line", F.explode(one).alias("_parts"))
     ok = F.size("_parts") == 3
@@ -91,7 +93,7 @@ def parse_ntriples(lines: DataFrame, mode: str = FAILFAST, uri_subjects_only: bo
         F.nullif(F.get(F.col("_lp"), 2), F.lit("")).alias("o_datatype"),
     ]
     if mode == PERMISSIVE:
-        out.append(F.when(~F.col("_ok"), F.col("_line")).alias(CORRUPT))
+        out.append(F.when(~F.col("_ok") & F.col("_s").isNotNull(), F.col("_line")).alias(CORRUPT))
     return df.select(*out)
 
 
