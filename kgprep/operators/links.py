@@ -10,11 +10,13 @@
   rounds.
 * ``ordered``: the reference's sequential pass, where each link in turn
   gives both ends the smaller of their current ids.  Links only interact
-  inside a connected component, so components are found first and the links
-  of each are numbered in order.  Round r folds the r-th ``block`` links of
-  every component, starting from the ids that the blocks before left.  A
-  task holds one block of one component at a time, and the number of rounds is the
-  largest component's links divided by ``block``.
+  inside a connected component, so components are found first, the links of
+  each are numbered in order and cut into blocks of ``block`` links.  All blocks fold at the
+  same time, each from the best ids known for its nodes; an entity's id never rises,
+  so what any earlier block gave a node is passed to all its later ones, and only blocks
+  that this lowers fold again.  Nothing changes once every block has started
+  from the ids that the serial pass would give it.  The rounds are the blocks that an id
+  passes one after the other, at most the blocks of the largest component and three for links around a hub.
 """
 
 from __future__ import annotations
@@ -152,33 +154,46 @@ def _numbered(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _fold_sorted_partitions():
-    """mapInPandas body: rows arrive sorted by (comp, rank), so the links of a
-    component are a contiguous run; fold it link by link from the ids ``la``
-    and ``lb`` that its entities have so far, and emit its labels when the
-    run ends.  State is the entities of one block of one component."""
+    """mapInPandas body: rows arrive sorted by (comp, blk, rank), so a block
+    is a contiguous run: first the ids that its nodes start from (rank -1, ``a`` the
+    node, ``b`` its id; a node without such a row starts from itself), then its links,
+    folded one by one.  Emits each node's id at the start and the end of the block.
+    State is the nodes of one block."""
 
     def run(batches):
         import pandas as pd
 
-        def emit(done):
-            return pd.DataFrame(done, columns=["comp", "node", "label"], dtype="int64")
+        def rows(block, start, val):
+            return [(*block, n, start[n], v) for n, v in val.items()]
 
-        cur, val = None, {}
+        cur, start, val = None, {}, {}
         for pdf in batches:
             done = []
-            for c, a, b, la, lb in zip(*[pdf[k].tolist() for k in ("comp", "a", "b", "la", "lb")]):
-                if c != cur:
-                    done += [(cur, n, v) for n, v in val.items()]
-                    cur, val = c, {}
-                val[a] = val[b] = min(val.get(a, la), val.get(b, lb))
+            for comp, blk, rank, a, b in zip(*[pdf[k].tolist() for k in ("comp", "blk", "rank", "a", "b")]):
+                if (comp, blk) != cur:
+                    done += rows(cur, start, val)
+                    cur, start, val = (comp, blk), {}, {}
+                if rank < 0:
+                    start[a] = val[a] = b
+                else:
+                    for n in (a, b):
+                        if n not in val:
+                            start[n] = val[n] = n
+                    val[a] = val[b] = min(val[a], val[b])
             if done:
-                yield emit(done)
+                yield pd.DataFrame(done, columns=["comp", "blk", "node", "start", "end"], dtype="int64")
         if val:
-            yield emit([(cur, n, v) for n, v in val.items()])
+            yield pd.DataFrame(rows(cur, start, val), columns=["comp", "blk", "node", "start", "end"], dtype="int64")
 
     return run
 
 
+def _fold_blocks(rows: DataFrame) -> DataFrame:
+    """``(comp, blk, node, start, end)`` of the blocks in ``rows`` (see ``_fold_sorted_partitions``)."""
+    return (rows.repartition("comp", "blk").sortWithinPartitions("comp", "blk", "rank")
+            .mapInPandas(_fold_sorted_partitions(), "comp long, blk long, node long, start long, end long"))
+
+
 def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], block: int = FOLD_BLOCK,
                    max_rounds: int | None = None) -> DataFrame:
     """``(node, label)`` after processing links one by one in ``order_cols``
@@ -187,31 +202,29 @@ def ordered_labels(pairs: DataFrame, order_cols: Sequence[str], block: int = FOL
     links = pairs.where(F.col("a") != F.col("b")).select(*keys).dropDuplicates(keys)
     comp = component_labels(links, max_rounds)
     tagged = links.join(comp.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a")
-    ranked = _numbered(tagged, keys).select("comp", "rank", "a", "b", F.floor(F.col("rank") / block).alias("blk"))
-    ranked = _checkpoint(ranked)
-    last = _checkpoint(ranked.groupBy("comp").agg(F.max("blk").alias("last")))
-    rounds = (last.agg(F.max("last")).first()[0] if not last.isEmpty() else -1) + 1
-    # finished components are appended to one table, so the plan does not grow with the rounds
-    state, path = None, scratch_path(pairs.sparkSession, "folded")
-    for r in range(rounds):
-        cur = ranked.where(F.col("blk") == r)
-        if state is None:
-            cur = cur.select("comp", "rank", "a", "b", F.col("a").alias("la"), F.col("b").alias("lb"))
-        else:
-            for end in ("a", "b"):
-                now = state.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
-                cur = cur.join(now, end, "left").withColumn(f"l{end}", F.coalesce(f"_{end}", end)).drop(f"_{end}")
-        folded = (cur.repartition("comp").sortWithinPartitions("comp", "rank")
-                  .mapInPandas(_fold_sorted_partitions(), "comp long, node long, label long"))
-        if state is not None:
-            folded = _checkpoint(folded)
-            folded = folded.unionByName(state.join(folded, "node", "left_anti").select("comp", "node", "label"))
-        # components whose last block this was are done; only the others are carried on
-        folded = _checkpoint(folded.join(last, "comp"))
-        folded.where(F.col("last") == r).select("node", "label").write.mode("append").parquet(path)
-        state = folded.where(F.col("last") > r).select("comp", "node", "label")
-    if not rounds:
+    ranked = _checkpoint(_numbered(tagged, keys)
+                         .select("comp", F.floor(F.col("rank") / block).alias("blk"), "rank", "a", "b"))
+    if ranked.isEmpty():
         return comp.select("node", "label").limit(0)
+    # one row a block beyond the first, so at most links / block of them
+    open_ = bounded_broadcast(ranked.where("blk > 0").select("comp").distinct())
+    state = _checkpoint(_fold_blocks(ranked))
+    # finished components are appended to one table, so the plan does not grow with the rounds
+    path = scratch_path(pairs.sparkSession, "folded")
+    state.join(open_, "comp", "left_anti").select("node", F.col("end").alias("label")).write.parquet(path)
+    state = state.join(open_, "comp", "left_semi")
+    earlier = Window.partitionBy("node").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    while not state.isEmpty():
+        state = _checkpoint(state.withColumn("best", F.least("node", F.min("end").over(earlier))))
+        stale = bounded_broadcast(state.where("best < start").select("comp", "blk").distinct())
+        open_ = stale.select("comp")
+        (state.join(open_, "comp", "left_anti").groupBy("node").agg(F.min("end").alias("label"))
+         .write.mode("append").parquet(path))
+        state = state.join(open_, "comp", "left_semi")
+        again = (state.join(stale, ["comp", "blk"], "left_semi")
+                 .select("comp", "blk", F.lit(-1).cast("long").alias("rank"), F.col("node").alias("a"), F.col("best").alias("b"))
+                 .unionByName(ranked.join(stale, ["comp", "blk"], "left_semi")))
+        state = _checkpoint(state.join(stale, ["comp", "blk"], "left_anti").drop("best").unionByName(_fold_blocks(again)))
     return pairs.sparkSession.read.schema("node long, label long").parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 import bz2
 import os
+import random
 
 import pytest
 
@@ -68,6 +69,32 @@ def test_ordered_fold_blocks(spark):
     assert got == val
 
 
+def _replay(links):
+    val = {}
+    for a, b in links:
+        val[a] = val[b] = min(val.get(a, a), val.get(b, b))
+    return val
+
+
+@pytest.mark.parametrize("name,rounds", [("hub", 3), ("chain back", 1), ("random", 9)])
+def test_ordered_fold_takes_rounds_by_depth_not_by_length(spark, monkeypatch, name, rounds):
+    from kgprep.operators import links as L
+
+    rnd = random.Random(5)
+    # 40 blocks of 10 links; the hub's smallest neighbour comes in the middle
+    pairs = {"hub": [(1000, 2000 + i if i != 200 else 5) for i in range(400)],
+             "chain back": [(400 - i, 401 - i) for i in range(400)],
+             "random": [(rnd.randrange(300), rnd.randrange(300)) for _ in range(400)]}[name]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "seq int, a long, b long")
+    folds, fold = [], L._fold_blocks
+    monkeypatch.setattr(L, "_fold_blocks", lambda rows: folds.append(1) or fold(rows))
+    got = ordered_labels(df, ["seq"], block=10).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.label for r in got} == _replay([p for p in pairs if p[0] != p[1]])
+    # the last fold of the loop has no rows: it ends the rounds
+    assert len(folds) - 1 <= rounds
+
+
 def test_ordered_fold_of_a_chain_longer_than_several_blocks(spark):
     # in order, each link passes the smallest id one step on
     df = spark.createDataFrame([(i, i + 1, i) for i in range(40)], "a long, b long, seq long")
