@@ -46,24 +46,26 @@ def main(argv: list[str] | None = None) -> dict:
         if name == "prepare-three-tasks":
             c.add_argument("--language", default="es")
             c.add_argument("--predicate", default=OWL_SAME_AS)
+    for job in sub.choices.values():
+        job.add_argument("--anew", action="store_true", help="write all outputs, also those of an earlier run with the same inputs")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"kgprep {args.job}").getOrCreate()
     if args.job == "encode-graph":
         res = jobs.encode_graph(spark, args.input, args.out, mode=args.mode, readable=args.readable,
-                                skew_share=args.skew_share)
+                                skew_share=args.skew_share, resume=not args.anew)
     elif args.job == "encode-languages":
         res = jobs.encode_languages(spark, args.root, args.out, args.languages, args.datasets, mode=args.mode,
-                                    skew_share=args.skew_share)
+                                    skew_share=args.skew_share, resume=not args.anew)
     elif args.job == "encode-all-languages":
         res = jobs.encode_all_languages(spark, args.root, args.out, args.languages, args.datasets, mode=args.mode,
-                                        skew_share=args.skew_share)
+                                        skew_share=args.skew_share, resume=not args.anew)
     elif args.job == "prepare-two-way":
         res = jobs.prepare_two_way(spark, args.src, args.out, seed=args.seed, merge_mode=args.merge,
-                                   link_order=args.link_order, skew_share=args.skew_share)
+                                   link_order=args.link_order, skew_share=args.skew_share, resume=not args.anew)
     else:
         res = jobs.prepare_three_tasks(spark, args.src, args.out, language=args.language, seed=args.seed,
                                        merge_mode=args.merge, link_order=args.link_order, same_as=args.predicate,
-                                       skew_share=args.skew_share)
+                                       skew_share=args.skew_share, resume=not args.anew)
     print(json.dumps(res))
     return res
 
