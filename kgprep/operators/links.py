@@ -3,11 +3,12 @@
 ``merge_ids`` folds linked entities onto shared ids in two modes:
 
 * ``component`` (default): every entity takes the smallest id of its
-  connected component.  Large-star / small-star rounds (Kiveris et al.,
-  "Connected Components in MapReduce and Beyond", SoCC 2014) on id pairs:
-  grouped minima are partial aggregates, and they are checkpointed before
+  connected component.  Rounds of contraction on id pairs (Boegeholz et al., "In-database connected
+  component analysis", ICDE 2020): every node points at the first of itself and its neighbours, and
+  the edges move to those pointers, so a round works on the edges between what is left.  Grouped minima
+  are partial aggregates, and they are checkpointed before
   the joins that use them, so AQE can split the rows of a hub.  O(log n)
-  rounds.
+  rounds are expected.
 * ``ordered``: the reference's sequential pass, where each link in turn
   gives both ends the smaller of their current ids.  Links only interact
   inside a connected component, so components are found first, the links of
@@ -68,9 +69,13 @@ def with_links(train: DataFrame, link_triples: DataFrame) -> DataFrame:
 
 
 def link_id_pairs(links: DataFrame, ent: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Links as ``(a, b)`` id pairs; links with an unknown end are ignored."""
+    """Links as ``(a, b)`` id pairs; links with an unknown end are ignored.
+
+    The links are stored first.  An end that is one literal for all of them would else be moved from the join into a
+    filter on the dictionary, and what is left of the join is a product of all partitions of both sides.
+    """
     e = ent.select("entity", "id")
-    return (links.select(*keep, "s", "o")
+    return (_checkpoint(links.select(*keep, "s", "o"))
             .join(e.withColumnRenamed("entity", "s").withColumnRenamed("id", "a"), "s")
             .join(e.withColumnRenamed("entity", "o").withColumnRenamed("id", "b"), "o")
             .select(*keep, "s", "o", "a", "b"))
@@ -79,35 +84,37 @@ def link_id_pairs(links: DataFrame, ent: DataFrame, keep: Sequence[str] = ()) ->
 def component_labels(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``(node, label)``: smallest node of each connected component of the
     undirected graph given by ``(a, b)`` pairs (self pairs allowed)."""
-    edges = (pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-             .where(F.col("hi") != F.col("lo")).distinct())
-    edges = _checkpoint(edges)
-    rounds = 0
-    while True:
-        rounds += 1
-        # large star: each node links its larger neighbours to its neighbourhood minimum
-        adj = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        mins = _checkpoint(adj.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = _checkpoint(adj.where(F.col("v") > F.col("u")).join(mins, "u")
-                            .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        # small star: each node and its smaller neighbours attach to their minimum
-        m2 = _checkpoint(large.groupBy("hi").agg(F.min("lo").alias("m")))
-        small = (large.join(m2, "hi").where(F.col("lo") != F.col("m"))
-                 .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-                 .unionByName(m2.select("hi", F.col("m").alias("lo"))).distinct())
-        edges = _checkpoint(small)
-        # converged when every component is a star around its minimum: each
-        # node has at most one parent and no parent has a parent (one job)
-        roles = (edges.select(F.col("hi").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent"))
-                 .unionByName(edges.select(F.col("lo").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
-                 .groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")))
-        if roles.where((F.col("c") > 1) | ((F.col("c") == 1) & (F.col("p") == 1))).limit(1).count() == 0:
-            break
-        if max_rounds is not None and rounds >= max_rounds:
+    edges = _checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                        .where("a <> b").distinct())
+    pointers = []
+    while not edges.isEmpty():
+        turn = len(pointers)
+        if max_rounds is not None and turn >= max_rounds:
             raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    return (edges.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-            .unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("label"))).distinct())
+        # two rounds in the order of the nodes make a star of a hub; random orders shorten chains
+        def place(node):
+            return F.col(node) if turn < 2 or turn % 2 else F.xxhash64(F.lit(turn), node)
+
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min_by("b", place("b")).alias("m"))
+        ahead = place("m") < place("a")
+        to = _checkpoint(near.select(F.col("a").alias("node"), F.when(ahead, F.col("m")).otherwise(F.col("a")).alias("p")))
+        pointers.append(to)
+        # the pointers are stored, so AQE can split the rows of a hub
+        moved = (edges.join(to.select(F.col("node").alias("a"), F.col("p").alias("_a")), "a")
+                 .join(to.select(F.col("node").alias("b"), F.col("p").alias("_b")), "b"))
+        edges = _checkpoint(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+                            .where("a <> b").distinct())
+    if not pointers:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = pointers[-1].withColumnRenamed("p", "label")
+    for to in reversed(pointers[:-1]):
+        # a node that is its own pointer may have no edge left, and so no row in the next round
+        up = _checkpoint(labels).select(F.col("node").alias("p"), "label")
+        labels = to.join(up, "p", "left").select("node", F.coalesce("label", "p").alias("label"))
+    labels = _checkpoint(labels)
+    least = bounded_broadcast(labels.groupBy("label").agg(F.min("node").alias("_least")))
+    return labels.join(least, "label").select("node", F.col("_least").alias("label"))
 
 
 def grow_components(labels: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
