@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kgprep.operators import links
+from kgprep.operators import encode_uri, links
 
 
 def test_links_from_one_literal_are_not_a_product(spark):
@@ -36,3 +36,21 @@ def test_component_rounds_shrink(spark, monkeypatch):
     labels = links.component_labels(path)
     assert {(r.node, r.label) for r in labels.collect()} == {(i, 0) for i in range(n)}
     assert sum(stored) < 12 * n, stored
+
+
+def test_heavy_split_works_out_the_dictionary_once(spark):
+    n, seen = 40, spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    ent = spark.range(n).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entity"), "id")
+    ent = ent.mapInPandas(count, "entity string, id long")
+    rel = spark.createDataFrame([("p", 0)], "relation string, id long")
+    t = spark.range(1, n).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("s"), F.lit("p").alias("p"),
+                                 F.lit("e0").alias("o"))
+    got = sorted((r.s, r.p, r.o) for r in encode_uri(t, ent, rel, skew_share=0.5).collect())
+    assert got == [(i, 0, 0) for i in range(1, n)]
+    assert seen.value == n
