@@ -1,10 +1,12 @@
 """Work that must not grow faster than the input: links of one hub, rounds of components, lookups of a dictionary, bytes written."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 from kgprep.operators import encode_uri, links
+from kgprep.plans.jobs import encode_graph
 
 
 def test_links_from_one_literal_are_not_a_product(spark):
@@ -54,3 +56,15 @@ def test_heavy_split_works_out_the_dictionary_once(spark):
     got = sorted((r.s, r.p, r.o) for r in encode_uri(t, ent, rel, skew_share=0.5).collect())
     assert got == [(i, 0, 0) for i in range(1, n)]
     assert seen.value == n
+
+
+def test_encode_graph_writes_compressed(spark, tmp):
+    with open(f"{tmp}/a.nt", "w") as f:
+        f.write('<http://x/a> <http://x/p> <http://x/b> .\n<http://x/a> <http://x/q> "t"@en .\n_:n <http://x/p> <http://x/b> .\n')
+    plain = encode_graph(spark, f"{tmp}/a.nt", f"{tmp}/plain", readable=True)
+    small = encode_graph(spark, f"{tmp}/a.nt", f"{tmp}/small", readable=True, compression="gzip")
+    assert plain.keys() == small.keys() and len(plain) == 7
+    for name in plain:
+        assert not glob.glob(f"{small[name]}/*.txt") and glob.glob(f"{small[name]}/*.txt.gz")
+        read = [sorted(r.value for r in spark.read.text(outs[name]).collect()) for outs in (plain, small)]
+        assert read[0] == read[1]
