@@ -6,7 +6,7 @@
   connected component.  Rounds of contraction on id pairs (Boegeholz et al., "In-database connected
   component analysis", ICDE 2020): every node points at the first of itself and its neighbours, and
   the edges move to those pointers, so a round works on the edges between what is left.  Grouped minima
-  are partial aggregates, and they are checkpointed before
+  are partial aggregates, and they are stored before
   the joins that use them, so AQE can split the rows of a hub.  O(log n)
   rounds are expected.
 * ``ordered``: the reference's sequential pass, where each link in turn
@@ -39,6 +39,14 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as files of the shared folder.  A checkpoint keeps the partitioning of its plan, and a join
+    for which one side needs no shuffle is not split by AQE."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def known_links(links: DataFrame, ent: DataFrame) -> DataFrame:
     """A1: links whose two ends are both in the dictionary (semi-joins)."""
     keys = ent.select("entity")  # a semi-join needs no distinct keys
@@ -98,13 +106,14 @@ def component_labels(pairs: DataFrame, max_rounds: int | None = None) -> DataFra
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min_by("b", place("b")).alias("m"))
         ahead = place("m") < place("a")
-        to = _checkpoint(near.select(F.col("a").alias("node"), F.when(ahead, F.col("m")).otherwise(F.col("a")).alias("p")))
+        to = near.select(F.col("a").alias("node"), F.when(ahead, F.col("m")).otherwise(F.col("a")).alias("p"))
+        to = _table(to, "pointers")
         pointers.append(to)
         # the pointers are stored, so AQE can split the rows of a hub
         moved = (edges.join(to.select(F.col("node").alias("a"), F.col("p").alias("_a")), "a")
                  .join(to.select(F.col("node").alias("b"), F.col("p").alias("_b")), "b"))
-        edges = _checkpoint(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-                            .where("a <> b").distinct())
+        moved = _checkpoint(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+        edges = _checkpoint(moved.where("a <> b").distinct())
     if not pointers:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labels = pointers[-1].withColumnRenamed("p", "label")
