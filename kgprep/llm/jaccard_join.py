@@ -16,7 +16,8 @@ n - ceil(t n) + k members (the prefix) of either in any one order of all members
    in the prefixes allow it, and if the groups share as many members as k asks for; k grows with the size, so that
    long documents are not compared for one passage.  Under a member, the groups of the component that
    most groups have meet only the others; pairs of groups are then
-   expanded to pairs of classes, whose sets are compared.
+   expanded to pairs of classes, whose sets are compared. Before, the parities of members in ``BITS`` bins, which differ
+   in no more bins than the sets do in members, drop pairs that are too far apart.
 5. Components of all links are found by randomised contraction.
 
 No step holds more than one pair of sets at a time, whatever the size of a
@@ -28,7 +29,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +41,7 @@ PERCENT = 90
 MORE_EVERY = 50  # k is 1 and one more for so many members
 COMMON = 8  # documents that hold a member which does not come first in the order, at least
 COMMON_ROWS = 1 << 20  # such members, at most
+BITS = 256  # bins of the members' parities
 STARS = 4  # seeded orders
 STAR_MEMBERS = 4  # smallest members that must agree
 BROADCAST_BYTES = 32 << 20
@@ -120,10 +122,10 @@ def _text_key():
 
 
 def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
-    """Stored (doc_id, t, cls, n, grp, prefix, stars) of every row; cls is null for an empty set.
+    """Stored (doc_id, t, cls, n, grp, prefix, stars, bits) of every row; cls is null for an empty set.
 
     ``cls`` and ``grp`` are 128-bit hashes of the set, and of the prefix and the size; ``t`` is the id
-    and a 128-bit hash of the text.
+    and a 128-bit hash of the text; ``bits`` are the parities of the set's members in ``BITS`` bins.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
@@ -137,7 +139,7 @@ def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
             m = members(text)
             n = len(m)
             if not n:
-                return None, 0, None, None, None
+                return None, 0, None, None, None, None
             order = m
             if len(common):
                 at = np.minimum(np.searchsorted(common, m), len(common) - 1)
@@ -151,12 +153,13 @@ def signatures(docs: DataFrame, ngram: int, percent: int, common) -> DataFrame:
                     least = np.sort(np.partition(mixed, STAR_MEMBERS - 1)[:STAR_MEMBERS]) if n > STAR_MEMBERS else np.sort(mixed)
                     stars.append(xxhash.xxh64_intdigest(least.tobytes(), r) - (1 << 63))
             name = xxhash.xxh128_digest(prefix.tobytes(), n & 0xFFFFFFFF)
-            return xxhash.xxh128_digest(m.tobytes()), n, name, prefix.view(np.int64), stars
+            odd = np.packbits(np.bincount((m % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+            return xxhash.xxh128_digest(m.tobytes()), n, name, prefix.view(np.int64), stars, odd
 
         return row
 
     rows = _arrow_rows(docs.select("doc_id", _text_key().alias("t"), "text"), make,
-                       "cls binary, n int, grp binary, prefix array<long>, stars array<long>")
+                       "cls binary, n int, grp binary, prefix array<long>, stars array<long>, bits array<long>")
     return written(rows, "signatures")
 
 
@@ -220,12 +223,18 @@ def _least_shared(percent, x, y):
     return F.floor((percent * (x + y) + 99 + percent) / (100 + percent))
 
 
+def _may_share(percent, x, y, a, b):
+    """Whether sets of x and y members with the parities a and b can share as many as they must; true if a or b is null."""
+    apart = reduce(Column.__add__, (F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(BITS // 64)))
+    return F.coalesce(apart, F.lit(0)) <= x + y - 2 * _least_shared(percent, x, y)
+
+
 def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     """(x, y): groups that share enough prefix members at places that allow a link, unless both are of one component.
 
-    ``groups`` has g, n, prefix and comp, which is null if its classes are of several.
+    ``groups`` has g, n, prefix, comp, which is null if its classes are of several, and bits, null if it has several classes.
     """
-    listed = groups.select("g", "n", "comp", F.posexplode("prefix").alias("place", "member"))
+    listed = groups.select("g", "n", "comp", "bits", F.posexplode("prefix").alias("place", "member"))
     # most members are listed once: their rows go no further
     shared = written(listed.groupBy("member").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("member"), "shared")
     listed = written(listed.join(broadcast_if_small(shared, BROADCAST_BYTES), "member", "left_semi"), "postings")
@@ -237,15 +246,16 @@ def group_pairs(groups: DataFrame, percent: int) -> DataFrame:
     main = listed.where("comp IS NOT NULL").groupBy("member", "comp").agg(F.count(F.lit(1)).alias("k"))
     main = written(main.groupBy("member").agg(F.max(F.struct("k", "comp")).alias("m")).select("member", F.col("m.comp").alias("main")), "main")
     other = F.col("main").isNull() | F.col("comp").isNull() | (F.col("comp") != F.col("main"))
-    listed = written(listed.join(main, "member", "left").select("member", "g", "n", "comp", "place", other.alias("other")), "postings")
-    x = listed.where("other").drop("other").withColumnsRenamed({"g": "x", "n": "nx", "comp": "cx", "place": "px"})
-    y = listed.withColumnsRenamed({"g": "y", "n": "ny", "comp": "cy", "place": "py"})
+    listed = written(listed.join(main, "member", "left").select("member", "g", "n", "comp", "bits", "place", other.alias("other")), "postings")
+    x = listed.where("other").drop("other").withColumnsRenamed({"g": "x", "n": "nx", "comp": "cx", "place": "px", "bits": "bx"})
+    y = listed.withColumnsRenamed({"g": "y", "n": "ny", "comp": "cy", "place": "py", "bits": "by"})
     more = F.floor(F.least("nx", "ny") / MORE_EVERY)
     need = _least_shared(percent, F.col("nx"), F.col("ny"))
     fits = ((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
             & F.when(F.col("other"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
             & (F.col("px") <= F.col("nx") - need + more) & (F.col("py") <= F.col("ny") - need + more)
-            & (F.col("cx").isNull() | F.col("cy").isNull() | (F.col("cx") != F.col("cy"))))
+            & (F.col("cx").isNull() | F.col("cy").isNull() | (F.col("cx") != F.col("cy")))
+            & _may_share(percent, F.col("nx"), F.col("ny"), F.col("bx"), F.col("by")))
     met = x.join(y, (x["member"] == y["member"]) & fits).select(
         F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), more.alias("more"))
     return met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.max("more").alias("more")).where("k > more").select("x", "y")
@@ -264,32 +274,36 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     docs = docs.select("doc_id", "text")
     rows = signatures(docs, ngram, percent, common_members(docs, ngram, common, common_rows))
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("stars").alias("stars"), F.min("t").alias("t"),
+        F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("stars").alias("stars"), F.first("bits").alias("bits"),
+        F.min("t").alias("t"),
         F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
 
     pairs = star_pairs(classes)
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     found = linked(pairs, member_sets(docs, nodes, classes, ngram), percent)
-    known = _with_component(classes.select("cls", "n", "grp"), found)
+    known = _with_component(classes.select("cls", "n", "grp", "bits"), found)
 
     # groups go by 64 bits of their name: two that agree in them would only bring more pairs to compare
     short = F.xxhash64("grp")
-    comps = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    comps = comps.select("grp", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).alias("comp"))
+    comps = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"),
+                                      F.first("bits").alias("bits"))
+    comps = comps.select("grp", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).alias("comp"),
+                         F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
     prefixes = rows.where("grp IS NOT NULL").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = written(prefixes.join(comps, "grp").select(short.alias("g"), "n", "prefix", "comp"), "groups")
+    groups = written(prefixes.join(comps, "grp").select(short.alias("g"), "n", "prefix", "comp", "bits"), "groups")
     # classes of one group have one size n, so at least one member of each is not in the other
     inside = groups.where(F.col("comp").isNull() & (100 * (F.col("n") - 1) >= percent * (F.col("n") + 1)))
     met = written(group_pairs(groups, percent).unionByName(inside.select(F.col("g").alias("x"), F.col("g").alias("y"))), "group-pairs")
 
     # expand: classes of two groups, or of one, that are not yet of one component
-    members = known.select(short.alias("g"), "cls", "comp")
-    first = members.withColumnsRenamed({"g": "x", "cls": "a", "comp": "ca"})
-    second = members.withColumnsRenamed({"g": "y", "cls": "b", "comp": "cb"})
+    members = known.select(short.alias("g"), "cls", "comp", "n", "bits")
+    first = members.withColumnsRenamed({"g": "x", "cls": "a", "comp": "ca", "n": "na", "bits": "ba"})
+    second = members.withColumnsRenamed({"g": "y", "cls": "b", "comp": "cb", "n": "nb", "bits": "bb"})
     opened = written(met.join(first, "x"), "opened")
     pairs = written(opened.join(second, (opened["y"] == second["y"]) & (F.col("ca") != F.col("cb")) & (
-        (opened["x"] != opened["y"]) | (F.col("a") < F.col("b")))).select("a", "b"), "class-pairs")
+        (opened["x"] != opened["y"]) | (F.col("a") < F.col("b"))) & _may_share(
+            percent, F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"))).select("a", "b"), "class-pairs")
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
     more = linked(pairs, member_sets(docs, nodes, classes, ngram), percent)
 
