@@ -55,6 +55,7 @@ TRAIN_BATCH = 1 << 13
 START_BYTES = 3  # of a word, with contexts that begin before it; words with the same are in one partition
 TEXTS = 256  # documents decoded at a time
 MET = 2_000_000  # junctions that a task counts before it stores them
+KEYS = 250_000  # tokens whose junctions are worked out at a time
 END = b"\n"
 CLASS_COLUMNS = ", ".join(f"c{k} long" for k in range(CLASSES))
 APM_CELLS = 33
@@ -100,11 +101,13 @@ def block_table(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
                 times.append(counts[counts > 0])
             sums = pack(np.concatenate(places), np.concatenate(times))
             rows.append((1, at, None, None, len(vocabulary), 0, b" ".join(trained), b" ".join(spelled), *sums))
-            texts = np.concatenate([np.zeros(0, np.int32), *(ids for parts in trained.values() for ids in parts)])
-            keys, times = np.unique(junction_keys(texts, *word_codes(spelled), vocabulary[END]), return_counts=True)
-            keys, which = np.unique(np.append(met[0], keys), return_inverse=True)
-            met = keys, np.bincount(which, np.append(met[1], times), len(keys)).astype(np.int64)
-            if len(keys) > MET:
+            # a few texts at a time: the keys of all tokens of a block at once would be the most that a task holds
+            codes, end = word_codes(spelled), vocabulary[END]
+            for texts in text_groups([ids for parts in trained.values() for ids in parts], KEYS):
+                found = junction_keys(texts, *codes, end)
+                found.sort()
+                met = summed(met, distinct(found))
+            if len(met[0]) > MET:
                 add_junctions()
             out = batch()
             at, vocabulary, spelled, rows, trained, tokens = at + 1, {}, [], [], {}, 0
@@ -152,6 +155,43 @@ def block_table(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     return written(rows, "blocks", ["kind"])
 
 
+def text_groups(texts, tokens: int):
+    """The arrays ``texts`` joined, in order, to arrays of ``tokens`` numbers or just over; no text is cut."""
+    import numpy as np
+
+    group, n = [], 0
+    for text in texts:
+        group.append(text)
+        n += len(text)
+        if n >= tokens:
+            yield np.concatenate(group)
+            group, n = [], 0
+    if group:
+        yield np.concatenate(group)
+
+
+def distinct(keys):
+    """(distinct keys, how often each is there) of sorted ``keys``."""
+    import numpy as np
+
+    first = np.nonzero(np.append(True, keys[1:] != keys[:-1]))[0] if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def summed(one, other):
+    """(keys, counts), by key, of two such pairs with distinct keys in order: the counts of a key in both are added."""
+    import numpy as np
+
+    keys, counts = other
+    if not len(one[0]) or not len(keys):
+        return other if len(keys) else one
+    at = np.searchsorted(one[0], keys)
+    there = one[0][np.minimum(at, len(one[0]) - 1)] == keys
+    one[1][at[there]] += counts[there]
+    new = ~there
+    return np.insert(one[0], at[new], keys[new]), np.insert(one[1], at[new], counts[new])
+
+
 def packed_counts():
     """``pack(ids, times)`` and ``unpack(a, b)``: sorted ids as two-byte steps with one-byte counts.
 
