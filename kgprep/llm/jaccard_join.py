@@ -45,6 +45,7 @@ BITS = 256  # bins of the members' parities
 STARS = 4  # seeded orders
 STAR_MEMBERS = 4  # smallest members that must agree
 BROADCAST_BYTES = 32 << 20
+TEXTS = 1024  # texts that leave Arrow at a time
 
 
 def shingle_set(ngram: int):
@@ -81,8 +82,8 @@ def _arrow_rows(frame: DataFrame, make, added: str) -> DataFrame:
         row_of = make()
         types = [to_arrow_type(f.dataType) for f in schema.fields[len(carried):]]
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 made = [pa.array(c, t) for c, t in zip(zip(*map(row_of, part.column(len(carried)).to_pylist())), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(carried)], *made], names=schema.names)
 
@@ -102,9 +103,14 @@ def common_members(docs: DataFrame, ngram: int, common: int, common_rows: int):
 
         members = shingle_set(ngram)
         for batch in batches:
-            found = [members(t) for t in batch.column(0).to_pylist()]
-            hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-            hashes, n = hashes[n > 1], n[n > 1]
+            # texts leave Arrow a few at a time; a batch's members are sorted in place, and only those met again are copied
+            found = [members(t) for at in range(0, batch.num_rows, TEXTS) for t in batch.column(0).slice(at, TEXTS).to_pylist()]
+            found = np.concatenate([np.zeros(0, np.uint64), *found])
+            found.sort()
+            again = found[1:] == found[:-1]
+            hashes, n = np.unique(found[1:][again], return_counts=True)
+            del found, again
+            n += 1
             yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["m", "n"])
 
     counts = docs.select("text").mapInArrow(count, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
@@ -178,9 +184,9 @@ def member_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, ngram: i
 
         members, seen = shingle_set(ngram), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for at in range(0, batch.num_rows, TEXTS):
                 found = {}
-                for text in batch.column(0).slice(at, 1024).to_pylist():
+                for text in batch.column(0).slice(at, TEXTS).to_pylist():
                     m = members(text)
                     found[xxhash.xxh128_digest(m.tobytes())] = m.view(np.int64)
                 new = [c for c in found if c not in seen]
@@ -199,8 +205,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.withColumnsRenamed({"cls": "a", "members": "ma"})
     right = sets.withColumnsRenamed({"cls": "b", "members": "mb"})
     both = pairs.join(left, "a").join(right, "b")
+    # 100 * shared >= percent * (x + y - shared), with the intersection written once: a condition evaluates it as often as it is there
     shared = F.size(F.array_intersect("ma", "mb")).cast("long")
-    return written(both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b"), "links")
+    return written(both.where((100 + percent) * shared >= percent * (F.size("ma") + F.size("mb"))).select("a", "b"), "links")
 
 
 def _with_component(classes: DataFrame, links: DataFrame) -> DataFrame:

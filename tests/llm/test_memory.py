@@ -81,3 +81,28 @@ def test_counts_of_distinct_keys_are_added():
         for k in keys.tolist():
             want[k] = want.get(k, 0) + 1
     assert total[0].tolist() == sorted(want) and total[1].tolist() == [want[k] for k in sorted(want)]
+
+
+def test_common_members_sort_a_batch_in_place(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(100)) for _ in range(2000)]
+    texts += texts[:100] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    class Stop(Exception):
+        pass
+
+    class Counted(Steps):
+        def mapInArrow(self, run, schema):
+            Counted.step = staticmethod(run)
+            raise Stop
+
+    try:
+        jaccard_join.common_members(Counted(), 3, 8, 1 << 20)
+    except Stop:
+        pass
+    found, size = peak(lambda: [b.to_pydict() for b in Counted.step([batch])])
+    members = jaccard_join.shingle_set(3)
+    want = {int(m) for t in texts[:100] for m in members(t).astype(np.int64)}
+    assert set(found[0]["m"]) == want and set(found[0]["n"]) == {2}
+    assert size < 3.5 * 8 * 98 * len(texts)
