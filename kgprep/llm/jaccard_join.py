@@ -8,8 +8,9 @@ n - ceil(t n) + k members (the prefix) of either in any one order of all members
    frequency, so prefixes hold rare members.  They are counted over all documents.
 2. Documents with equal sets are a class.  Classes with identical prefixes and size are
    collapsed into one group, and only groups are listed under the members of their prefix.
-3. Classes that agree in the smallest members of a seeded order are first compared
-   with one of them, a star; the links found give components.  Only links
+3. Classes that agree in the smallest members of a seeded order, a star, are first compared
+   with one of them; the links found give components.  Near copies of a text need not be similar to any one of them,
+   so in a large star each is then compared with some of other components, the leads, in turns.  Only links
    between different components can change the result from here on, so a group whose classes are
    all in one component is skipped beside groups of the same.
 4. Listed groups meet by prefix member.  A pair is kept if sizes and places
@@ -44,6 +45,8 @@ COMMON_ROWS = 1 << 20  # such members, at most
 BITS = 256  # bins of the members' parities
 STARS = 4  # seeded orders
 STAR_MEMBERS = 4  # smallest members that must agree
+LARGE_STAR = 64  # classes; a star of more has leads
+LEADS = (8, 64)  # of a large star in each turn, at most; after the first turn most classes are of the leads' component
 BROADCAST_BYTES = 32 << 20
 TEXTS = 1024  # texts that leave Arrow at a time
 
@@ -225,6 +228,26 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return written(pairs.select(F.col("cls").alias("a"), "b").distinct(), "star-pairs")
 
 
+def large_stars(classes: DataFrame) -> DataFrame:
+    """Stored (r, star, cls, n, bits): the classes of stars that hold more than ``LARGE_STAR``."""
+    each = classes.select("cls", "n", "bits", F.posexplode("stars").alias("r", "star"))
+    large = each.groupBy("r", "star").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LARGE_STAR).select("r", "star")
+    return written(each.join(broadcast_if_small(written(large, "large"), BROADCAST_BYTES), ["r", "star"]), "large-stars")
+
+
+def lead_pairs(large: DataFrame, known: DataFrame, percent: int, leads: int) -> DataFrame:
+    """Stored distinct (a, b): classes of ``large`` beside up to ``leads`` of their star, drawn by hash, that may be similar
+    and are of another component (``known``: cls, comp)."""
+    each = large.join(known.select("cls", "comp"), "cls")
+    drawn = F.xxhash64(F.lit(leads), "r", "cls")
+    lead = each.groupBy("r", "star", F.pmod(drawn, F.lit(leads)).alias("slot")).agg(
+        F.min_by(F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("comp").alias("cb")), drawn).alias("lead"))
+    lead = written(lead.select("r", "star", "lead.*"), "leads").withColumnsRenamed({"r": "_r", "star": "_star"})
+    pairs = each.join(lead, (each["r"] == lead["_r"]) & (each["star"] == lead["_star"]) & (F.col("comp") != F.col("cb"))
+                      & _may_share(percent, F.col("n"), F.col("nb"), F.col("bits"), F.col("bb")))
+    return written(pairs.select(F.col("cls").alias("a"), "b").distinct(), "lead-pairs")
+
+
 def _least_shared(percent, x, y):
     """The members that sets of x and y members must share."""
     return F.floor((percent * (x + y) + 99 + percent) / (100 + percent))
@@ -288,8 +311,17 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
 
     pairs = star_pairs(classes)
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-    found = linked(pairs, member_sets(docs, nodes, classes, ngram), percent)
-    known = _with_component(classes.select("cls", "n", "grp", "bits"), found)
+    sets = member_sets(docs, nodes, classes, ngram)
+    found = linked(pairs, sets, percent)
+    named = classes.select("cls", "n", "grp", "bits")
+    known = _with_component(named, found)
+    large = large_stars(classes)
+    for leads in () if large.isEmpty() else LEADS:
+        pairs = lead_pairs(large, known, percent, leads)
+        if pairs.isEmpty():
+            continue
+        found = found.unionByName(linked(pairs, sets, percent))
+        known = _with_component(named, found)
 
     # groups go by 64 bits of their name: two that agree in them would only bring more pairs to compare
     short = F.xxhash64("grp")
@@ -307,7 +339,11 @@ def jaccard_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCE
     members = known.select(short.alias("g"), "cls", "comp", "n", "bits")
     first = members.withColumnsRenamed({"g": "x", "cls": "a", "comp": "ca", "n": "na", "bits": "ba"})
     second = members.withColumnsRenamed({"g": "y", "cls": "b", "comp": "cb", "n": "nb", "bits": "bb"})
-    opened = written(met.join(first, "x"), "opened")
+    # a group of several components is opened only for its classes that can link with the other group
+    ends = groups.select(F.col("g").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("bits").alias("by"))
+    met = met.join(ends, "y").withColumnRenamed("x", "_x")
+    opened = written(met.join(first, (met["_x"] == first["x"]) & (F.col("cy").isNull() | (F.xxhash64("ca") != F.col("cy"))) & _may_share(
+        percent, F.col("na"), F.col("ny"), F.col("ba"), F.col("by"))).drop("_x", "ny", "cy", "by"), "opened")
     pairs = written(opened.join(second, (opened["y"] == second["y"]) & (F.col("ca") != F.col("cb")) & (
         (opened["x"] != opened["y"]) | (F.col("a") < F.col("b"))) & _may_share(
             percent, F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"))).select("a", "b"), "class-pairs")
