@@ -34,5 +34,5 @@ def test_near_copies_without_their_base_are_not_paired_with_each_other(spark, mo
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == dict(enumerate(parent))
     assert len(links) > 6000
-    assert rows["opened"] < len(links) // 5  # all links, and more, when each class met one other of its star
+    assert rows["opened"] < len(links) // 5  # 5,517 of 8,227 when each class met one other of its star
     assert rows.get("lead-pairs", 0) < 20 * len(texts)
