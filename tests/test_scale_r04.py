@@ -1,7 +1,8 @@
-"""CPU and bytes that grow with the input: bzip2 files written and read, lines parsed."""
+"""CPU and bytes that grow with the input: bzip2 files written and read, lines parsed, scans for a dictionary."""
 
 import bz2
 import glob
+import hashlib
 import random
 
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from helpers import lines_df
 from kgprep.functions.nodes import WELL_ESCAPED, unescape
+from kgprep.operators import ids
+from kgprep.plans.jobs import encode_graph
 from kgprep.sinks import text as K
 from kgprep.sources import parse_ntriples, read_ntriples
 
@@ -79,3 +82,34 @@ def test_parts_of_odd_statements(spark):
     bad = ['<s\\> <p> <o> .', '<s> <p> "\\ud83d" .', '<s> <p> "a"^^<t\\> .', '<s> <p> "x', "<a> <b> <c>"]
     rows = parse_ntriples(lines_df(spark, [*bad, "# c", ""]), mode="PERMISSIVE").collect()
     assert sorted(x._corrupt_record for x in rows) == sorted(bad) and not any(x.s or x.o_kind or x.o_lang for x in rows)
+
+
+def test_encode_graph_scans_the_triples_once_for_a_dictionary(spark, tmp, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), ids.entities
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    monkeypatch.setattr(ids, "entities", lambda df, scope=None: real(df, scope).mapInPandas(count, "entity string"))
+    with open(f"{tmp}/a.nt", "w") as f:
+        f.write("".join(f"<http://x/{i}> <http://x/p{i % 3}> <http://x/{i + 1}> .\n" for i in range(30)))
+    outs = encode_graph(spark, f"{tmp}/a.nt", f"{tmp}/out")
+    found = [r.value[1:-1].split(",") for r in spark.read.text(outs["entity_ids"]).collect()]
+    assert len(found) == seen.value == 31 and sorted(int(i) for _, i in found) == list(range(31))
+    assert spark.read.text(outs["uri_mappings"]).count() == 30
+
+
+def test_ids_without_scope_keep_the_keys_in_their_buckets(spark):
+    keys = lines_df(spark, [f"k{i}" for i in range(50)] + [None]).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = ids.dense_ids(keys, "value")
+        got = {r.value: r.id for r in d.collect()}
+        assert "coalesce(_b#" not in d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ranked = sorted((f"k{i}" for i in range(50)), key=lambda k: (hashlib.md5(k.encode()).hexdigest(), k))
+    assert got == {k: i for i, k in enumerate(ranked)}
